@@ -144,7 +144,10 @@ def find_pii(docs: DataFrame) -> DataFrame:
     Whole texts; null and empty ones have no spans (the digest is that of the empty string). Repeated rows stay, a null id stays null;
     no rows in, no rows out. Spans are code points, end exclusive, by start, then kind. Discovered spans are ctx_<kind>.
     """
-    counts = [F.size(F.filter("base", lambda x, i=i: x.kind == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    def of(kind: int):
+        return lambda x: x.kind == kind  # one parameter: of a second one Spark would make the index
+
+    counts = [F.size(F.filter("base", of(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     context = (F.size("all") - F.size("base")).cast("long").alias("n_context")
     return spans(docs).select("doc_id", *counts, context, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("all").alias("spans"))
 

@@ -55,4 +55,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_license_scan, op3_packing, op4_mixing, op5_token_counts, op6_topk_search, op7_simhash_dedup, op8_spotsigs, op9_secret_scan, op10_toxicity)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_mixing": r"""
+WITH d AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN '-' ELSE '+' || source END AS key,
+    ('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT % 256 AS block,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens FROM documents),
+b AS (SELECT key, block, sum(tokens)::BIGINT AS tokens FROM d GROUP BY key, block),
+s AS (SELECT key, sum(tokens)::BIGINT AS total FROM b GROUP BY key),
+e AS (SELECT CASE WHEN count(*) < 2 THEN 1 WHEN max(total) <= 2 * min(total) THEN 0 ELSE round(1 - ln(2) / ln(max(total) / min(total)), 9) END AS t FROM s WHERE total > 0),
+w AS (SELECT key, total, pow(CAST(total AS DOUBLE), (SELECT t FROM e)) AS raised FROM s),
+f AS (SELECT sum(raised) AS z, max(total / raised) AS most FROM w WHERE total > 0),
+q AS (SELECT key, total, CASE WHEN total > 0 THEN CAST(round(raised / z * (most * z)) AS BIGINT) ELSE 0 END AS quota FROM w, f),
+p AS (SELECT key, CASE WHEN total > 0 THEN quota // total ELSE 1 END AS whole, CASE WHEN total > 0 THEN quota % total ELSE 0 END AS rest FROM q),
+x AS (SELECT b.key, b.block, b.tokens, whole, rest, unnest(generate_series(0, whole)) AS epoch FROM b JOIN p ON b.key = p.key),
+o AS (SELECT *, row_number() OVER g AS place, sum(tokens) OVER g - tokens AS before FROM x
+    WINDOW g AS (PARTITION BY key, epoch ORDER BY md5('mix|' || key || '|' || epoch || '|' || block), block ROWS UNBOUNDED PRECEDING))
+SELECT doc_id, source, CAST(epoch AS INTEGER) AS epoch, CAST(place AS INTEGER) AS place, md5(concat_ws('|', 'mix', CAST(doc_id AS VARCHAR))) AS turn
+FROM d JOIN o ON d.key = o.key AND d.block = o.block WHERE epoch < whole OR (before < rest AND 2 * (rest - before) > o.tokens)""",
+    "op6_topk_search": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM
+(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
+}

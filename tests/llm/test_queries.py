@@ -1,0 +1,50 @@
+"""The registered queries against their SQL, and the pipeline."""
+
+import pytest
+from compare import duck, same, type_names
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from sparkloom.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_same_rows_as_sql(spark, name):
+    con = duck(SF)
+    df = queries.QUERIES[name](spark, SF)
+    same(df, con, queries.ORACLES[name])
+    assert type_names(df, con, queries.ORACLES[name]) == []
+
+
+def test_all_are_registered():
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    schema = docs.columns
+    from sparkloom.llm import pii, simhash, toxicity
+    from sparkloom.llm.common import settle
+
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, settle(stage(spark, docs, SF))
+        kept[name] = docs
+        if name == "toxicity":
+            model = toxicity.train(before, spark.read.parquet(f"{SF}/labels.parquet"))
+            assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in toxicity.score_toxicity(before, model).collect() if not r.predicted}
+        elif name == "near_dedup":
+            assert {r.doc_id for r in docs.collect()} == {r.component_id for r in simhash.near_duplicates(before).collect()}
+        elif name == "pii":
+            assert docs.count() == before.count()
+            assert pii.find_pii(docs).filter("n_email + n_ip + n_card + n_phone > 0").count() == 0
+        elif name == "mixing":
+            assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in before.collect()}
+        if name != "packing":
+            assert docs.columns == schema
+    words = sum(len((r.text or "").encode().split()) for r in kept["mixing"].collect())
+    assert sum(r.length for r in kept["packing"].collect()) == words
+    assert corpus_pipeline.run(spark, SF).count() == kept["packing"].count()
