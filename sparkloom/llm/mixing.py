@@ -19,6 +19,7 @@ from .common import settle
 BLOCKS = 256  # blocks of a source
 SEED = "mix"
 REPEATS = 2.0  # most passes over a source, on average
+SHARPEST = 8.0
 LEVELS = 4  # bisection steps per Spark job
 STEPS = 40
 BROADCAST_ROWS = 100_000  # a plan of more rows is joined by shuffle
@@ -55,9 +56,9 @@ def block_tokens(docs: DataFrame, length_col: str | None = None, blocks: int = B
 
 
 def exponent(sources: DataFrame, target: Target) -> float:
-    """The exponent t in [0, 1] by bisection over `sources` (key, tokens); 1 keeps the sources' own shares.
+    """The exponent t by bisection over `sources` (key, tokens); 1 keeps the sources' own shares, more sharpens them.
 
-    entropy: the largest t whose weights have at least that share of the most possible entropy. repeats: the smallest t
+    entropy: the largest t up to SHARPEST whose weights have at least that share of the most possible entropy. repeats: the smallest t
     at which, if each source gets at least one pass, none gets more than `repeats`. With both, the repeats decide if they ask for more.
     LEVELS steps are taken per job: the job evaluates all exponents that these steps can reach.
     """
@@ -68,23 +69,23 @@ def exponent(sources: DataFrame, target: Target) -> float:
     p = F.col("tokens") / F.lit(float(total))
     t = 1.0
     if target.entropy is not None:
-        t = bisect(lambda ts: entropies(sized, p, ts, n), target.entropy)
+        t = bisect(lambda ts: entropies(sized, p, ts, n), target.entropy, top=SHARPEST)
     if target.repeats is not None:
         # passes of a source at budget B: w * B / tokens, in proportion to p^(t-1), largest for the smallest source; the largest source gets one
         from math import log
 
         spread = log(high_share / low_share)
         need = bisect(lambda ts: [-((1 - x) * spread) for x in ts], -log(target.repeats), rising=True) if spread > log(target.repeats) else 0.0
-        t = max(t, need) if target.entropy is not None else need
+        t = max(t, need) if target.entropy is not None else need  # at more than 1 small sources are never repeated more than large ones
     return round(t, 9)
 
 
-def bisect(values, goal: float, rising: bool = False, levels: int = LEVELS, steps: int = STEPS) -> float:
-    """The place in [0, 1] where values(ts) crosses the goal: falling values, the largest t with value >= goal; rising ones, the smallest.
+def bisect(values, goal: float, rising: bool = False, top: float = 1.0, levels: int = LEVELS, steps: int = STEPS) -> float:
+    """The place in [0, top] where values(ts) crosses the goal: falling values, the largest t with value >= goal; rising ones, the smallest.
 
     values: gives the values of a list of exponents, in one job.
     """
-    lo, hi = 0.0, 1.0
+    lo, hi = 0.0, top
     first, last = values([lo, hi])
     if rising:
         if first >= goal:

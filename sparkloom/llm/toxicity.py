@@ -22,7 +22,8 @@ BITS = 18
 SIZES = (3, 4, 5, 6)
 TRAIN_ROWS = 20_000  # bound of the labelled sample; all labelled rows while there are no more
 MIN_TEXTS = 4  # an n-gram in fewer training texts has no weight
-FEATURES = 1 << 14  # n-grams that the regression may use, by strength of their ratio
+FEATURES = 1 << 12  # n-grams that the regression may use: those whose class counts are least by chance
+TOXIC_WEIGHT = 2.0  # a missed toxic text costs so many clean ones
 SMOOTHING = 1.0
 THRESHOLD = 0.3
 _PRIME, _MIX = np.uint32(0x01000193), np.uint32(0x9E3779B1)
@@ -97,7 +98,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         return Model(weights, float(np.clip(np.log(max(share, 1e-9) / max(1 - share, 1e-9)), -20, 20)))
     counts = counts[counts.bucket >= 0].sort_values("bucket")
     ratio = np.log((counts.toxic.values + SMOOTHING) / (n1 + 2 * SMOOTHING)) - np.log((counts.clean.values + SMOOTHING) / (n0 + 2 * SMOOTHING))
-    strength = np.abs(ratio) * np.sqrt(np.minimum(counts.toxic.values + counts.clean.values, n1))
+    share = (counts.toxic.values + counts.clean.values) / (n0 + n1)
+    strength = np.abs(counts.toxic.values - share * n1) / np.sqrt(share * (1 - share) * n1 * n0 / (n0 + n1) + 0.5)
     best = np.sort(np.argsort(-strength, kind="stable")[:FEATURES])
     place = np.full(1 << BITS, -1, np.int32)
     place[counts.bucket.values[best]] = np.arange(len(best))
@@ -111,9 +113,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         at = at[at >= 0]
         return SparseVector(len(ratio), at, ratio[at])
 
-    rowset = known.select(vector("text").alias("features"), (F.col("toxic") > 0).cast("double").alias("label")).persist()
+    rowset = known.select(vector("text").alias("features"), (F.col("toxic") > 0).cast("double").alias("label"), F.when(F.col("toxic") > 0, TOXIC_WEIGHT).otherwise(1.0).alias("weight")).persist()
     try:
-        fitted = LogisticRegression(maxIter=30, regParam=0.002, standardization=False).fit(rowset)
+        fitted = LogisticRegression(weightCol="weight", maxIter=50, regParam=0.0005, standardization=False).fit(rowset)
     finally:
         rowset.unpersist()
     weights[counts.bucket.values[best]] = fitted.coefficients.toArray() * ratio
