@@ -79,8 +79,9 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, buckets: int = BUCKETS, batc
     bounds = best_boundaries(histogram["length"].to_numpy(), histogram["n"].to_numpy(), buckets) or [sequence]
     groups = max(1, -(-int(histogram["n"].sum()) // GROUP_ROWS))
     bucket = F.element_at(F.filter(F.array(*map(F.lit, bounds)), lambda b: b >= F.col("length")), 1)
-    order = F.xxhash64(F.lit(SEED), "doc_id", "part")
-    dealt = rows.select("doc_id", "part", "length", bucket.alias("bucket"), order.alias("order")).withColumn("group", F.pmod("order", F.lit(groups)))
+    order = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("part").cast("string")))
+    group = F.conv(F.substring("order", 1, 8), 16, 10).cast("long") % groups
+    dealt = rows.select("doc_id", "part", "length", bucket.alias("bucket"), order.alias("order")).withColumn("group", group)
     sizes = dealt.groupBy("bucket", "group").agg(F.count("*").alias("rows"))
     # a row for each bucket and GROUP_ROWS pieces
     before = sizes.select("bucket", "group", (F.sum("rows").over(Window.partitionBy("bucket").orderBy("group")) - F.col("rows")).alias("before"))
@@ -88,6 +89,3 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, buckets: int = BUCKETS, batc
     number = F.col("before") + F.col("at")
     fits = F.greatest(F.lit(1), F.floor(F.lit(batch_tokens) / F.greatest("bucket", F.lit(1)))).cast("long")
     return ranked.join(before, ["bucket", "group"]).select("doc_id", "part", "length", "bucket", F.floor(number / fits).alias("batch"), F.pmod(number, fits).alias("place"), (F.col("bucket") - F.col("length")).alias("padding"))
-
-
-SEED = 20

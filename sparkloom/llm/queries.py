@@ -55,7 +55,34 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_license_scan, op3_packing, op4_mixing, op5_token_counts, op6_topk_search, op7_simhash_dedup, op8_spotsigs, op9_secret_scan, op10_toxicity)}
+
+
+def _packing_sql(buckets: int = packing.BUCKETS, sequence: int = packing.SEQUENCE, budget: int = packing.BATCH_TOKENS, rows: int = packing.GROUP_ROWS) -> str:
+    """The dynamic program as one table a level: b<m> has the least padding of the lengths up to each with at most m buckets, and the bounds."""
+    levels = "".join(
+        f""",
+m{m} AS (SELECT j, min(struct_pack(cost := cost, more := more, i := i)) AS best FROM (SELECT j, cost, 0 AS more, j AS i FROM b{m - 1} UNION ALL
+    SELECT h.j, p.cost + h.length * (h.c - p.c) - (h.t - p.t), 1, p.j FROM h JOIN b{m - 1} p ON p.j < h.j) GROUP BY j),
+b{m} AS (SELECT h.j, h.c, h.t, best.cost AS cost, CASE best.more WHEN 0 THEN p.bounds ELSE list_append(p.bounds, h.length) END AS bounds
+    FROM m{m} JOIN h ON h.j = m{m}.j JOIN b{m - 1} p ON p.j = best.i)"""
+        for m in range(2, buckets + 1)
+    )
+    return rf"""
+WITH d AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens FROM documents),
+s AS (SELECT doc_id, tokens, unnest(generate_series(0, greatest((tokens + {sequence - 1}) // {sequence} - 1, 0))) AS part FROM d),
+r AS (SELECT doc_id, part, least({sequence}, tokens - part * {sequence}) AS length FROM s),
+g AS (SELECT length, count(*) AS n FROM r GROUP BY length),
+h AS (SELECT length, row_number() OVER (ORDER BY length) AS j, CAST(sum(n) OVER (ORDER BY length) AS BIGINT) AS c, CAST(sum(n * length) OVER (ORDER BY length) AS BIGINT) AS t FROM g),
+b1 AS (SELECT j, c, t, length * c - t AS cost, [length] AS bounds FROM h){levels},
+u AS (SELECT unnest(bounds) AS bucket FROM b{buckets} WHERE j = (SELECT max(j) FROM h)),
+k AS (SELECT doc_id, part, length, (SELECT min(bucket) FROM u WHERE bucket >= length) AS bucket, md5(concat_ws('|', CAST(doc_id AS VARCHAR), CAST(part AS VARCHAR))) AS turn FROM r),
+n AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY ('0x' || substr(turn, 1, 8))::BIGINT % (SELECT greatest(1, (count(*) + {rows - 1}) // {rows}) FROM r), turn, doc_id, part, length) - 1 AS pos,
+    greatest(1, {budget} // greatest(bucket, 1)) AS fits FROM k)
+SELECT doc_id, CAST(part AS BIGINT) AS part, CAST(length AS INTEGER) AS length, CAST(bucket AS INTEGER) AS bucket, CAST(pos // fits AS BIGINT) AS batch, CAST(pos % fits AS BIGINT) AS place, CAST(bucket - length AS INTEGER) AS padding FROM n"""
+
+
 ORACLES: dict[str, str] = {
+    "op3_packing": _packing_sql(),
     "op4_mixing": r"""
 WITH d AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN '-' ELSE '+' || source END AS key,
     ('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT % 256 AS block,
