@@ -142,16 +142,30 @@ def plan(docs: DataFrame, target: Target = Target(), budget: int | None = None,
     return settle(placed.filter(taken).select("key", "block", F.col("epoch").cast("int").alias("epoch"), "place"))
 
 
-def mix(docs: DataFrame, target: Target = Target(), budget: int | None = None, length_col: str | None = None, columns: list | None = None, blocks: int = BLOCKS, seed: str = SEED) -> DataFrame:
-    """`columns` of docs (default: doc_id and source), and epoch, place and turn, once for each pass that takes the row's block.
+def _passes(docs: DataFrame, kept: list, target: Target, budget: int | None, length_col: str | None, blocks: int, seed: str) -> DataFrame:
+    """`kept` columns of docs and _mix_pass (epoch, place), a row for each pass that takes the row's block.
 
-    Training order: epoch, place, turn (a hash of the id). Repeated rows stay repeated, null sources are one source, null texts have no tokens;
-    an empty table gives no rows. Small plans are broadcast, larger ones joined by source and block, so a hot source is spread over `blocks` keys.
+    Small plans are broadcast, larger ones joined by source and block, so a hot source is spread over `blocks` keys.
     """
     chosen = plan(docs, target, budget, length_col, blocks, seed)
-    chosen = chosen.groupBy("key", "block").agg(F.collect_list(F.struct("epoch", "place")).alias("_passes")).select(F.col("key").alias("_key"), F.col("block").alias("_block"), "_passes")
-    kept = columns or [docs["doc_id"], docs["source"]]
-    rows = docs.select(*kept, source_key().alias("_key"), block_of("doc_id", blocks, seed).alias("_block"), F.md5(F.concat_ws("|", F.lit(seed), docs["doc_id"].cast("string"))).alias("_turn"))
+    chosen = chosen.groupBy("key", "block").agg(F.collect_list(F.struct("epoch", "place")).alias("_mix_passes")).select(F.col("key").alias("_mix_key"), F.col("block").alias("_mix_block"), "_mix_passes")
+    rows = docs.select(*kept, source_key().alias("_mix_key"), block_of("doc_id", blocks, seed).alias("_mix_block"))
     small = chosen.count() <= BROADCAST_ROWS
-    joined = rows.join(F.broadcast(chosen) if small else chosen, ["_key", "_block"])
-    return joined.withColumn("_pass", F.explode("_passes")).select("*", F.col("_pass.epoch").alias("epoch"), F.col("_pass.place").alias("place"), F.col("_turn").alias("turn")).drop("_key", "_block", "_passes", "_pass", "_turn")
+    joined = rows.join(F.broadcast(chosen) if small else chosen, ["_mix_key", "_mix_block"])
+    return joined.withColumn("_mix_pass", F.explode("_mix_passes"))
+
+
+def mix(docs: DataFrame, target: Target = Target(), budget: int | None = None, length_col: str | None = None, blocks: int = BLOCKS, seed: str = SEED) -> DataFrame:
+    """doc_id, source, epoch, place and turn of each row, once for each pass that takes the row's block.
+
+    Training order: epoch, place, turn (a hash of the id). Repeated rows stay repeated, null sources are one source, null texts have no tokens;
+    an empty table gives no rows.
+    """
+    turn = F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"))).alias("turn")
+    taken = _passes(docs, ["doc_id", "source", turn], target, budget, length_col, blocks, seed)
+    return taken.select("doc_id", "source", F.col("_mix_pass.epoch").alias("epoch"), F.col("_mix_pass.place").alias("place"), "turn")
+
+
+def repeated(docs: DataFrame, target: Target = Target(), budget: int | None = None, length_col: str | None = None, blocks: int = BLOCKS, seed: str = SEED) -> DataFrame:
+    """The rows of docs with all their columns, as often as `mix` takes them."""
+    return _passes(docs, ["*"], target, budget, length_col, blocks, seed).select(docs.columns)

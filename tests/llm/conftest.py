@@ -1,12 +1,7 @@
 import random
 
 import pytest
-
-
-def prose(rng: random.Random, words: int) -> str:
-    vocabulary = "the of and river stone market quiet morning signal harbour engine velvet copper lantern meadow orbit in on with by for la de und".split()
-    return " ".join(rng.choice(vocabulary) + rng.choice(["", "", "s", "ly", ","]) for _ in range(words))
-
+from samples import prose
 
 #: Rows with nulls, empty and blank texts, a very long one, other scripts, repeated rows, equal ids, and columns whose names operators use themselves.
 ODD_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, spans string, fp string, score double, key int, block int, row long, tokens string, shard int"

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
-from conftest import prose
+from samples import prose
 
 from sparkloom.llm import common, licenses, mixing, mtree, packing, pii, secrets, simhash, spotsigs, toxicity, unigram
 

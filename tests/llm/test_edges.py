@@ -50,6 +50,9 @@ def test_mixing(odd, none, odd_rows):
     found = mixing.mix(odd).collect()
     assert Counter(r.doc_id for r in found if r.epoch == 0) == Counter(r[0] for r in odd_rows)
     assert mixing.mix(none).collect() == []
+    clashing = odd.withColumn("epoch", F.lit(1)).withColumn("turn", F.lit("t"))
+    again = mixing.repeated(clashing)
+    assert again.columns == clashing.columns and Counter(r.doc_id for r in again.collect()) == Counter(r.doc_id for r in found)
 
 
 def test_keep_one_and_redact_keep_columns(odd, none, odd_rows):
