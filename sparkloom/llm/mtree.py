@@ -4,7 +4,7 @@ With M the largest norm, a vector x becomes (x, sqrt(M^2 - |x|^2)) and a query q
 |q - x|^2 = |q|^2 + M^2 - 2 q.x, so the nearest points are those with the largest inner products
 and the metric's triangle inequality holds. Vectors are dealt by nearest pivot to shards of bounded
 size. In a shard, an M-tree pages them: a routing entry stores its object, covering radius and
-distance to its parent. A query visits nodes best first by lower bound; stored distances rule out
+distance to its parent; the pages are kept in a table. A query visits nodes best first by lower bound; stored distances rule out
 entries before any distance to them is computed. Leaves compute exact integer products.
 Pruning uses floats with a margin and keeps ties, so results are exact.
 """
@@ -24,7 +24,7 @@ from .common import settle
 
 SCALE = 1024
 K = 10
-PIVOTS = 64  # most pivots
+PIVOTS = 1024  # most pivots
 PIVOT_SAMPLE = 8192  # vectors they are chosen among
 SHARD_ROWS = 4096  # vectors of a shard
 PAGE = 32  # entries of a tree page
@@ -40,44 +40,49 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
 
 
 class MTree:
-    """Bulk-loaded over points (float64, augmented); `order` holds rows so that each leaf is a slice."""
-
-    def __init__(self, points: np.ndarray, page: int = PAGE):
-        self.points, self.page = points, page
-        self.pages: list[dict] = []
-        self.root = self._build(np.arange(len(points)), None)
-
-    def _to(self, rows: np.ndarray, at: int) -> np.ndarray:
-        return np.sqrt(np.maximum(((self.points[rows] - self.points[at]) ** 2).sum(1), 0))
-
-    def _build(self, rows: np.ndarray, parent: int | None) -> int:
-        """A page for rows below the routing object `parent`: entries with object, radius, distance to parent and child."""
-        number = len(self.pages)
-        self.pages.append({})
-        if len(rows) <= self.page:
-            self.pages[number] = {"leaf": rows, "to_parent": self._to(rows, parent) if parent is not None else np.zeros(len(rows))}
-            return number
-        groups = self._split(rows)
-        objects = np.array([g[0] for g in groups])
-        radii = np.array([self._to(g[1], g[0]).max() for g in groups])
-        to_parent = self._to(objects, parent) if parent is not None else np.zeros(len(groups))
-        children = [self._build(g[1], g[0]) for g in groups]
-        self.pages[number] = {"objects": objects, "radii": radii, "to_parent": to_parent, "children": children}
-        return number
-
-    def _split(self, rows: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """Up to `page` groups by nearest of far-apart objects; equal points are cut by place."""
-        fan = int(min(self.page, max(2, -(-len(rows) // self.page))))
-        picks, near = [int(rows[0])], self._to(rows, int(rows[0]))
-        owner = np.zeros(len(rows), np.int64)
-        while len(picks) < fan and near.max() > 0:
-            picks.append(int(rows[near.argmax()]))
-            d = self._to(rows, picks[-1])
-            closer = d < near
-            owner[closer], near = len(picks) - 1, np.minimum(near, d)
-        if len(picks) == 1:
-            return [(int(part[0]), part) for part in np.array_split(rows, fan)]
-        return [(p, rows[owner == i]) for i, p in enumerate(picks) if (owner == i).any()]
+    """An M-tree over points (float64, augmented) as flat arrays, so that a table can keep it.
+
+    Page p holds the entries first[p] to first[p + 1]. An entry has the row of its object, the distance of that to the page's own
+    routing object and, if the page is not a leaf, its covering radius and child page (leaf: 0 and -1). Page 0 is the root.
+    """
+
+    def __init__(self, points: np.ndarray, first, row, radius, to_parent, child):
+        self.points = points
+        self.first, self.row, self.child = (np.asarray(x, np.int64) for x in (first, row, child))
+        self.radius, self.to_parent = np.asarray(radius, np.float64), np.asarray(to_parent, np.float64)
+
+    @classmethod
+    def load(cls, points: np.ndarray, page: int = PAGE) -> MTree:
+        """Bulk load: rows go to the nearest of far-apart objects, level by level, until a page holds them."""
+
+        def to(rows: np.ndarray, at: int) -> np.ndarray:
+            return np.sqrt(((points[rows] - points[at]) ** 2).sum(1))
+
+        def split(rows: np.ndarray) -> list[tuple[int, np.ndarray]]:
+            """(object, rows) of up to `page` groups; equal points are cut by place."""
+            fan = int(min(page, max(2, -(-len(rows) // page))))
+            picks, near, owner = [int(rows[0])], to(rows, int(rows[0])), np.zeros(len(rows), np.int64)
+            while len(picks) < fan and near.max() > 0:
+                picks.append(int(rows[near.argmax()]))
+                d = to(rows, picks[-1])
+                closer = d < near
+                owner[closer], near = len(picks) - 1, np.minimum(near, d)
+            if len(picks) == 1:
+                return [(int(part[0]), part) for part in np.array_split(rows, fan)]
+            return [(p, rows[owner == i]) for i, p in enumerate(picks)]
+
+        first, entries, waiting = [0], [], [(np.arange(len(points)), None)]
+        for rows, parent in waiting:  # grows while pages are split
+            groups = [(int(r), None) for r in rows] if len(rows) <= page else split(rows)
+            objects = np.array([g[0] for g in groups], np.int64)
+            far = to(objects, parent) if parent is not None else np.zeros(len(objects))
+            for (item, below), distance in zip(groups, far.tolist()):
+                entries.append((item, 0.0 if below is None else float(to(below, item).max()), distance, -1 if below is None else len(waiting)))
+                if below is not None:
+                    waiting.append((below, item))
+            first.append(len(entries))
+        row, radius, to_parent, child = zip(*entries) if entries else ((), (), (), ())
+        return cls(points, first, row, radius, to_parent, child)
 
     def search(self, q: np.ndarray, whole: np.ndarray, ids: np.ndarray, values: np.ndarray, own: int, k: int, top: list, base: float) -> list:
         """Best k (score, -id) as a heap, starting from `top`. q: augmented query; whole: its integers; base: |q|^2 + M^2."""
@@ -85,22 +90,23 @@ class MTree:
         def reach() -> float:
             return np.inf if len(top) < k else np.sqrt(max(base - 2 * top[0][0], 0.0)) + MARGIN
 
-        queue = [(0.0, self.root, np.nan)]
+        queue = [(0.0, 0, np.nan)]
         while queue:
-            low, number, from_parent = heapq.heappop(queue)
+            low, page, from_parent = heapq.heappop(queue)
             limit = reach()
             if low > limit:
                 break
-            page = self.pages[number]
-            if "leaf" in page:
-                rows = page["leaf"]
-                if from_parent == from_parent and limit < np.inf:
-                    rows = rows[np.abs(from_parent - page["to_parent"]) <= limit]
-                if not len(rows):
-                    continue
+            entries = np.arange(self.first[page], self.first[page + 1])
+            if from_parent == from_parent and limit < np.inf:  # stored distances rule entries out before any new one is computed
+                entries = entries[np.abs(from_parent - self.to_parent[entries]) - self.radius[entries] <= limit]
+            if not len(entries):
+                continue
+            rows = self.row[entries]
+            if self.child[entries[0]] < 0:
                 scores = values[rows] @ whole
                 if len(top) >= k:
-                    rows, scores = rows[scores >= top[0][0]], scores[scores >= top[0][0]]
+                    good = scores >= top[0][0]
+                    rows, scores = rows[good], scores[good]
                 for i, s in zip(ids[rows].tolist(), scores.tolist()):
                     if i != own:
                         if len(top) < k:
@@ -108,16 +114,11 @@ class MTree:
                         elif (s, -i) > top[0]:
                             heapq.heapreplace(top, (s, -i))
                 continue
-            keep = np.arange(len(page["children"]))
-            if from_parent == from_parent and limit < np.inf:
-                keep = keep[np.abs(from_parent - page["to_parent"]) - page["radii"] <= limit]
-            if not len(keep):
-                continue
-            d = np.sqrt(np.maximum(((self.points[page["objects"][keep]] - q) ** 2).sum(1), 0))
-            lows = np.maximum(np.maximum(d - page["radii"][keep], 0), low)
-            for e, distance, bound in zip(keep.tolist(), d.tolist(), lows.tolist()):
+            d = np.sqrt(((self.points[rows] - q) ** 2).sum(1))
+            lows = np.maximum(np.maximum(d - self.radius[entries], 0), low)
+            for distance, bound, child in zip(d.tolist(), lows.tolist(), self.child[entries].tolist()):
                 if bound <= limit:
-                    heapq.heappush(queue, (bound, page["children"][e], distance))
+                    heapq.heappush(queue, (bound, child, distance))
         return top
 
 
@@ -155,14 +156,16 @@ def top_k(vectors: DataFrame, is_query, k: int = K, shard_rows: int = SHARD_ROWS
     parts = F.ceil(F.col("rows") / shard_rows).cast("int")
     sharded = dealt.join(F.broadcast(sizes), "pivot").select("vec_id", "v", (F.col("pivot") * F.lit(1 << 32) + F.pmod(F.xxhash64("vec_id"), parts)).alias("shard"))
 
-    tree_schema = "shard long, centre array<double>, radius double, ids array<long>, data binary"
+    tree_schema = "shard long, centre array<double>, reach double, ids array<long>, data binary, first array<int>, row array<int>, radius array<double>, to_parent array<double>, child array<int>"
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         values = matrix(pdf["v"], dims)
         points = augmented(values, norm2)
+        tree = MTree.load(points)
         centre = points[((points - points.mean(0)) ** 2).sum(1).argmin()]
-        radius = np.sqrt(np.maximum(((points - centre) ** 2).sum(1), 0)).max()
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "centre": [centre], "radius": [radius], "ids": [pdf["vec_id"].to_numpy()], "data": [values.tobytes()]})
+        far = np.sqrt(((points - centre) ** 2).sum(1)).max()
+        row = {"shard": pdf["shard"].iloc[0], "centre": centre, "reach": far, "ids": pdf["vec_id"].to_numpy(), "data": values.tobytes()}
+        return pd.DataFrame([row | {name: getattr(tree, name) for name in PAGES}])
 
     shards = settle(sharded.groupBy("shard").applyInPandas(build, tree_schema))
     queries = sharded.filter(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "v", "shard", F.lit(None).cast("double").alias("limit"))
@@ -170,13 +173,16 @@ def top_k(vectors: DataFrame, is_query, k: int = K, shard_rows: int = SHARD_ROWS
     kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("score"))
     limit = F.when(F.col("n") >= k, F.col("score").cast("double"))  # a lower bound of the k-th score
     asked = queries.drop("limit").join(kth.select("query_id", limit.alias("limit")), "query_id", "left")
-    regions = shards.select("shard", "centre", "radius")
+    regions = shards.select("shard", "centre", "reach")
     second = search(visits(asked, regions, dims, norm2), shards, dims, norm2, k)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = first.unionAll(second).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")
 
 
+PAGES = ("first", "row", "radius", "to_parent", "child")
+
+
 def matrix(column: pd.Series, dims: int) -> np.ndarray:
     out = np.zeros((len(column), dims), np.int64)
     for i, v in enumerate(column):
@@ -201,7 +207,7 @@ def visits(asked: DataFrame, regions: DataFrame, dims: int, norm2: float) -> Dat
     def near(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "v": [], "shard": [], "limit": []}
         if len(left) and len(right):
-            centres, radii = np.stack(right["centre"].to_numpy()), right["radius"].to_numpy()
+            centres, radii = np.stack(right["centre"].to_numpy()), right["reach"].to_numpy()
             shards = right["shard"].tolist()
             for query, v, own, limit in zip(left["query_id"], left["v"], left["shard"], left["limit"]):
                 whole = matrix([v], dims)[0]
@@ -230,14 +236,14 @@ def search(queries: DataFrame, shards: DataFrame, dims: int, norm2: float, k: in
     blocks = F.ceil(F.col("asked") / QUERY_BLOCK).cast("int")
     counts = counts.select("shard", blocks.alias("blocks"))
     left = queries.join(counts, "shard").withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks").cast("int")).drop("blocks")
-    right = shards.select("shard", "ids", "data").join(counts, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    right = shards.select("shard", "ids", "data", *PAGES).join(counts, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int]] = []
         if len(left) and len(right):
             ids = np.asarray(right["ids"].iloc[0], np.int64)
             values = np.frombuffer(right["data"].iloc[0], np.int64).reshape(len(ids), dims)
-            tree = MTree(augmented(values, norm2))
+            tree = MTree(augmented(values, norm2), *(right[name].iloc[0] for name in PAGES))
             for query, v, limit in zip(left["query_id"], left["v"], left["limit"]):
                 whole = matrix([v], dims)[0]
                 known = [] if limit is None or limit != limit else [(limit, -np.inf)] * k  # k rows elsewhere: only better ones or ties matter

@@ -142,7 +142,7 @@ def test_m_tree_skips_distances():
     rng = np.random.default_rng(4)
     values = (rng.normal(size=(40, 1, 8)) * 1000 + rng.normal(size=(40, 50, 8))).reshape(-1, 8).astype(np.int64)
     norm2 = float((values**2).sum(1).max())
-    tree = mtree.MTree(mtree.augmented(values, norm2))
+    tree = mtree.MTree.load(mtree.augmented(values, norm2))
     counted = []
     looked = values.view(Counted)
     Counted.rows = counted
