@@ -21,21 +21,15 @@ END = "2100-01-01 00:00:00"
 
 
 def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, ts (timestamp), user_id, event_type and value as a stream, and the end row (event_id null)."""
+    """event_id, ts (timestamp), user_id, event_type and value as a stream, and the end row (all but ts null), a stream of its own."""
     schema = load(spark, sf_dir, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(_as_folder(spark, sf_dir))
+    end = scratch(spark, "end")
+    spark.range(1).select(*[F.lit(END if f.name == "ts" else None).cast(f.dataType).alias(f.name) for f in schema]).write.parquet(end)
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")  # a pattern, as the table may be one file
+    rows = events.unionByName(spark.readStream.schema(schema).parquet(end))
     return rows.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
 
 
-def _as_folder(spark: SparkSession, sf_dir: str) -> str:
-    """The events and the end row in a folder of their own, as a file source lists folders."""
-    path = scratch(spark, "events")
-    events = load(spark, sf_dir, "events")
-    end = spark.range(1).select(*[F.lit(END).cast("timestamp_ntz").alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema])
-    events.unionByName(end).write.parquet(path)
-    return path
-
-
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run the stream over all input that there is and give what it wrote."""
     spark = stream.sparkSession
