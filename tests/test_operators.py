@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from sparkloom.operators.aggregates import exact_quantile
 from sparkloom.operators.joins import asof_join, range_join
 from sparkloom.operators.scans import top_per_group
 from sparkloom.operators.windows import sessions
@@ -55,6 +56,16 @@ def test_sessions_and_top(spark):
     assert "WindowGroupLimit" in plan_of(top)
 
 
+@pytest.mark.parametrize("q", [0.0, 0.1, 0.5, 0.999, 1.0])
+def test_exact_quantile(spark, q):
+    rows = [("a", float(i % 97)) for i in range(5000)] + [("b", 1.0), ("b", 2.0), ("c", None), ("d", 7.0), ("d", None), ("e", -3.5)] + [("f", 2.0)] * 50 + [(None, 4.0), (None, 6.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    expected = {r.k: r.q for r in df.groupBy("k").agg(F.percentile("v", q).alias("q")).collect()}
+    found = {r.k: r.quantile for r in exact_quantile(df, ["k"], "v", q).collect()}
+    assert found.keys() == expected.keys() and all(found[k] == pytest.approx(expected[k]) if expected[k] is not None else found[k] is None for k in found)
+    assert exact_quantile(df.limit(0), ["k"], "v", q).collect() == []
+
+
 def test_approximations_keep_their_bounds(spark):
     sf = "/root/testdata/sf0.01"
     exact = load(spark, sf, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("u"), F.count_distinct("event_id").alias("e"), F.percentile("value", [0.5, 0.99]).alias("q"))
