@@ -27,7 +27,7 @@ K = 10
 PIVOTS = 1024  # most pivots
 PIVOT_SAMPLE = 8192  # vectors they are chosen among
 SHARD_ROWS = 4096  # vectors of a shard
-PAGE = 32  # entries of a tree page
+PAGE = 128  # entries of a tree page
 QUERY_BLOCK = 2048  # queries that one task searches a shard for
 MARGIN = 1e-6
 
