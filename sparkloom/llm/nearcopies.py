@@ -1,0 +1,138 @@
+"""Near copies by exact likeness: Jaccard of the sets of 5-word shingles, 0.8 or more.
+
+Each distinct set is one class. All sets are put in one order, shingles that a sample shows to be common
+last. Two sets that are alike share one of their first n - ceil(0.8 n) + 1 shingles (prefix filter), so only classes that do
+are ever compared; the order changes the work, never the result. Large families of copies are folded first: each class
+is held against the least class of each of its first shingles. After that only pairs across
+groups are left, so a family costs no pairs of its own. Every link is verified on the whole texts.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import settle, slices, text_key
+from .simhash import components, keep_rows, shingle_hashes
+
+SHINGLE = 5
+LIKE, OF = 4, 5  # likeness of 4/5, in whole numbers
+SAMPLE = 1 << 13  # texts in which common shingles are looked for
+COMMON = 1 << 16  # common shingles at most
+SEEN = 3  # texts of the sample that hold a common shingle, at least
+
+
+def shingles(text: str) -> np.ndarray:
+    """The distinct shingles' hashes in ascending order."""
+    return np.unique(shingle_hashes(text, SHINGLE))
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the sets' Jaccard likeness reaches the bound; two empty sets are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return OF * both >= LIKE * (len(a) + len(b) - both)
+
+
+def first_shingles(n: int) -> int:
+    return n - -(-LIKE * n // OF) + 1 if n else 0
+
+
+def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
+    """Shingles that stand in SEEN texts of a sample or more, the rarest first."""
+    part = int(min(1.0, SAMPLE / max(1, n)) * (1 << 24))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, 100):
+                found = [shingles(t or "") for t in piece.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64), pa.int64())], ["sig"])
+
+    texts = docs.filter(F.pmod(text_key(), F.lit(1 << 24)) < part).select("text").dropDuplicates()
+    seen = texts.mapInArrow(run, "sig long").groupBy("sig").agg(F.count("*").alias("n")).filter(F.col("n") >= SEEN)
+    return seen.orderBy(F.desc("n"), "sig").limit(COMMON).toPandas()["sig"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, class (a hash of the set), size and first (the first shingles) of every row."""
+    common = common_shingles(docs, docs.count())
+    order = np.argsort(common)
+    known = docs.sparkSession.sparkContext.broadcast((common[order], order))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, ranks = known.value
+        for batch in batches:
+            for piece in slices(batch):
+                names, sizes, firsts = [], [], []
+                for text in piece.column(2).to_pylist():
+                    own = shingles(text or "")
+                    names.append(xxhash.xxh64_intdigest(own.tobytes()) if len(own) else 0)
+                    sizes.append(len(own))
+                    rank = np.full(len(own), -1)
+                    if len(values) and len(own):
+                        at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+                        rank = np.where(values[at] == own, ranks[at], -1)
+                    firsts.append(own[np.argsort(rank, kind="stable")[: first_shingles(len(own))]].view(np.int64))
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "text_key", "class", "size", "first"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, class long, size int, first array<bigint>")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose texts are alike. Only texts of classes in pairs are moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, 100):
+                good = [alike(shingles(x), shingles(y)) for x, y in zip(piece.column(2).to_pylist(), piece.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    pairs = settle(pairs)
+    wanted = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).distinct()
+    one = rows.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("text_key").alias("text_key"))
+    held = docs.select(text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text")).join(one, "text_key").dropDuplicates(["class"])
+    held = settle(held.select("class", "text"))
+    both = pairs.join(held.select(F.col("class").alias("a"), F.col("text").alias("x")), "a").join(held.select(F.col("class").alias("b"), F.col("text").alias("y")), "b")
+    return settle(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+
+
+def links(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of classes that are alike."""
+    sets = rows.select("class", "size", "first").dropDuplicates(["class"])
+    probes = sets.select("class", "size", F.explode("first").alias("sig"))
+    least = probes.groupBy("sig").agg(F.count("*").alias("n"), F.min("class").alias("least")).filter("n > 1")
+    probes = settle(probes.join(least, "sig").select("class", "size", "sig", "least"))
+    fold = probes.filter("class <> least").groupBy(F.col("class").alias("a"), F.col("least").alias("b")).agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    near = verified(fold.filter(F.col("n") * 20 >= F.col("size")).select("a", "b"), rows, docs)  # any bound is right here: what it leaves is met below
+    roots = components(near)
+    placed = settle(probes.join(roots, F.col("class") == F.col("node"), "left").select("class", "size", "sig", F.coalesce("root", "class").alias("root")))
+    groups = placed.select("sig", "root").distinct()
+    across = groups.join(groups.select("sig", F.col("root").alias("other")), "sig").filter(F.col("root") < F.col("other"))
+    left = placed.select("sig", "root", F.col("class").alias("a"), F.col("size").alias("m"))
+    right = placed.select("sig", F.col("root").alias("other"), F.col("class").alias("b"), F.col("size").alias("n"))
+    fits = (OF * F.least("m", "n") >= LIKE * F.greatest("m", "n"))
+    met = across.join(left, ["sig", "root"]).join(right, ["sig", "other"]).filter(fits).groupBy("a", "b", "m", "n").agg(F.count("*").alias("shared"))
+    # all but the first shingles of one of the two sets may be common to both: what the first ones share must make up the rest
+    rest = F.greatest(*(F.floor(F.col(c) * LIKE / OF - 1e-9) for c in ("m", "n")))
+    enough = (LIKE + OF) * (F.col("shared") + rest) >= LIKE * (F.col("m") + F.col("n"))
+    return near.unionAll(verified(met.filter(enough).select("a", "b"), rows, docs))
+
+
+def group(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, fp (the class) and component_id of every row; component_id as in `simhash.group`."""
+    rows = settle(classes(docs))
+    nodes = settle(rows.groupBy("class").agg(F.min("doc_id").alias("least")))
+    roots = components(links(rows, docs))
+    named = nodes.join(roots, nodes["class"] == roots.node, "left").select("class", "least", F.coalesce("root", "class").alias("root"))
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_class = settle(named.join(ids, "root").select("class", "component_id"))
+    return rows.join(by_class, "class").select("doc_id", "text_key", F.col("class").alias("fp"), "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each group of near copies, with all columns of docs; which one as in `simhash.keep_one`."""
+    return keep_rows(docs, settle(group(docs)))

@@ -31,18 +31,26 @@ SHARD_ROWS = 8192  # distinct fingerprints a shard is to own
 LEAF = 48  # fingerprints of a leaf inside a shard
 
 
-def fingerprint(text: str) -> int:
-    """The 64 bits as a signed number; a bit is set if it is in over half of the shingles' hashes."""
+def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """The hash of each run of `shingle` words, or of all words if there are fewer; none without words."""
     words = text.encode("utf-8", "replace").lower().split()  # bytes: lower() and split() know only ASCII letters and blanks
     if not words:
-        return 0
-    n = max(1, len(words) - SHINGLE + 1)
+        return np.array([], np.uint64)
+    n = max(1, len(words) - shingle + 1)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]).tolist()
     starts = [0, *ends]
     digest = xxhash.xxh64_intdigest
-    span = min(SHINGLE, len(words))
-    hashes = np.array([digest(line[starts[i] : ends[i + span - 1] - 1], SEED) for i in range(n)], np.uint64)
+    span = min(shingle, len(words))
+    return np.array([digest(line[starts[i] : ends[i + span - 1] - 1], SEED) for i in range(n)], np.uint64)
+
+
+def fingerprint(text: str) -> int:
+    """The 64 bits as a signed number; a bit is set if it is in over half of the shingles' hashes."""
+    hashes = shingle_hashes(text)
+    n = len(hashes)
+    if not n:
+        return 0
     bits = np.zeros(64, np.int64)
     for at in range(0, n, 4096):
         bits += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -265,7 +273,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Groups without ids keep one row for each fingerprint.
     """
-    rows = settle(group(docs))
+    return keep_rows(docs, settle(group(docs)))
+
+
+def keep_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents that `keep_one` keeps, from the doc_id, text_key, fp and component_id of every row."""
     named = rows.filter("component_id is not null and doc_id = component_id").groupBy("doc_id").agg(F.min("text_key").alias("text_key"))
     unnamed = rows.filter("component_id is null").groupBy("fp").agg(F.min("text_key").alias("text_key")).select(F.lit(None).cast("long").alias("doc_id"), "text_key")
     kept = named.unionAll(unnamed).select(*_key("doc_id"), F.col("text_key").alias("_kept_text"))
