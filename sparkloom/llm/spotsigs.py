@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import settle, slices
 
 CHAIN = 2
+GAP = 16  # content words between two anchors; beyond that each of them is an anchor
 SIMILARITY = 0.8
 # Common words of English, French, German and Spanish.
 ANCHORS = frozenset(
@@ -37,7 +38,8 @@ _WORD = re.compile(r"\w+")
 def signatures(text: str, chain: int = CHAIN) -> frozenset[int]:
     """64-bit hashes of the text's signatures.
 
-    The text's start counts as an anchor whose chain may be short. A text without content words has its own
+    The text's start counts as an anchor whose chain may be short. Where more than GAP content words follow each other
+    without an anchor (tables, code, other languages), each of them begins a chain, so no such stretch is left out. A text without content words has its own
     hash as only signature; the empty text has none.
     """
     content: list[str] = []
@@ -52,6 +54,10 @@ def signatures(text: str, chain: int = CHAIN) -> frozenset[int]:
         return frozenset([digest("\x01" + text)]) if text else frozenset()
     last = len(content) - chain
     out = {digest(w + " " + " ".join(content[k : k + chain])) for k, w in spots if k <= last}
+    bounds = [0, *(k for k, _ in spots), len(content)]
+    for a, b in zip(bounds, bounds[1:]):
+        if b - a > GAP or not spots:
+            out.update(digest("\x03" + " ".join(content[k : k + chain])) for k in range(a, min(b, last + 1)))
     out.add(digest("\x02" + " ".join(content[:chain])))
     return frozenset(out)
 
