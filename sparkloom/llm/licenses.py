@@ -97,7 +97,13 @@ def fuzzy(norm: str, notices=NOTICES, share: int = ERROR_SHARE) -> list[tuple[in
             window = norm[a:b]
             if sum(g in window for g in grams) < len(grams) - 3 * k:
                 continue
-            out += [(m.start(), m.end(), label, 1 - sum(m.fuzzy_counts) / size) for m in pattern.finditer(norm, a, b)]
+            todo = [(a, b)]
+            while todo:
+                a, b = todo.pop()
+                # the best match comes first; worse ones may stand on both sides of it
+                if b - a >= size - k and (m := pattern.search(norm, a, b)):
+                    out.append((m.start(), m.end(), label, 1 - sum(m.fuzzy_counts) / size))
+                    todo += [(a, m.start()), (m.end(), b)]
     return sorted(out)
 
 
