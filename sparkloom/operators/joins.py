@@ -5,9 +5,13 @@ No side is broadcast by hint: Spark broadcasts what its own size check admits an
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..names import fresh
 from ..plans.registry import query
 from ..session import load
 
@@ -19,25 +23,37 @@ def range_join(left: DataFrame, right: DataFrame, left_value: str, right_value:
     equi-join on the cell does the rest, so no nested loop is planned. Null values match nothing.
     """
     width = float(below + above) or 1.0
+    name = fresh("cell", left, right)
     cell = lambda c: F.floor(c / width)
-    spread = left.withColumn("_cell", F.explode(F.sequence(cell(F.col(left_value) - below), cell(F.col(left_value) + above))))
-    placed = right.withColumn("_cell", cell(F.col(right_value)))
-    return spread.join(placed, "_cell").filter(F.col(right_value).between(F.col(left_value) - below, F.col(left_value) + above)).drop("_cell")
+    spread = left.withColumn(name, F.explode(F.sequence(cell(F.col(left_value) - below), cell(F.col(left_value) + above))))
+    placed = right.withColumn(name, cell(F.col(right_value)))
+    return spread.join(placed, name).filter(F.col(right_value).between(F.col(left_value) - below, F.col(left_value) + above)).drop(name)
+
 
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], chunk: Callable[[Column], Column] | None = None) -> DataFrame:
+    """left with the `values` of the last right row of the same `by` whose `on` is not later, as asof_<value>; null where there is none.
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], within: Column | None = None) -> DataFrame:
-    """left with the `values` of the last right row of the same `by` whose `on` is not later; null where there is none.
+    Of right rows with equal `on` the one with the greatest values counts; a right row at the same time is seen. Null keys and times match
+    nothing; all left rows stay. Columns of any name are carried along.
 
-    Both sides are unioned and one ordered window carries the last right row on: one shuffle, no pairs. Of right rows with equal `on`
-    the one with the greatest values counts; a right row at the same time is seen.
+    Both sides are unioned and an ordered window carries the last right row on: no pairs. A key is cut into chunks of time (`chunk`, a
+    rising function of `on`; days for times, none for other types), so a hot key is spread; each chunk's last right row is carried over to the next ones in
+    a second window that has one row for a key and chunk.
     """
-    right_row = F.struct(F.col(on).alias("_at"), *values)
-    both = left.withColumn("_side", F.lit(1)).withColumn("_right", F.lit(None)).unionByName(
-        right.select(*by, on, *values).withColumn("_right", right_row).withColumn("_side", F.lit(0)).drop(*values), allowMissingColumns=True
-    )
-    seen = F.last("_right", ignorenulls=True).over(Window.partitionBy(*by).orderBy(on, "_side", "_right").rowsBetween(Window.unboundedPreceding, 0))
-    found = both.withColumn("_seen", seen).filter(F.col("_side") == 1)
-    return found.select(*left.columns, *[F.col(f"_seen.{v}").alias(f"asof_{v}") for v in values])
+    timed = left.schema[on].dataType.typeName() in ("timestamp", "timestamp_ntz")
+    cut = chunk or ((lambda c: F.date_trunc("day", c)) if timed else (lambda c: F.when(c.isNotNull(), F.lit(0))))
+    key, at = F.struct(*by).alias("key"), F.col(on).alias("at")
+    usable = functools.reduce(lambda a, c: a & c, (F.col(c).isNotNull() for c in (*by, on)))
+    theirs = right.filter(usable).select(key, at, F.struct(F.col(on).alias("at"), F.struct(*values).alias("row")).alias("seen"))
+    mine = left.select(key, at, F.struct("*").alias("left"))
+    both = mine.unionByName(theirs, allowMissingColumns=True).withColumn("chunk", cut(F.col("at")))
+    order = Window.partitionBy("key", "chunk").orderBy("at", F.col("left").isNotNull(), "seen").rowsBetween(Window.unboundedPreceding, 0)
+    local = both.withColumn("found", F.last("seen", ignorenulls=True).over(order)).filter("left is not null").select("key", "chunk", "left", "found")
+    ends = both.groupBy("key", "chunk").agg(F.max("seen").alias("last"))
+    earlier = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("key", "chunk", F.last("last", ignorenulls=True).over(earlier).alias("before")).filter("chunk is not null and before is not null")
+    row = F.coalesce(F.col("found"), F.col("before")).getField("row")
+    return local.join(carried, ["key", "chunk"], "left").select(*[F.col("left").getField(c).alias(c) for c in left.columns], *[row.getField(v).alias(f"asof_{v}") for v in values])
 
 
 @query("SELECT o_orderkey, c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 200000")
@@ -113,11 +129,11 @@ def p16_cross_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 LATERAL (SELECT count(*) AS n, round(coalesce(sum(s_acctbal), 0), 2) AS total FROM supplier WHERE s_nationkey = n_nationkey) s""")
 def p16_lateral_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A correlated aggregate; Spark turns it into a grouped join."""
-    for name in ("nation", "supplier"):
-        load(spark, sf_dir, name).createOrReplaceTempView(f"lateral_{name}")
-    return spark.sql("""
-        SELECT n_name, s.n, s.total FROM lateral_nation,
-        LATERAL (SELECT count(*) AS n, round(coalesce(sum(s_acctbal), 0), 2) AS total FROM lateral_supplier WHERE s_nationkey = n_nationkey) s""")
+    return spark.sql(
+        """SELECT n_name, s.n, s.total FROM {nation},
+        LATERAL (SELECT count(*) AS n, round(coalesce(sum(s_acctbal), 0), 2) AS total FROM {supplier} WHERE s_nationkey = n_nationkey) s""",
+        nation=load(spark, sf_dir, "nation"), supplier=load(spark, sf_dir, "supplier"),
+    )
 
 
 @query("SELECT quality, toxic, lang, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL")
@@ -132,11 +148,11 @@ JOIN lineitem ON o_orderkey = l_orderkey WHERE r_regionkey = 1 AND o_orderdate >
 GROUP BY n_name, o_orderstatus""")
 def p10_star_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five tables; the filters reach the scans of region and orders."""
-    for name in ("region", "nation", "customer", "orders", "lineitem"):
-        load(spark, sf_dir, name).createOrReplaceTempView(f"star_{name}")
-    return spark.sql("""
-        SELECT n_name, o_orderstatus, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
-        FROM star_region JOIN star_nation ON r_regionkey = n_regionkey JOIN star_customer ON n_nationkey = c_nationkey
-        JOIN star_orders ON c_custkey = o_custkey JOIN star_lineitem ON o_orderkey = l_orderkey
+    return spark.sql(
+        """SELECT n_name, o_orderstatus, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+        FROM {region} JOIN {nation} ON r_regionkey = n_regionkey JOIN {customer} ON n_nationkey = c_nationkey
+        JOIN {orders} ON c_custkey = o_custkey JOIN {lineitem} ON o_orderkey = l_orderkey
         WHERE r_regionkey = 1 AND o_orderdate >= TIMESTAMP_NTZ '1996-01-01' AND o_orderdate < TIMESTAMP_NTZ '1998-01-01'
-        GROUP BY n_name, o_orderstatus""")
+        GROUP BY n_name, o_orderstatus""",
+        **{name: load(spark, sf_dir, name) for name in ("region", "nation", "customer", "orders", "lineitem")},
+    )

@@ -39,7 +39,7 @@ def same(df, con: duckdb.DuckDBPyConnection, sql: str) -> None:
 
 def type_names(df, con: duckdb.DuckDBPyConnection, sql: str) -> list[tuple[str, str, str]]:
     """Columns whose types differ in kind: (name, Spark's, DuckDB's)."""
-    kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "float": "FLOAT", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE", "array<float>": "FLOAT[]"}
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "float": "FLOAT", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE", "array<float>": "FLOAT[]", "array<bigint>": "BIGINT[]", "array<string>": "VARCHAR[]"}
     found = {c[0]: str(c[1]) for c in con.execute(sql).description}
     described = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
     return [(n, t, described.get(n, found.get(n, ""))) for n, t in df.dtypes if kinds.get(t) != described.get(n)]

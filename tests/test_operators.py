@@ -1,6 +1,7 @@
 """Nulls, ties, repeated rows and empty inputs of the library's own operators, approximate results within their bounds, and plans."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from sparkloom.operators.joins import asof_join, range_join
 from sparkloom.operators.scans import top_per_group
 from sparkloom.operators.windows import sessions
 from sparkloom.plans import registry
-from sparkloom.session import load
+from sparkloom.session import load, shared_dir
 from sparkloom.sources.files import round_trip
 
 registry.load_all()
@@ -36,13 +37,39 @@ def test_range_join_meets_every_pair(spark):
     assert found == expected
     assert range_join(left.limit(0), right, "x", "y", 1, 3).count() == 0
     assert "NestedLoop" not in plan_of(range_join(left, right, "x", "y", 1, 3))
+    assert range_join(left.withColumn("cell", F.lit(8)), right, "x", "y", 1, 3).select("cell").distinct().collect()[0].cell == 8
 
 
 def test_asof_join(spark):
     left = spark.createDataFrame([(1, "a", 5), (2, "a", 1), (3, "b", 9), (4, None, 9), (5, "a", None)], "id int, k string, t int")
     right = spark.createDataFrame([("a", 2, 20), ("a", 5, 50), ("a", 5, 51), ("a", 7, 70), ("b", 10, 1)], "k string, t int, v int")
+    for chunk in (None, lambda c: F.floor(c / 2), lambda c: c):
+        found = {r.id: r.asof_v for r in asof_join(left, right, ["k"], "t", ["v"], chunk).collect()}
+        assert found == {1: 51, 2: None, 3: None, 4: None, 5: None}
+    clashing = left.withColumns({c: F.lit(9) for c in ("_side", "key", "at", "chunk", "left", "found")})
+    rows = asof_join(clashing, right, ["k"], "t", ["v"]).collect()
+    assert {r["_side"] for r in rows} == {9} and rows[0].asDict().keys() == {*clashing.columns, "asof_v"}
+    assert asof_join(left.limit(0), right, ["k"], "t", ["v"]).count() == 0
+    assert {r.asof_v for r in asof_join(left, right.limit(0), ["k"], "t", ["v"]).collect()} == {None}
+
+
+def test_asof_join_over_days(spark):
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    left = spark.createDataFrame([(i, "u", at(7 * i)) for i in range(40)], "id int, k string, t timestamp_ntz")
+    right = spark.createDataFrame([("u", at(h), h) for h in (3, 4, 90, 91, 200)], "k string, t timestamp_ntz, v int")
     found = {r.id: r.asof_v for r in asof_join(left, right, ["k"], "t", ["v"]).collect()}
-    assert found == {1: 51, 2: None, 3: None, 4: None, 5: None}
+    assert found == {i: max((h for h in (3, 4, 90, 91, 200) if h <= 7 * i), default=None) for i in range(40)}
+
+
+def test_joins_with_null_keys(spark):
+    left = spark.createDataFrame([(1, "x"), (2, None), (3, "y")], "a int, k string")
+    right = spark.createDataFrame([("x", 1), (None, 2)], "k string, b int")
+    kinds = {how: sorted((r.a or 0) for r in left.join(right, "k", how).select("a" if how not in ("right",) else F.col("a")).collect()) for how in ("inner", "left", "left_semi", "left_anti", "full")}
+    assert kinds == {"inner": [1], "left": [1, 2, 3], "left_semi": [1], "left_anti": [2, 3], "full": [0, 1, 2, 3]}
+    some = {"l": left, "r": right}
+    assert spark.sql("SELECT a FROM {l} WHERE k NOT IN (SELECT k FROM {r})", **some).collect() == []
+    assert [r.a for r in spark.sql("SELECT a FROM {l} WHERE k NOT IN (SELECT k FROM {r} WHERE k IS NOT NULL)", **some).collect()] == [3]
+    assert sorted(r.a for r in spark.sql("SELECT a FROM {l} l WHERE NOT EXISTS (SELECT 1 FROM {r} r WHERE l.k = r.k)", **some).collect()) == [2, 3]
 
 
 def test_sessions_and_top(spark):
@@ -51,11 +78,27 @@ def test_sessions_and_top(spark):
     found = sorted((r.k or "", r.n) for r in sessions(events, "k", "ts", 600).collect())
     assert found == [("", 2), ("u", 1), ("u", 1), ("u", 3)]
     assert sessions(events.limit(0), "k", "ts", 600).count() == 0
+    close = spark.createDataFrame([("u", at(0)), ("u", at(10) + dt.timedelta(milliseconds=500)), ("v", at(0)), ("v", at(10)), ("w", None)], "k string, ts timestamp_ntz").withColumns({"_new": F.lit(1), "chunk": F.lit(1)})
+    assert sorted((r.k, r.n) for r in sessions(close, "k", "ts", 600).collect()) == [("u", 1), ("u", 1), ("v", 2)]
     top = top_per_group(events, ["k"], [F.desc("ts")], 2)
     assert sorted(r.rank for r in top.collect()) == [1, 1, 2, 2]
     assert "WindowGroupLimit" in plan_of(top)
 
 
+def test_sessions_go_on_over_days(spark):
+    rng = random.Random(4)
+    times = sorted(dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rng.randrange(5 * 86400)) for _ in range(400)) + [dt.datetime(2024, 1, 1, 23, 59), dt.datetime(2024, 1, 2, 0, 1)]
+    times.sort()
+    for gap in (60, 900, 7200, 90_000):
+        expected, start = [], 0
+        for i in range(1, len(times) + 1):
+            if i == len(times) or (times[i] - times[i - 1]).total_seconds() > gap:
+                expected.append((times[start], times[i - 1], i - start))
+                start = i
+        found = sorted((r.started, r.ended, r.n) for r in sessions(spark.createDataFrame([("u", t) for t in times], "k string, ts timestamp_ntz"), "k", "ts", gap).collect())
+        assert found == expected
+
+
 @pytest.mark.parametrize("q", [0.0, 0.1, 0.5, 0.999, 1.0])
 def test_exact_quantile(spark, q):
     rows = [("a", float(i % 97)) for i in range(5000)] + [("b", 1.0), ("b", 2.0), ("c", None), ("d", 7.0), ("d", None), ("e", -3.5)] + [("f", 2.0)] * 50 + [(None, 4.0), (None, 6.0)]
@@ -106,3 +149,18 @@ def test_plans(spark):
 def test_registry_refuses_a_second_name():
     with pytest.raises(ValueError):
         registry.query()(registry.QUERIES["p21_distinct"])
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return self
+
+        def get(self, *_):
+            return None
+
+    session = type("Session", (), {"sparkContext": Context(), "conf": Context()})
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session)
