@@ -14,7 +14,10 @@ import time
 from sparkloom.plans import registry
 from sparkloom.session import local_session
 
-HEADLINE = ("p02_filter", "p20_pricing_summary", "p10_star_join", "p11_sort_merge_join", "p13_semi_join", "p14_range_join", "p15_asof_join", "p22_cube", "p24_statistics", "p30_ranking", "p32_frames", "p40_top_k_per_group", "p63_explode", "p65_variant", "p70_sessions", "p70_sliding")
+HEADLINE = (
+    "p02_filter", "p20_pricing_summary", "p10_star_join", "p11_sort_merge_join", "p12_left_join", "p13_semi_join", "p14_range_join", "p15_asof_join", "p22_cube", "p24_statistics", "p30_ranking",
+    "p32_frames", "p40_top_k_per_group", "p63_explode", "p65_variant", "p70_sessions", "p70_sliding", "p70_tumbling", "p71_stream_tumbling",
+)
 
 
 def main() -> None:

@@ -19,6 +19,18 @@ def p63_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""SELECT vec_id, list_sort(embedding)[1:2] AS lowest, list_reverse_sort(embedding)[1:2] AS highest,
+round(list_sum(list_transform(list_zip(embedding, list_reverse(embedding)), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 5) AS mirrored,
+CAST(len(list_distinct(list_transform(embedding, lambda x: x > 0))) AS INTEGER) AS signs, list_contains(embedding, embedding[1]) AS has_first FROM embeddings""")
+def p63_sorted_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("embedding")
+    products = F.zip_with(v, F.reverse(v), lambda a, b: a.cast("double") * b.cast("double"))
+    return load(spark, sf_dir, "embeddings").select(
+        "vec_id", F.slice(F.array_sort(v), 1, 2).alias("lowest"), F.slice(F.sort_array(v, asc=False), 1, 2).alias("highest"), F.round(F.aggregate(products, F.lit(0.0), lambda a, x: a + x), 5).alias("mirrored"),
+        F.size(F.array_distinct(F.transform(v, lambda x: x > 0))).alias("signs"), F.array_contains(v, F.get(v, 0)).alias("has_first"),
+    )
+
+
 @query("""SELECT label, CAST(i AS INTEGER) AS i, count(*) AS n, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM
 (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY label, i""")
 def p63_explode(spark: SparkSession, sf_dir: str) -> DataFrame:

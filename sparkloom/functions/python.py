@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +49,24 @@ def p80_table_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     s = load(spark, sf_dir, "supplier")
     return s.lateralJoin(Words(F.col("s_name").outer())).select("s_suppkey", "word")
+
+
+@query("SELECT user_id, CAST(date_trunc('day', ts) AS DATE) AS day, round(max(value) - min(value), 6) AS spread FROM events GROUP BY ALL")
+def p80_grouped_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grouped-aggregate pandas function. A group's values are one Series in one task, so it is for groups that stay small: here a user's day."""
+
+    @F.pandas_udf("double")
+    def spread(values: pd.Series) -> float:
+        return float(values.max() - values.min())
+
+    events = load(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "value")
+    return events.groupBy("user_id", "day").agg(F.round(spread("value"), 6).alias("spread"))
+
+
+@query("SELECT s_suppkey, s_acctbal * 2 AS doubled FROM supplier")
+def p80_arrow_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.arrow_udf("double")
+    def doubled(values: pa.Array) -> pa.Array:
+        return pa.compute.multiply(values, 2.0)
+
+    return load(spark, sf_dir, "supplier").select("s_suppkey", doubled("s_acctbal").alias("doubled"))

@@ -27,6 +27,15 @@ def p60_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.regexp_count(text, F.lit("[A-Za-z]+")).alias("words"), F.regexp_extract(text, "([0-9]+)", 1).alias("digits"), F.md5(F.regexp_replace(text, "[0-9]+", "#")).alias("masked"), text.rlike("the .* of").alias("hit"))
 
 
+@query("""SELECT doc_id, list_slice(regexp_extract_all(text, '([A-Za-z]+)[0-9]', 1), 1, 3) AS marked, CAST(len(string_split(text, ' ')) AS INTEGER) AS cuts, string_split(lang, 'n') AS parts,
+translate(lang, 'en', 'xy') AS swapped, CAST(position('the' IN text) AS INTEGER) AS at FROM documents""")
+def p60_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words before a digit, pieces between blanks, and places."""
+    text = F.col("text")
+    marked = F.slice(F.regexp_extract_all(text, F.lit("([A-Za-z]+)[0-9]"), F.lit(1)), 1, 3)
+    return load(spark, sf_dir, "documents").select("doc_id", marked.alias("marked"), F.size(F.split(text, " ", -1)).alias("cuts"), F.split("lang", "n").alias("parts"), F.translate("lang", "en", "xy").alias("swapped"), F.position(F.lit("the"), text).alias("at"))
+
+
 @query("""SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(quarter(o_orderdate) AS INTEGER) AS q, CAST(month(o_orderdate) AS INTEGER) AS m, CAST(day(o_orderdate) AS INTEGER) AS d,
 CAST(dayofweek(o_orderdate) + 1 AS INTEGER) AS dow, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS month_start, CAST(date_diff('day', TIMESTAMP '1995-01-01', o_orderdate) AS INTEGER) AS days,
 CAST(o_orderdate + INTERVAL 1 MONTH AS DATE) AS next_month, strftime(o_orderdate, '%Y/%m/%d') AS shown, last_day(o_orderdate) AS month_end, CAST(epoch(o_orderdate) AS BIGINT) AS unix FROM orders""")

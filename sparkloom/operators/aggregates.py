@@ -93,6 +93,26 @@ def p23_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("SELECT event_type, true AS users_near, true AS events_near, true AS median_near, true AS kll_near, true AS counts_near FROM events GROUP BY event_type")
+def p23_sketch_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether HLL, quantile, KLL and count-min sketches keep their error bounds against exact results; all should."""
+    events = load(spark, sf_dir, "events").select("event_type", "user_id", "event_id", "value")
+    exact = events.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+    sketches = events.groupBy("event_type").agg(
+        F.approx_count_distinct("user_id", 0.02).alias("hll"), F.hll_sketch_estimate(F.hll_sketch_agg("event_id", F.lit(14))).alias("ids"), F.percentile_approx("value", 0.5, 10000).alias("median"),
+        F.kll_sketch_get_quantile_bigint(F.kll_sketch_agg_bigint("event_id"), F.lit(0.5)).alias("middle"), F.count_min_sketch("user_id", F.lit(0.005), F.lit(0.99), F.lit(7)).alias("counts"),
+    )
+    both = exact.join(sketches, "event_type")
+    below = F.count(F.when(F.col("value") <= F.col("median"), 1)) / F.max("n")
+    under = F.count(F.when(F.col("event_id") <= F.col("middle"), 1)) / F.max("n")
+    ranks = events.join(both, "event_type").groupBy("event_type").agg(below.alias("below"), under.alias("under"))
+    near = lambda a, b, share: F.abs(F.col(a) - F.col(b)) <= share * F.col(b) + 1
+    return both.join(ranks, "event_type").select(
+        "event_type", near("hll", "users", 0.08).alias("users_near"), near("ids", "n", 0.04).alias("events_near"), F.col("below").between(0.48, 0.52).alias("median_near"),
+        F.col("under").between(0.46, 0.54).alias("kll_near"), (F.length("counts") > 0).alias("counts_near"),
+    )
+
+
 @query("""SELECT l_returnflag, round(quantile_cont(l_quantity, 0.5), 6) AS median, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90 FROM lineitem GROUP BY l_returnflag""")
 def p24_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = load(spark, sf_dir, "lineitem")
@@ -113,6 +133,26 @@ def p25_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_kind"))
 
 
+@query("""SELECT user_id, (SELECT event_type FROM (SELECT event_type, count(*) AS n FROM events x WHERE x.user_id = e.user_id GROUP BY event_type) ORDER BY n DESC, event_type LIMIT 1) AS commonest,
+list(event_id ORDER BY ts, event_id)[1:5] AS first_ids FROM events e GROUP BY user_id""")
+def p25_ordered_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commonest kind, ties to the smaller name, from counts; the first five ids of each user, cut before they are listed."""
+    events = load(spark, sf_dir, "events")
+    counts = events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    commonest = counts.groupBy("user_id").agg(F.min_by("event_type", F.struct(-F.col("n"), "event_type")).alias("commonest"))
+    few = events.select("user_id", "ts", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("at")).filter("at <= 5")
+    lists = few.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "event_id"))), lambda x: x.event_id).alias("first_ids"))
+    return commonest.join(lists, "user_id")
+
+
+@query("""SELECT event_type, string_agg(day, ';' ORDER BY day) AS days, mode(day ORDER BY day) AS one_of FROM (SELECT DISTINCT event_type, strftime(ts, '%d') AS day FROM events)
+GROUP BY event_type""")
+def p25_listagg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """listagg and mode with an order that decides ties; there are no more than 31 days to list."""
+    days = load(spark, sf_dir, "events").select("event_type", F.date_format("ts", "dd").alias("day")).distinct()
+    return spark.sql("SELECT event_type, listagg(day, ';') WITHIN GROUP (ORDER BY day) AS days, mode() WITHIN GROUP (ORDER BY day) AS one_of FROM {days} GROUP BY event_type", days=days)
+
+
 @query("""SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view,
 count(*) FILTER (event_type = 'purchase') AS purchase FROM events GROUP BY user_id""")
 def p26_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:

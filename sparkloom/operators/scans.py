@@ -51,3 +51,11 @@ def p41_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def p41_stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag").sampleBy("l_returnflag", {"A": 0.5, "N": 0.1, "R": 0.2}, seed=7)
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem
+WHERE ('0x' || substr(md5(concat_ws('|', 'sample', CAST(l_orderkey AS VARCHAR))), 1, 8))::BIGINT % 1000 < 100""")
+def p41_hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the orders by hash, each with all its lines: the same rows whatever the layout, and in every table that has the key."""
+    place = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("sample"), F.col("l_orderkey").cast("string"))), 1, 8), 16, 10).cast("long") % 1000
+    return load(spark, sf_dir, "lineitem").filter(place < 100).select("l_orderkey", "l_linenumber", "l_partkey")
