@@ -6,8 +6,11 @@ radius, and a fingerprint goes inside or outside by its Hamming distance. By the
 inequality a partner within `RADIUS` bits can only stand across a boundary that is no more than
 RADIUS away, so a fingerprint also visits the later shards whose region its ball overlaps. Each
 shard builds its own tree over what it owns, searches it for owners and visitors, and gives
-a spanning star for each group of linked fingerprints, never all pairs. Stars of all
-shards are joined to components by repeated star contraction on Spark.
+a spanning star for each group of linked fingerprints, never all pairs. Shards that own far more than planned (many near-equal
+fingerprints, which no boundary parts) are cut to blocks. Stars of all shards are joined to components by repeated star contraction on Spark.
+
+`keep_alike` uses the same trees for likeness of texts: fingerprints of the sets of single words and of word pairs, in several tables of differently mixed
+hashes, propose partners; whole texts decide, by the Jaccard likeness of their sets of 5-word shingles.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..names import fresh
 from .common import settle, slices, text_key
 
 RADIUS = 3
@@ -28,7 +32,11 @@ SHINGLE = 3
 SEED = 42
 SAMPLE = 1 << 16  # fingerprints that the routing tree is built on
 SHARD_ROWS = 8192  # distinct fingerprints a shard is to own
+DENSE = 1 << 15  # owned fingerprints beyond which a shard is cut to blocks
 LEAF = 48  # fingerprints of a leaf inside a shard
+TABLES = (1, 1, 1, 1, 1, 1, 2, 2)  # words of the shingles of each table's fingerprints in the search for alike texts
+LIKE_SHINGLE = 5  # words of a shingle in the likeness of texts
+LIKE, OF = 4, 5  # least likeness, 4/5, in whole numbers
 
 
 def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
@@ -45,9 +53,8 @@ def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
     return np.array([digest(line[starts[i] : ends[i + span - 1] - 1], SEED) for i in range(n)], np.uint64)
 
 
-def fingerprint(text: str) -> int:
-    """The 64 bits as a signed number; a bit is set if it is in over half of the shingles' hashes."""
-    hashes = shingle_hashes(text)
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed number; 0 without hashes."""
     n = len(hashes)
     if not n:
         return 0
@@ -57,6 +64,21 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(bits * 2 > n, bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: str) -> int:
+    """The 64 bits as a signed number; a bit is set if it is in over half of the shingles' hashes."""
+    return majority(shingle_hashes(text))
+
+
+def mixed(hashes: np.ndarray, table: int) -> np.ndarray:
+    """The hashes turned into others: a bijection for each table, that of table 0 changes nothing."""
+    if not table:
+        return hashes
+    x = hashes + np.uint64(0x9E3779B97F4A7C15 * table & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, text_key and fp (signed 64 bits) of each row; null texts count as empty."""
 
@@ -160,22 +182,29 @@ def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return to[label]
 
 
-def stars(own: np.ndarray, visitors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(member, root) fingerprints of each group that links within RADIUS bits form among owners and visitors.
-
-    Visitors link to owners only. A leaf's links are folded to groups at once, so nothing grows with the number of pairs.
-    """
-    points = np.concatenate([own, visitors])
+def neighbours(own: np.ndarray, points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in points, places in own, matrix of which are within RADIUS bits), in blocks, for all pairs that the tree over `own` can't rule out."""
     tree = Tree(own, LEAF)
-    label = np.arange(len(points))
     for leaf, at in tree.visits(points):
         members = tree.members[leaf]
         for low in range(0, len(members), 256):
             part = members[low : low + 256]
             for cut in range(0, len(at), 8192):
                 some = at[cut : cut + 8192]
-                i, j = np.nonzero(hamming(points[some][:, None], own[part][None, :]) <= RADIUS)
-                label = merged(label, label[some[i]], label[part[j]])
+                yield some, part, hamming(points[some][:, None], own[part][None, :]) <= RADIUS
+
+
+def stars(own: np.ndarray, visitors: np.ndarray, within: bool = True, *_) -> tuple[np.ndarray, np.ndarray]:
+    """(member, root) fingerprints of each group that links within RADIUS bits form among owners and visitors.
+
+    Visitors link to owners only, owners to each other if `within`. A leaf's links are folded to groups at once, so nothing grows with the number of pairs.
+    """
+    points = np.concatenate([own, visitors])
+    first = 0 if within else len(own)
+    label = np.arange(len(points))
+    for some, part, near in neighbours(own, points[first:]):
+        i, j = np.nonzero(near)
+        label = merged(label, label[some[i] + first], label[part[j]])
     signed = points.view(np.int64)
     lead = np.full(len(points), np.iinfo(np.int64).max)
     np.minimum.at(lead, label, signed)
@@ -183,34 +212,98 @@ def stars(own: np.ndarray, visitors: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return signed[linked], lead[label][linked]
 
 
-def links(fps: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Edges (a, b), b < a, whose components are those of all links among the distinct fingerprints `fps.fp`.
+def partners(own: np.ndarray, visitors: np.ndarray, within: bool, own_size: np.ndarray, visitor_size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) fingerprints within RADIUS bits: for each owner and visitor the partners that are next below and next above it by size.
 
-    The driver sees a sample of SAMPLE fingerprints at most, an eighth of them on small inputs, and the routing tree made of it.
+    Alike texts have nearly the same size. Two partners for a point, however many it has: the pairs of a large family grow with its size, not with the square.
+    """
+    points = np.concatenate([own, visitors])
+    order = np.lexsort((mixed(points, 1), np.concatenate([own_size, visitor_size])))
+    rank = np.empty(len(points), np.int64)
+    rank[order] = np.arange(len(points))
+    first = 0 if within else len(own)
+    below, above = np.full(len(points), -1), np.full(len(points), len(points))
+    for some, part, near in neighbours(own, points[first:]):
+        left, right = rank[some + first], rank[part]
+        for here, there, met in ((left, right, near), (right, left, near.T)):
+            at = np.flatnonzero(met.any(1))
+            less = there[None, :] < here[at, None]
+            np.maximum.at(below, here[at], np.where(met[at] & less, there[None, :], -1).max(1, initial=-1))
+            np.minimum.at(above, here[at], np.where(met[at] & ~less & (there[None, :] > here[at, None]), there[None, :], len(points)).min(1, initial=len(points)))
+    low, high = np.flatnonzero(below >= 0), np.flatnonzero(above < len(points))
+    ranked = points[order].view(np.int64)
+    return np.concatenate([ranked[low], ranked[high]]), np.concatenate([ranked[below[low]], ranked[above[high]]])
+
+
+INDEXED, ASKING = 1, 2  # what a fingerprint is in a group: others search it, it searches others
+
+
+def search_shards(fps: DataFrame, search=stars, shard_rows: int = SHARD_ROWS, dense: int = DENSE) -> DataFrame:
+    """tab, a and b: what `search` gives for the shards of the rows (tab, fp, size), distinct by tab and fp; each table is searched for itself.
+
+    The driver sees a sample of SAMPLE fingerprints a table at most, an eighth of them on small inputs, the routing trees made of it, and
+    the shards that own more than `dense`: no more than the trees have leaves. A shard of B times as many is cut to B blocks of owners, and
+    those that search it to B parts, so a group stays near `dense` owners; each pair of fingerprints meets in one group only.
     """
     spark = fps.sparkSession
-    n = fps.count()
-    shards = max(1, -(-n // shard_rows))
-    part = min(0.125, SAMPLE / max(1, n))
-    sample = fps.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 24)) < int(part * (1 << 24))).limit(2 * SAMPLE).toPandas()["fp"] if shards > 1 else []
-    seeds = np.sort(np.asarray(sample, np.int64)).view(np.uint64)
-    router = spark.sparkContext.broadcast(Tree(seeds, max(1, len(seeds) // (2 * shards)), shards))
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    sizes = {r.tab: r.n for r in fps.groupBy("tab").agg(F.count("*").alias("n")).collect()}
+    largest = max(sizes.values(), default=0)
+    part = min(0.125, SAMPLE / max(1, largest))
+    taken = fps.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 24)) < int(part * (1 << 24))).limit(2 * SAMPLE * max(1, len(sizes))).toPandas() if largest > shard_rows else None
+    trees = {}
+    for tab, n in sizes.items():
+        shards = -(-n // shard_rows)
+        sample = taken["fp"][taken["tab"] == tab] if shards > 1 else []
+        seeds = np.sort(np.asarray(sample, np.int64)).view(np.uint64)
+        trees[tab] = Tree(seeds, max(1, len(seeds) // (2 * shards)), shards)
+    routers = spark.sparkContext.broadcast(trees)
+
+    def owned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            points = pdf["fp"].to_numpy(np.int64).view(np.uint64)
-            own = router.value.owners(points)
-            for leaf, at in router.value.visits(points):
-                at = at[own[at] <= leaf]  # a pair across shards meets in the later one
-                yield pd.DataFrame({"shard": leaf, "fp": points[at].view(np.int64), "own": own[at] == leaf})
+            for tab, rows in pdf.groupby("tab"):
+                leaf, n = np.unique(routers.value[tab].owners(rows["fp"].to_numpy(np.int64).view(np.uint64)), return_counts=True)
+                yield pd.DataFrame({"tab": tab, "leaf": leaf, "n": n})
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        points, own = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["own"].to_numpy(bool)
-        a, b = stars(np.sort(points[own]), np.sort(points[~own]))
-        return pd.DataFrame({"a": a, "b": b})
+    crowded = {}
+    if largest > dense:
+        counts = fps.mapInPandas(owned, "tab int, leaf int, n long").groupBy("tab", "leaf").agg(F.sum("n").alias("n")).filter(F.col("n") > dense)
+        crowded = {(r.tab, r.leaf): -(-r.n // dense) for r in counts.collect()}
 
-    dealt = fps.mapInPandas(deal, "shard int, fp long, own boolean")
-    return dealt.groupBy("shard").applyInPandas(search, "a long, b long")
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for tab, rows in pdf.groupby("tab"):
+                points, sizes_of = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["size"].to_numpy()
+                own = routers.value[tab].owners(points)
+                for leaf, at in routers.value[tab].visits(points):
+                    at = at[own[at] <= leaf]  # a pair across shards meets in the later one
+                    signed, size, mine, many = points[at].view(np.int64), sizes_of[at], own[at] == leaf, crowded.get((tab, leaf), 1)
+                    key = {"tab": tab, "leaf": leaf}
+                    if many == 1:
+                        yield pd.DataFrame(key | {"block": 0, "part": 0, "fp": signed, "size": size, "role": np.where(mine, INDEXED | ASKING, ASKING)})
+                        continue
+                    spread = mixed(points[at], 2)
+                    block, piece = (spread % np.uint64(many)).astype(int), (spread // np.uint64(many) % np.uint64(many)).astype(int)
+                    for b in range(many):
+                        asks = ~mine | (block > b)
+                        yield pd.DataFrame(key | {"block": b, "part": piece[asks], "fp": signed[asks], "size": size[asks], "role": ASKING})
+                        held = mine & (block == b)
+                        for k in range(many):
+                            yield pd.DataFrame(key | {"block": b, "part": k, "fp": signed[held], "size": size[held], "role": INDEXED if k else INDEXED | ASKING})
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("fp")
+        points, role, size = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["role"].to_numpy(), pdf["size"].to_numpy()
+        own = role & INDEXED > 0
+        a, b = search(points[own], points[~own], bool((role[own] & ASKING).any()), size[own], size[~own])
+        return pd.DataFrame({"tab": pdf["tab"].iloc[0], "a": a, "b": b})
+
+    dealt = fps.select("tab", "fp", "size").mapInPandas(deal, "tab int, leaf int, block int, part int, fp long, size int, role int")
+    return dealt.groupBy("tab", "leaf", "block", "part").applyInPandas(run, "tab int, a long, b long")
+
+
+def links(fps: DataFrame, shard_rows: int = SHARD_ROWS, dense: int = DENSE) -> DataFrame:
+    """Edges (a, b), b < a, whose components are those of all links among the distinct fingerprints `fps.fp`."""
+    return search_shards(fps.select(F.lit(0).alias("tab"), "fp", F.lit(0).alias("size")), stars, shard_rows, dense).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -278,17 +371,100 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def keep_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The documents that `keep_one` keeps, from the doc_id, text_key, fp and component_id of every row."""
+    ident, unnamed, key = KEY = [fresh(f"_kept_{n}", docs) for n in ("id", "unnamed", "text")]
+
+    def keys(text) -> list:
+        """The id in two columns without nulls, so that join and deduplication share one shuffle."""
+        return [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(ident), F.col("doc_id").isNull().alias(unnamed), text.alias(key)]
+
     named = rows.filter("component_id is not null and doc_id = component_id").groupBy("doc_id").agg(F.min("text_key").alias("text_key"))
-    unnamed = rows.filter("component_id is null").groupBy("fp").agg(F.min("text_key").alias("text_key")).select(F.lit(None).cast("long").alias("doc_id"), "text_key")
-    kept = named.unionAll(unnamed).select(*_key("doc_id"), F.col("text_key").alias("_kept_text"))
-    keyed = docs.select("*", *_key("doc_id"), text_key().alias("_kept_text"))
-    one = keyed.join(kept.hint("shuffle_hash"), KEY, "left_semi")
-    return one.dropDuplicates(KEY).drop(*KEY)
+    nameless = rows.filter("component_id is null").groupBy("fp").agg(F.min("text_key").alias("text_key")).select(F.lit(None).cast("long").alias("doc_id"), "text_key")
+    kept = named.unionAll(nameless).select(*keys(F.col("text_key")))
+    one = docs.select("*", *keys(text_key())).join(kept.hint("shuffle_hash"), KEY, "left_semi")
+    return one.dropDuplicates(KEY).select(docs.columns)
+
+
+def shingle_set(text: str) -> np.ndarray:
+    """The distinct 5-word shingles' hashes in ascending order."""
+    return np.unique(shingle_hashes(text, LIKE_SHINGLE))
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the sets' Jaccard likeness reaches the bound; two empty sets are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return OF * both >= LIKE * (len(a) + len(b) - both)
+
+
+def word_prints(docs: DataFrame, tables: tuple[int, ...] = TABLES) -> DataFrame:
+    """doc_id, text_key, class (a hash of the text's shingle set), size of that set, and prints: for each table a fingerprint of the set of words or word pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch):
+                names, sizes, prints = [], [], []
+                for text in piece.column(2).to_pylist():
+                    shingles, few = shingle_set(text or ""), {n: np.unique(shingle_hashes(text or "", n)) for n in set(tables)}
+                    names.append(xxhash.xxh64_intdigest(shingles.tobytes()) if len(shingles) else 0)
+                    sizes.append(len(shingles))
+                    prints.append([majority(mixed(few[n], t)) for t, n in enumerate(tables)])
+                arrays = [pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prints, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *arrays], ["doc_id", "text_key", "class", "size", "prints"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
+    return texts.mapInArrow(run, "doc_id long, text_key long, class long, size int, prints array<bigint>")
+
+
+def proposed(classes: DataFrame, shard_rows: int = SHARD_ROWS, dense: int = DENSE) -> DataFrame:
+    """Pairs (a, b), a < b, of classes whose fingerprints are equal or near in a table, and whose sizes allow the likeness.
+
+    Of the classes of one fingerprint each meets the least; fingerprints meet by their least classes. So pairs grow with the number of classes.
+    """
+    printed = classes.select("class", "size", F.posexplode("prints").alias("tab", "fp"))
+    lead = F.min(F.struct("class", "size"))
+    fps = settle(printed.groupBy("tab", "fp").agg(F.count("*").alias("n"), lead.alias("lead")))
+    equal = printed.join(fps.filter("n > 1"), ["tab", "fp"]).select(F.struct("class", "size").alias("x"), F.col("lead").alias("y"))
+    near = search_shards(fps.select("tab", "fp", F.col("lead.size").alias("size")), partners, shard_rows, dense).select("tab", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left, right = fps.select("tab", F.col("fp").alias("a"), F.col("lead").alias("x")), fps.select("tab", F.col("fp").alias("b"), F.col("lead").alias("y"))
+    pairs = equal.unionAll(near.join(left, ["tab", "a"]).join(right, ["tab", "b"]).select("x", "y")).filter("x.class <> y.class")
+    fits = OF * F.least("x.size", "y.size") >= LIKE * F.greatest("x.size", "y.size")
+    return pairs.filter(fits).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+
 
+def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose whole texts are alike. Only texts of classes in pairs are moved."""
 
-KEY = ["_kept_id", "_kept_unnamed", "_kept_text"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, 100):
+                good = [alike(shingle_set(x), shingle_set(y)) for x, y in zip(piece.column(2).to_pylist(), piece.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    pairs = settle(pairs)
+    wanted = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).distinct()
+    one = rows.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("text_key").alias("text_key"))
+    held = docs.select(text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text")).join(one, "text_key").dropDuplicates(["class"])
+    held = settle(held.select("class", "text"))
+    both = pairs.join(held.select(F.col("class").alias("a"), F.col("text").alias("x")), "a").join(held.select(F.col("class").alias("b"), F.col("text").alias("y")), "b")
+    return settle(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+
+
+def alike_groups(docs: DataFrame, tables: tuple[int, ...] = TABLES, shard_rows: int = SHARD_ROWS, dense: int = DENSE) -> DataFrame:
+    """doc_id, text_key, fp (the class) and component_id of every row, as in `group`, for texts whose likeness is 0.8 or more.
+
+    Likeness is the Jaccard likeness of the sets of 5-word shingles (fewer words: the whole sequence; texts without words are alike). Texts of one set
+    are one class, so copies cost nothing. Every link is verified on whole texts, so no text is joined to one that isn't alike. A link can be
+    missed: when the fingerprints of its texts lie over RADIUS bits apart in every table, or when a text with more than two partners is alike only to
+    those it didn't propose. The README states how many are found.
+    """
+    rows = settle(word_prints(docs, tables))
+    nodes = settle(rows.groupBy("class").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("prints").alias("prints")))
+    roots = components(verified(proposed(nodes, shard_rows, dense), rows, docs))
+    named = nodes.join(roots, nodes["class"] == roots.node, "left").select("class", "least", F.coalesce("root", "class").alias("root"))
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_class = settle(named.join(ids, "root").select("class", "component_id"))
+    return rows.join(by_class, "class").select("doc_id", "text_key", F.col("class").alias("fp"), "component_id")
 
 
-def _key(column: str) -> list:
-    """The id in two columns without nulls, so that join and deduplication share one shuffle."""
-    return [F.coalesce(F.col(column).cast("long"), F.lit(0)).alias(KEY[0]), F.col(column).isNull().alias(KEY[1])]
+def keep_alike(docs: DataFrame, tables: tuple[int, ...] = TABLES) -> DataFrame:
+    """One document of each group of alike texts, with all columns of docs; which one as in `keep_one`. Null texts are empty; no rows in, no rows out."""
+    return keep_rows(docs, settle(alike_groups(docs, tables)))

@@ -216,9 +216,33 @@ def test_simhash_shards_lose_no_link(spark):
         label = low
     signed = u.view(np.int64)
     fps = spark.createDataFrame([(int(x),) for x in signed], "fp long")
-    roots = {r.node: r.root for r in simhash.components(simhash.links(common.settle(fps), shard_rows=32)).collect()}
-    mine = [roots.get(int(x), int(x)) for x in signed]
+    for dense in (simhash.DENSE, 24):
+        roots = {r.node: r.root for r in simhash.components(simhash.links(common.settle(fps), shard_rows=32, dense=dense)).collect()}
+        mine = [roots.get(int(x), int(x)) for x in signed]
+        assert len({(a, b) for a, b in zip(mine, label)}) == len(set(mine)) == len(set(label))
+
+
+def test_simhash_dense_family_is_cut_to_blocks(spark):
+    """Many fingerprints within few bits of one: no boundary parts them."""
+    rng = np.random.default_rng(9)
+    centre = int(rng.integers(0, 1 << 62))
+    points = {centre ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(1, 9)), replace=False)) for _ in range(1500)}
+    u = np.array(sorted(points), np.uint64)
+    label = np.arange(len(u))
+    close = np.bitwise_count(u[:, None] ^ u[None, :]) <= 3
+    while True:
+        low = label[np.where(close, label[None, :], len(u)).min(1)]
+        low = np.minimum(low, label)
+        if (low == label).all():
+            break
+        label = low
+    fps = common.settle(spark.createDataFrame([(int(x),) for x in u.view(np.int64)], "fp long"))
+    edges = simhash.links(fps, shard_rows=200, dense=100)
+    roots = {r.node: r.root for r in simhash.components(edges).collect()}
+    mine = [roots.get(int(x), int(x)) for x in u.view(np.int64)]
     assert len({(a, b) for a, b in zip(mine, label)}) == len(set(mine)) == len(set(label))
+    near = simhash.search_shards(fps.selectExpr("0 as tab", "fp", "0 as size"), lambda own, visitors, *_: (np.array([len(own)]), np.array([len(visitors)])), 200, 100).collect()
+    assert len(near) > 50 and max(r.a for r in near) < 300
 
 
 # SpotSigs

@@ -1,11 +1,11 @@
-"""The pipeline's near_dedup stage against all pairs of texts."""
+"""The pipeline's near_dedup stage against all pairs of texts: nothing goes that isn't alike, and most of what is goes, even with few different words and edits close to the bound."""
 
 import random
 
 from samples import prose
 
 import corpus_pipeline
-from sparkloom.llm import nearcopies, simhash
+from sparkloom.llm import simhash
 
 
 def edited(rng: random.Random, text: str, edits: int) -> str:
@@ -24,7 +24,7 @@ def test_stage_keeps_one_of_each_group_of_alike_texts(spark):
     for _ in range(40):
         base = prose(rng, rng.randrange(20, 400))
         texts += [base, *(edited(rng, base, rng.randrange(1, 8)) for _ in range(2))]
-    sets = [set(nearcopies.shingles(t or "").tolist()) for t in texts]
+    sets = [set(simhash.shingle_set(t or "").tolist()) for t in texts]
     root = list(range(len(texts)))
     for i, a in enumerate(sets):
         for j in range(i):
@@ -34,12 +34,14 @@ def test_stage_keeps_one_of_each_group_of_alike_texts(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = corpus_pipeline.drop_near_copies(spark, docs, "")
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
-    assert len(set(root)) < simhash.keep_one(docs).count()
+    left = {r.doc_id for r in kept.collect()}
+    assert left >= set(root)  # only texts that links join to one with a smaller id go
+    assert len(texts) - len(left) >= 0.85 * (len(texts) - len(set(root)))
+    assert len(left) < simhash.keep_one(docs).count()
 
 
 def test_odd_rows(odd, none):
-    kept = nearcopies.keep_one(odd)
+    kept = simhash.keep_alike(odd)
     assert kept.columns == odd.columns
     assert sorted(r.doc_id or 0 for r in kept.collect() if r.text == "same text here again") == [12]
-    assert nearcopies.keep_one(none).collect() == []
+    assert simhash.keep_alike(none).collect() == []
