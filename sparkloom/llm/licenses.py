@@ -2,16 +2,17 @@
 
 Texts become lower-case words joined by one space. A notice of which up to k characters may
 differ is cut into k + 1 pieces; wherever it occurs with at most k errors, at least one piece
-occurs unchanged (pigeonhole). An Aho-Corasick automaton finds the pieces and windows around them
-are joined. A window stays a candidate only if it has enough of the notice's character trigrams
+occurs unchanged (pigeonhole). An Aho-Corasick automaton finds the pieces; pieces that point to nearly the same place share a window, no longer
+than the notice and four times k. A window stays a candidate only if it has enough of the notice's character trigrams
 (each error spoils three at most); the regex library's bounded-error matching then verifies it and
-gives the span.
+gives the span. Work is linear in the number of pieces found.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
-import re
+import heapq
 
 from pyspark.sql import DataFrame
 
@@ -79,41 +80,46 @@ def _machine(notices=NOTICES, share: int = ERROR_SHARE):
 def fuzzy(norm: str, notices=NOTICES, share: int = ERROR_SHARE) -> list[tuple[int, int, str, float]]:
     """(start, end, label, similarity) of notices in normalised text with at most their allowed errors; offsets in `norm`."""
     auto, checks = _machine(notices, share)
-    windows: dict[int, list[list[int]]] = {}
+    starts: dict[int, set[int]] = {}
     for end, (length, uses) in auto.iter(norm):
         for n, at in uses:
-            _, size, k, _, _ = checks[n]
-            start = end + 1 - length - at
-            a, b = max(0, start - k), min(len(norm), start + size + k)
-            mine = windows.setdefault(n, [])
-            if mine and a <= mine[-1][1]:
-                mine[-1] = [min(a, mine[-1][0]), max(b, mine[-1][1])]
-            else:
-                mine.append([a, b])
+            starts.setdefault(n, set()).add(end + 1 - length - at)
+    return sorted(span for n, places in starts.items() for span in _verified(norm, sorted(places), *checks[n]))
+
+
+def _verified(norm: str, places: list[int], pattern, size: int, k: int, label: str, grams: list[str]) -> list[tuple[int, int, str, float]]:
+    """Spans of one notice that may start at `places`; they don't overlap, and each occurrence with at most k errors overlaps one.
+
+    Of matches that overlap, the one with fewest errors stays, of equal ones the first; what is left of the others' windows is searched again.
+    """
+    found: list[tuple[int, int, int, int, int]] = []
+
+    def look(low: int, high: int) -> None:
+        if high - low < size - k:
+            return
+        window = norm[low:high]
+        if sum(g in window for g in grams) >= len(grams) - 3 * k and (m := pattern.search(window)):
+            heapq.heappush(found, (sum(m.fuzzy_counts), low + m.start(), low + m.end(), low, high))
+
+    at = 0
+    while at < len(places):
+        begin = last = places[at]
+        while at < len(places) and places[at] <= begin + 2 * k:
+            last, at = places[at], at + 1
+        look(max(0, begin - k), min(len(norm), last + size + k))
+    kept: list[tuple[int, int]] = []
     out = []
-    for n, mine in windows.items():
-        pattern, size, k, label, grams = checks[n]
-        for a, b in joined(mine):
-            window = norm[a:b]
-            if sum(g in window for g in grams) < len(grams) - 3 * k:
-                continue
-            todo = [(a, b)]
-            while todo:
-                a, b = todo.pop()
-                # the best match comes first; worse ones may stand on both sides of it
-                if b - a >= size - k and (m := pattern.search(norm, a, b)):
-                    out.append((m.start(), m.end(), label, 1 - sum(m.fuzzy_counts) / size))
-                    todo += [(a, m.start()), (m.end(), b)]
-    return sorted(out)
-
-
-def joined(windows: list[list[int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(windows):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(b, out[-1][1])
-        else:
-            out.append([a, b])
+    while found:
+        errors, start, end, low, high = heapq.heappop(found)
+        i = bisect.bisect_right(kept, (start, len(norm)))
+        beside = [kept[j] for j in (i - 1, i) if 0 <= j < len(kept)]
+        crossing = [x for x in beside if x[0] < end and start < x[1]]
+        if not crossing:
+            kept.insert(i, (start, end))
+            out.append((start, end, label, 1 - errors / size))
+            crossing = [(start, end)]
+        look(low, min(high, crossing[0][0]))
+        look(max(low, crossing[-1][1]), high)
     return out
 
 
@@ -121,12 +127,25 @@ def base_places(norm: bytes) -> list[tuple[int, str]]:
     """(word index, label) of each place where a base phrase's words stand consecutively."""
     out = []
     for phrase, label in BASE:
-        needle, at = b" " + phrase.encode() + b" ", -1
+        needle, at, words, counted = b" " + phrase.encode() + b" ", -1, 0, 0
         while (at := norm.find(needle, at + 1)) >= 0:
-            out.append((norm.count(b" ", 0, at), label))
+            words += norm.count(b" ", counted, at)
+            counted = at
+            out.append((words, label))
     return out
 
 
+def word_spans(body: str, found: list[tuple[int, int, str, float]]) -> str:
+    """The spans as label:first word:word after the last, in their order, which is that of their starts."""
+    out, words, counted = [], 0, 0
+    for a, b, label, _ in found:
+        inside = a + (body[a : a + 1] == " ")
+        words += body.count(" ", counted, inside)
+        counted = inside
+        out.append(f"{label}:{words - 1}:{words - 1 + len(body[a:b].split())}")
+    return ",".join(out)
+
+
 def _scan(texts: list[str]) -> dict[str, list]:
     out: dict[str, list] = {k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")}
     for t in texts:
@@ -142,7 +161,7 @@ def _scan(texts: list[str]) -> dict[str, list]:
         out["base_labels"].append(",".join(sorted(labels)))
         out["labels"].append(",".join(sorted(labels | {x[2] for x in found})))
         out["score"].append(1.0 if base else max((x[3] for x in found), default=0.0))
-        out["spans"].append(",".join(f"{label}:{(first := body.count(' ', 0, a + (body[a:a + 1] == ' ')) - 1)}:{first + len(body[a:b].split())}" for a, b, label, _ in found))
+        out["spans"].append(word_spans(body, found))
     return out
 
 
@@ -152,6 +171,6 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     n_words, the base phrases' places (n_base, first_word, last_word, base_labels), all labels, a score from 0 to 1
     (1: a base phrase; else the best notice's share of characters that agree) and the fuzzy spans as
     label:first word:word after the last. One row per input row; null and empty texts have no words, no places,
-    empty labels and score 0. Overlapping places of one phrase all count. No shuffle; memory is one Arrow batch.
+    empty labels and score 0; other columns don't matter. Overlapping places of one phrase all count. A text with very many places costs in proportion to them. No shuffle; memory is one Arrow batch.
     """
     return map_texts(docs, _scan, "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string", text_col=text_col)
