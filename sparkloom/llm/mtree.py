@@ -16,7 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +27,8 @@ PIVOTS = 1024  # most pivots
 PIVOT_SAMPLE = 8192  # vectors they are chosen among
 SHARD_ROWS = 4096  # vectors of a shard
 PAGE = 128  # entries of a tree page
-QUERY_BLOCK = 2048  # queries that one task searches a shard for
+QUERY_BLOCK = 2048  # queries that one task searches a shard for, or holds against regions
+REGION_BLOCK = 2048  # shards' regions that one task holds queries against
 MARGIN = 1e-6
 
 
@@ -47,7 +47,7 @@ class MTree:
     """
 
     def __init__(self, points: np.ndarray, first, row, radius, to_parent, child):
-        self.points = points
+        self.points, self.computed = points, 0
         self.first, self.row, self.child = (np.asarray(x, np.int64) for x in (first, row, child))
         self.radius, self.to_parent = np.asarray(radius, np.float64), np.asarray(to_parent, np.float64)
 
@@ -85,7 +85,10 @@ class MTree:
         return cls(points, first, row, radius, to_parent, child)
 
     def search(self, q: np.ndarray, whole: np.ndarray, ids: np.ndarray, values: np.ndarray, own: int, k: int, top: list, base: float) -> list:
-        """Best k (score, -id) as a heap, starting from `top`. q: augmented query; whole: its integers; base: |q|^2 + M^2."""
+        """Best k (score, -id) as a heap, starting from `top`. q: augmented query; whole: its integers; own: the place of its own row, or -1; base: |q|^2 + M^2.
+
+        `computed` counts the distances and products that were computed.
+        """
 
         def reach() -> float:
             return np.inf if len(top) < k else np.sqrt(max(base - 2 * top[0][0], 0.0)) + MARGIN
@@ -102,13 +105,14 @@ class MTree:
             if not len(entries):
                 continue
             rows = self.row[entries]
+            self.computed += len(rows)
             if self.child[entries[0]] < 0:
                 scores = values[rows] @ whole
                 if len(top) >= k:
                     good = scores >= top[0][0]
                     rows, scores = rows[good], scores[good]
-                for i, s in zip(ids[rows].tolist(), scores.tolist()):
-                    if i != own:
+                for at, i, s in zip(rows.tolist(), ids[rows].tolist(), scores.tolist()):
+                    if at != own:
                         if len(top) < k:
                             heapq.heappush(top, (s, -i))
                         elif (s, -i) > top[0]:
@@ -131,32 +135,33 @@ def top_k(vectors: DataFrame, is_query, k: int = K, shard_rows: int = SHARD_ROWS
     """query_id, rank, vec_id and score of each query's k best other rows (all, if there are fewer).
 
     is_query: a condition on the id. Scores are integer inner products of the quantised vectors, ties go to
-    the smaller id, a query's own id is no candidate. Shorter vectors count as padded with zeros. Repeated rows of an id are
-    one row. Products must fit 63 bits. A query without candidates, like an empty table, gives no row.
+    the smaller id. Every row is a candidate, rows of an equal id too, but a query's own row is not; of several rows with one query id each is a query
+    and has its own ranks. Shorter vectors count as padded with zeros. Rows without an id take no part. Products must fit 63 bits. A query without
+    candidates, like an empty table, gives no row; other columns don't matter.
 
     Round one searches each query's own shard; its k-th score bounds round two, in which a query goes to those
     other shards only whose covering radius comes near enough. A task holds one shard and one block of queries.
     """
     spark = vectors.sparkSession
-    rows = settle(quantised(vectors, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v")))
+    rows = settle(quantised(vectors, id_col, vector_col).select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"))
     facts = rows.agg(F.count("*"), F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x))).first()
     n, dims, norm2 = facts[0], int(facts[1] or 0), float(facts[2] or 0)
     part = min(1.0, PIVOT_SAMPLE / max(1, n))
-    sample = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 24)) < int(part * (1 << 24))).select("v").limit(2 * PIVOT_SAMPLE).toPandas()["v"]
+    sample = rows.filter(F.pmod(F.xxhash64("row"), F.lit(1 << 24)) < int(part * (1 << 24))).select("v").limit(2 * PIVOT_SAMPLE).toPandas()["v"]
     pivots = spark.sparkContext.broadcast(far_apart(augmented(matrix(sample, dims), norm2), min(PIVOTS, max(1, n // shard_rows))))
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             points = augmented(matrix(pdf["v"], dims), norm2)
             d = ((points**2).sum(1)[:, None] + (pivots.value**2).sum(1)[None, :] - 2 * points @ pivots.value.T) if len(points) else np.zeros((0, 1))
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "v": pdf["v"], "pivot": d.argmin(1)})
+            yield pdf.assign(pivot=d.argmin(1))
 
-    dealt = settle(rows.mapInPandas(near, "vec_id long, v array<long>, pivot int"))
+    dealt = settle(rows.mapInPandas(near, "row long, vec_id long, v array<long>, pivot int"))
     sizes = dealt.groupBy("pivot").agg(F.count("*").alias("rows"))  # one row a pivot
     parts = F.ceil(F.col("rows") / shard_rows).cast("int")
-    sharded = dealt.join(F.broadcast(sizes), "pivot").select("vec_id", "v", (F.col("pivot") * F.lit(1 << 32) + F.pmod(F.xxhash64("vec_id"), parts)).alias("shard"))
+    sharded = dealt.join(F.broadcast(sizes), "pivot").select("row", "vec_id", "v", (F.col("pivot") * F.lit(1 << 32) + F.pmod(F.xxhash64("row"), parts)).alias("shard"))
 
-    tree_schema = "shard long, centre array<double>, reach double, ids array<long>, data binary, first array<int>, row array<int>, radius array<double>, to_parent array<double>, child array<int>"
+    tree_schema = "shard long, centre array<double>, reach double, rows array<long>, ids array<long>, data binary, first array<int>, row array<int>, radius array<double>, to_parent array<double>, child array<int>"
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         values = matrix(pdf["v"], dims)
@@ -164,18 +169,18 @@ def top_k(vectors: DataFrame, is_query, k: int = K, shard_rows: int = SHARD_ROWS
         tree = MTree.load(points)
         centre = points[((points - points.mean(0)) ** 2).sum(1).argmin()]
         far = np.sqrt(((points - centre) ** 2).sum(1)).max()
-        row = {"shard": pdf["shard"].iloc[0], "centre": centre, "reach": far, "ids": pdf["vec_id"].to_numpy(), "data": values.tobytes()}
+        row = {"shard": pdf["shard"].iloc[0], "centre": centre, "reach": far, "rows": pdf["row"].to_numpy(), "ids": pdf["vec_id"].to_numpy(), "data": values.tobytes()}
         return pd.DataFrame([row | {name: getattr(tree, name) for name in PAGES}])
 
     shards = settle(sharded.groupBy("shard").applyInPandas(build, tree_schema))
-    queries = sharded.filter(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "v", "shard", F.lit(None).cast("double").alias("limit"))
-    first = settle(search(queries, shards, dims, norm2, k))
-    kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("score"))
+    queries = settle(sharded.filter(is_query(F.col("vec_id"))).select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), "v", "shard"))
+    first = settle(search(queries.withColumn("limit", F.lit(None).cast("double")), shards, dims, norm2, k))
+    kth = first.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("score"))
     limit = F.when(F.col("n") >= k, F.col("score").cast("double"))  # a lower bound of the k-th score
-    asked = queries.drop("limit").join(kth.select("query_id", limit.alias("limit")), "query_id", "left")
-    regions = shards.select("shard", "centre", "reach")
-    second = search(visits(asked, regions, dims, norm2), shards, dims, norm2, k)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    asked = queries.join(kth.select("query", limit.alias("limit")), "query", "left")
+    others = visits(asked, shards.select("shard", "centre", "reach"), dims, norm2)
+    second = search(others.join(queries.drop("shard"), "query"), shards, dims, norm2, k)
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     found = first.unionAll(second).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")
 
@@ -202,53 +207,50 @@ def far_apart(points: np.ndarray, n: int) -> np.ndarray:
 
 
 def visits(asked: DataFrame, regions: DataFrame, dims: int, norm2: float) -> DataFrame:
-    """A row for each query and other shard that may hold one of its best: block by block, a shard's region against the query's bound."""
+    """query, shard and limit for each query and other shard that may hold one of its best.
+
+    A task holds a block of queries against a block of regions; the number of blocks follows both counts. Vectors are joined to what is left.
+    """
+    n_queries, n_regions = asked.count(), regions.count()
+    tall, wide = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n_regions // REGION_BLOCK))
 
     def near(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "v": [], "shard": [], "limit": []}
+        out = []
         if len(left) and len(right):
-            centres, radii = np.stack(right["centre"].to_numpy()), right["reach"].to_numpy()
-            shards = right["shard"].tolist()
-            for query, v, own, limit in zip(left["query_id"], left["v"], left["shard"], left["limit"]):
-                whole = matrix([v], dims)[0]
-                base = float(whole @ whole) + norm2
-                d = np.sqrt(np.maximum(((centres[:, :-1] - whole) ** 2).sum(1) + centres[:, -1] ** 2, 0)) - radii
-                far = np.inf if limit != limit or limit is None else np.sqrt(max(base - 2 * limit, 0.0)) + MARGIN
-                for i in np.flatnonzero(d <= far):
-                    if shards[i] != own:
-                        out["query_id"].append(query)
-                        out["v"].append(v)
-                        out["shard"].append(shards[i])
-                        out["limit"].append(limit)
-        return pd.DataFrame(out | {"v": pd.Series(out["v"], dtype=object)})
-
-    blocks = F.pmod(F.xxhash64("query_id"), F.lit(BLOCKS)).cast("int").alias("block")
-    many = regions.select("*", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
-    return asked.select("*", blocks).groupBy("block").cogroup(many.groupBy("block")).applyInPandas(near, "query_id long, v array<long>, shard long, limit double")
-
-
-BLOCKS = 24  # tasks that hold queries against the shards' regions
+            centres, radii, shards = np.stack(right["centre"].to_numpy()), right["reach"].to_numpy(), right["shard"].to_numpy()
+            flat, last = centres[:, :-1], centres[:, -1] ** 2
+            for query, v, own, limit in zip(left["query"], matrix(left["v"], dims), left["shard"], left["limit"].to_numpy(np.float64, na_value=np.nan)):
+                d = np.sqrt(((flat - v) ** 2).sum(1) + last) - radii
+                far = np.inf if np.isnan(limit) else np.sqrt(max(float(v @ v) + norm2 - 2 * limit, 0.0)) + MARGIN
+                met = shards[(d <= far) & (shards != own)]
+                out.append(pd.DataFrame({"query": query, "shard": met, "limit": limit}))
+        return pd.concat(out) if out else pd.DataFrame({"query": [], "shard": [], "limit": []})
+
+    part = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("query", "v", "shard", "limit", part("query", tall).alias("tall")).select("*", every(wide).alias("wide"))
+    right = regions.select("*", part("shard", wide).alias("wide")).select("*", every(tall).alias("tall"))
+    return left.groupBy("tall", "wide").cogroup(right.groupBy("tall", "wide")).applyInPandas(near, "query long, shard long, limit double")
 
 
 def search(queries: DataFrame, shards: DataFrame, dims: int, norm2: float, k: int) -> DataFrame:
-    """Up to k rows (query_id, vec_id, score) for each query and shard that it names; a query's limit is a score that k rows are known to reach."""
+    """Up to k rows (query, query_id, vec_id, score) for each query and shard that it names; a query's limit is a score that k rows are known to reach."""
     counts = queries.groupBy("shard").agg(F.count("*").alias("asked"))
-    blocks = F.ceil(F.col("asked") / QUERY_BLOCK).cast("int")
-    counts = counts.select("shard", blocks.alias("blocks"))
-    left = queries.join(counts, "shard").withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks").cast("int")).drop("blocks")
-    right = shards.select("shard", "ids", "data", *PAGES).join(counts, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    counts = counts.select("shard", F.ceil(F.col("asked") / QUERY_BLOCK).cast("int").alias("blocks"))
+    left = queries.join(counts, "shard").withColumn("block", F.pmod(F.xxhash64("query"), "blocks").cast("int")).drop("blocks")
+    right = shards.select("shard", "rows", "ids", "data", *PAGES).join(counts, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple[int, int, int, int]] = []
         if len(left) and len(right):
-            ids = np.asarray(right["ids"].iloc[0], np.int64)
+            rows, ids = (np.asarray(right[name].iloc[0], np.int64) for name in ("rows", "ids"))
             values = np.frombuffer(right["data"].iloc[0], np.int64).reshape(len(ids), dims)
             tree = MTree(augmented(values, norm2), *(right[name].iloc[0] for name in PAGES))
-            for query, v, limit in zip(left["query_id"], left["v"], left["limit"]):
-                whole = matrix([v], dims)[0]
-                known = [] if limit is None or limit != limit else [(limit, -np.inf)] * k  # k rows elsewhere: only better ones or ties matter
-                top = tree.search(np.append(whole.astype(np.float64), 0.0), whole, ids, values, int(query), k, list(known), float(whole @ whole) + norm2)
-                out += [(int(query), -int(i), int(s)) for s, i in top if i != -np.inf]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(run, "query_id long, vec_id long, score long")
+            place = {row: at for at, row in enumerate(rows.tolist())}
+            for query, name, whole, limit in zip(left["query"].tolist(), left["query_id"].tolist(), matrix(left["v"], dims), left["limit"].to_numpy(np.float64, na_value=np.nan)):
+                known = [] if np.isnan(limit) else [(limit, -np.inf)] * k  # k rows elsewhere: only better ones or ties matter
+                top = tree.search(np.append(whole.astype(np.float64), 0.0), whole, ids, values, place.get(query, -1), k, known, float(whole @ whole) + norm2)
+                out += [(query, name, -int(i), int(s)) for s, i in top if i != -np.inf]
+        return pd.DataFrame(out, columns=["query", "query_id", "vec_id", "score"])
+
+    return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(run, "query long, query_id long, vec_id long, score long")

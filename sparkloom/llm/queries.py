@@ -100,9 +100,9 @@ o AS (SELECT *, row_number() OVER g AS place, sum(tokens) OVER g - tokens AS bef
 SELECT doc_id, source, CAST(epoch AS INTEGER) AS epoch, CAST(place AS INTEGER) AS place, md5(concat_ws('|', 'mix', CAST(doc_id AS VARCHAR))) AS turn
 FROM d JOIN o ON d.key = o.key AND d.block = o.block WHERE epoch < whole OR (before < rest AND 2 * (rest - before) > o.tokens)""",
     "op6_topk_search": """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+WITH v AS (SELECT vec_id, row_number() OVER () AS at, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+s AS (SELECT q.at AS own, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.at <> c.at)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM
-(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
+(SELECT *, row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
 }
