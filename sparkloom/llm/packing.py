@@ -67,12 +67,13 @@ def pieces(docs: DataFrame, sequence: int = SEQUENCE, length_col: str | None = N
 def pack(docs: DataFrame, sequence: int = SEQUENCE, buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKENS, length_col: str | None = None) -> DataFrame:
     """doc_id, part, length, bucket (its upper bound), batch (from 0 in each bucket), place in the batch and padding of every piece.
 
-    Every token of every row is packed, repeated rows included; null texts are empty. Pieces of length 0 are in the lowest
+    Every token of every row is packed, repeated rows included; null texts are empty; other columns don't matter. Pieces of length 0 are in the lowest
     bucket. A batch of a bucket with bound b has max(1, batch_tokens // b) rows, all but each bucket's last one full. The order in a
-    bucket is by hash of id and part. No rows in, no rows out.
+    bucket is by hash of id and part, then length. No rows in, no rows out.
 
     The histogram is pre-aggregated and has at most sequence + 1 rows. Numbering a bucket is spread: pieces
-    are dealt to groups of about GROUP_ROWS by hash, numbered there, and moved by the sizes of the groups before.
+    are dealt to groups of about GROUP_ROWS by hash, numbered there, and moved by the sizes of the groups before. Pieces of one id, part and length (null or
+    repeated ids) can't be told apart: they are one row with a count until all is numbered, and are then counted out in runs, so no task holds them all.
     """
     rows = settle(pieces(docs, sequence, length_col))
     histogram = rows.groupBy("length").agg(F.count("*").alias("n")).toPandas()  # at most sequence + 1 rows
@@ -81,11 +82,19 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, buckets: int = BUCKETS, batc
     bucket = F.element_at(F.filter(F.array(*map(F.lit, bounds)), lambda b: b >= F.col("length")), 1)
     order = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("part").cast("string")))
     group = F.conv(F.substring("order", 1, 8), 16, 10).cast("long") % groups
-    dealt = rows.select("doc_id", "part", "length", bucket.alias("bucket"), order.alias("order")).withColumn("group", group)
-    sizes = dealt.groupBy("bucket", "group").agg(F.count("*").alias("rows"))
+    alike = rows.groupBy("doc_id", "part", "length").agg(F.count("*").alias("copies"))
+    dealt = alike.select("*", bucket.alias("bucket"), order.alias("order")).withColumn("group", group)
+    sizes = dealt.groupBy("bucket", "group").agg(F.sum("copies").alias("rows"))
     # a row for each bucket and GROUP_ROWS pieces
     before = sizes.select("bucket", "group", (F.sum("rows").over(Window.partitionBy("bucket").orderBy("group")) - F.col("rows")).alias("before"))
-    ranked = dealt.withColumn("at", F.row_number().over(Window.partitionBy("bucket", "group").orderBy("order", "doc_id", "part", "length")) - 1)
-    number = F.col("before") + F.col("at")
+    place = Window.partitionBy("bucket", "group").orderBy("order", "doc_id", "part", "length").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = dealt.withColumn("at", F.sum("copies").over(place) - F.col("copies")).join(before, ["bucket", "group"])
+    firsts = ranked.select("doc_id", "part", "length", "bucket", (F.col("before") + F.col("at")).alias("first"), "copies")
+    single, many = firsts.filter("copies = 1"), firsts.filter("copies > 1")
+    runs = many.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(GROUP_ROWS).cast("long"))).alias("run"))
+    runs = runs.repartition("bucket", "first", "run")
+    counted = runs.select("*", F.explode(F.sequence(F.col("run"), F.least(F.col("run") + GROUP_ROWS, "copies") - 1)).alias("copy"))
+    columns = ["doc_id", "part", "length", "bucket"]
+    numbered = single.select(*columns, F.col("first").alias("number")).unionAll(counted.select(*columns, (F.col("first") + F.col("copy")).alias("number")))
     fits = F.greatest(F.lit(1), F.floor(F.lit(batch_tokens) / F.greatest("bucket", F.lit(1)))).cast("long")
-    return ranked.join(before, ["bucket", "group"]).select("doc_id", "part", "length", "bucket", F.floor(number / fits).alias("batch"), F.pmod(number, fits).alias("place"), (F.col("bucket") - F.col("length")).alias("padding"))
+    return numbered.select(*columns, F.floor(F.col("number") / fits).alias("batch"), F.pmod("number", fits).alias("place"), (F.col("bucket") - F.col("length")).alias("padding"))
