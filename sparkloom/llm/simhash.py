@@ -60,7 +60,7 @@ def majority(hashes: np.ndarray) -> int:
         return 0
     bits = np.zeros(64, np.int64)
     for at in range(0, n, 4096):
-        bits += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        bits += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint16)
     return int(np.packbits(bits * 2 > n, bitorder="little").view(np.int64)[0])
 
 

@@ -3,7 +3,7 @@
 A text gives the set of its hashed character n-grams (`SIZES`, over lower-cased UTF-8 bytes with a
 blank at either end). From labelled rows Spark counts in how many texts of either class each
 n-gram occurs; r = log of the ratio of the smoothed shares. A text's features are r where the
-n-gram is present, and logistic regression is trained on them. Scoring is one sum per text.
+n-gram is present, and logistic regression is trained on those whose class counts are least by chance. Scoring is one sum per text.
 """
 
 from __future__ import annotations
@@ -21,9 +21,12 @@ from .common import map_texts, settle, slices
 BITS = 18
 SIZES = (3, 4, 5, 6)
 TRAIN_ROWS = 20_000  # bound of the labelled sample; all labelled rows while there are no more
+# The next five were compared by folds among the training rows (see README); held-out rows had no part in it.
 MIN_TEXTS = 4  # an n-gram in fewer training texts has no weight
-FEATURES = 1 << 12  # n-grams that the regression may use: those whose class counts are least by chance
+FEATURES = 1 << 12  # n-grams with a weight: those whose class counts are least by chance
 TOXIC_WEIGHT = 2.0  # a missed toxic text costs so many clean ones
+PENALTY = 0.0005  # of the squared weights
+ROUNDS = 50  # steps of the regression
 SMOOTHING = 1.0
 THRESHOLD = 0.3
 _PRIME, _MIX = np.uint32(0x01000193), np.uint32(0x9E3779B1)
@@ -45,10 +48,11 @@ def ngrams(text: str) -> np.ndarray:
 
 @dataclass
 class Model:
-    """weights: one per bucket, ratio and coefficient multiplied; their number is fixed by BITS."""
+    """weights: one per bucket, ratio and coefficient multiplied; ratios: the log-count ratios alone. Their number is fixed by BITS."""
 
     weights: np.ndarray
     bias: float
+    ratios: np.ndarray
 
     def score(self, text: str) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.weights[ngrams(text)].sum(dtype=np.float64) + self.bias, -500, 500))))
@@ -69,57 +73,51 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fit on the labelled documents that aren't held out.
 
     Without both classes among them the model knows only the class share: 0 without labels.
-    The labels are broadcast: at most about `rows` pairs of numbers, so no text is shuffled.
+    The labels are broadcast: at most about `rows` pairs of numbers, so no text is shuffled. Repeated rows of a labelled document all count.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
     chosen = training_labels(labels, rows)
-    known = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return fit(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, 1 << BITS), np.int64)
-        total = np.zeros(2, np.int64)
+def fit(known: DataFrame, toxic_weight: float = TOXIC_WEIGHT, penalty: float = PENALTY, features: int = FEATURES, min_texts: int = MIN_TEXTS) -> Model:
+    """The model of the rows (text, toxic); all of them are used, so the caller bounds their number."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
+    from pyspark.ml.linalg import DenseVector
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    seen[int(toxic > 0), ngrams(text)] += 1
-                    total[int(toxic > 0)] += 1
-        at = np.flatnonzero(seen.sum(0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[0, at], total[0])), pa.array(np.append(seen[1, at], total[1]))], ["bucket", "clean", "toxic"])
-
-    # one row per bucket and the class sizes under -1: 2**BITS + 1 rows at most, whatever the corpus
-    counts = known.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter((F.col("bucket") < 0) | (F.col("clean") + F.col("toxic") >= MIN_TEXTS)).toPandas()
-    size = counts[counts.bucket < 0]
-    n0, n1 = (int(size.clean.sum()), int(size.toxic.sum()))
-    weights = np.zeros(1 << BITS, np.float32)
+            for part in slices(batch, 200):
+                found = [list(map(str, ngrams(t).tolist())) for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), part.column(1)], ["grams", "toxic"])
+
+    known = settle(known.select("text", (F.col("toxic") > 0).cast("int").alias("toxic")).mapInArrow(grams, "grams array<string>, toxic int"))
+    sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
+    empty = np.zeros(1 << BITS, np.float32)
     if not n0 or not n1:
         share = n1 / max(1, n0 + n1)
-        return Model(weights, float(np.clip(np.log(max(share, 1e-9) / max(1 - share, 1e-9)), -20, 20)))
-    counts = counts[counts.bucket >= 0].sort_values("bucket")
-    ratio = np.log((counts.toxic.values + SMOOTHING) / (n1 + 2 * SMOOTHING)) - np.log((counts.clean.values + SMOOTHING) / (n0 + 2 * SMOOTHING))
-    share = (counts.toxic.values + counts.clean.values) / (n0 + n1)
-    strength = np.abs(counts.toxic.values - share * n1) / np.sqrt(share * (1 - share) * n1 * n0 / (n0 + n1) + 0.5)
-    best = np.sort(np.argsort(-strength, kind="stable")[:FEATURES])
-    place = np.full(1 << BITS, -1, np.int32)
-    place[counts.bucket.values[best]] = np.arange(len(best))
-    ratio = ratio[best]
-    shared = docs.sparkSession.sparkContext.broadcast((place, ratio))
-
-    @F.udf(returnType=VectorUDT())
-    def vector(text: str):
-        place, ratio = shared.value
-        at = np.sort(place[ngrams(text)])
-        at = at[at >= 0]
-        return SparseVector(len(ratio), at, ratio[at])
-
-    rowset = known.select(vector("text").alias("features"), (F.col("toxic") > 0).cast("double").alias("label"), F.when(F.col("toxic") > 0, TOXIC_WEIGHT).otherwise(1.0).alias("weight")).persist()
-    try:
-        fitted = LogisticRegression(weightCol="weight", maxIter=50, regParam=0.0005, standardization=False).fit(rowset)
-    finally:
-        rowset.unpersist()
-    weights[counts.bucket.values[best]] = fitted.coefficients.toArray() * ratio
-    return Model(weights, float(fitted.intercept))
+        return Model(empty, float(np.clip(np.log(max(share, 1e-9) / max(1 - share, 1e-9)), -20, 20)), empty)
+    # one row per bucket that occurs: 2**BITS at most, whatever the corpus
+    counts = known.select("toxic", F.explode("grams").alias("gram")).groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).filter(F.col("n") >= min_texts).toPandas()
+    counts = counts.assign(bucket=counts["gram"].astype(int)).sort_values("bucket")
+    toxic, clean = counts["toxic"].to_numpy(np.float64), (counts["n"] - counts["toxic"]).to_numpy(np.float64)
+    share = (toxic + clean) / (n0 + n1)
+    strength = np.abs(toxic - share * n1) / np.sqrt(share * (1 - share) * n1 * n0 / (n0 + n1) + 0.5)
+    best = np.sort(np.argsort(-strength, kind="stable")[:features])
+    ratio = np.log((toxic[best] + SMOOTHING) / (n1 + 2 * SMOOTHING)) - np.log((clean[best] + SMOOTHING) / (n0 + 2 * SMOOTHING))
+    chosen = counts["bucket"].to_numpy()[best]
+    if not len(chosen):
+        return Model(empty, float(np.log(n1 / n0)), empty)
+    buckets = CountVectorizerModel.from_vocabulary(list(map(str, chosen.tolist())), "grams", "present").setBinary(True).setMinTF(0.0)
+    scaled = ElementwiseProduct(scalingVec=DenseVector(ratio), inputCol="present", outputCol="features")
+    weight = F.when(F.col("toxic") > 0, float(toxic_weight)).otherwise(1.0)
+    ready = scaled.transform(buckets.transform(known)).select("features", F.col("toxic").cast("double").alias("label"), weight.alias("weight"))
+    fitted = LogisticRegression(weightCol="weight", maxIter=ROUNDS, regParam=penalty, standardization=False).fit(ready)
+    weights, ratios = empty.copy(), empty.copy()
+    weights[chosen], ratios[chosen] = fitted.coefficients.toArray() * ratio, ratio
+    return Model(weights, float(fitted.intercept), ratios)
 
 
 def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

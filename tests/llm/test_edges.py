@@ -46,6 +46,16 @@ def test_packing(odd, none, odd_rows):
     assert packing.pack(none).collect() == []
 
 
+def test_packing_of_many_rows_without_an_id(spark):
+    rows = [(None, "a b c")] * 3000 + [(None, "a")] * 10 + [(7, "x y")] * 5000 + [(8, "z")]
+    found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), buckets=2, batch_tokens=64).collect()
+    assert Counter((r.doc_id, r.length) for r in found) == Counter((i, len(t.split())) for i, t in rows)
+    for bound in {r.bucket for r in found}:
+        fits = max(1, 64 // bound)
+        numbers = sorted(r.batch * fits + r.place for r in found if r.bucket == bound)
+        assert numbers == list(range(len(numbers))) and all(r.place < fits for r in found if r.bucket == bound)
+
+
 def test_mixing(odd, none, odd_rows):
     found = mixing.mix(odd).collect()
     assert Counter(r.doc_id for r in found if r.epoch == 0) == Counter(r[0] for r in odd_rows)
@@ -70,6 +80,10 @@ def test_top_k(spark):
     rows = [(0, [1.0, 0.0]), (100, [0.5, 0.5]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 0.0]), (None, [1.0, 1.0]), (7, []), (8, [-1.0])]
     vectors = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int")
     found = mtree.top_k(vectors, lambda i: i % 100 == 0).orderBy("query_id", "rank").collect()
-    assert [(r.rank, r.vec_id, r.score) for r in found if r.query_id == 0] == [(1, 1, 1 << 20), (2, 2, 1 << 20), (3, 100, 1 << 19), (4, 7, 0), (5, 8, -(1 << 20))]
+    assert [(r.rank, r.vec_id, r.score) for r in found if r.query_id == 0] == [(1, 1, 1 << 20), (2, 2, 1 << 20), (3, 2, 1 << 20), (4, 100, 1 << 19), (5, 7, 0), (6, 8, -(1 << 20))]
+    two = spark.createDataFrame([(100, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [0.9, 0.0]), (200, [0.0, 1.0]), (200, [0.0, 0.5])], "vec_id long, embedding array<double>")
+    found = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in mtree.top_k(two, lambda i: i % 100 == 0).collect())
+    assert [x for x in found if x[0] == 100] == [(100, 1, 1, 1024 * 921), (100, 2, 1, 1024 * 512), (100, 3, 200, 0), (100, 4, 200, 0)]
+    assert [x for x in found if x[0] == 200 and x[1] == 1] == [(200, 1, 200, 1024 * 512)] * 2
     assert mtree.top_k(vectors.limit(0), lambda i: i % 100 == 0).collect() == []
     assert mtree.top_k(vectors.filter(F.col("vec_id") == 0), lambda i: i % 100 == 0).collect() == []
