@@ -2,26 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="sparkloom-"))
-    return _own_dir[0]
-
+from ..session import scratch
 
 def settle(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and a lost executor costs no recomputation.
@@ -29,7 +16,7 @@ def settle(df: DataFrame) -> DataFrame:
     The folder's owner removes old tables; a frame read from one may be used at any later time.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sparkloom-{uuid.uuid4().hex}"
+    path = scratch(spark, "step")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..names import fresh
 from .common import settle
 
 BLOCKS = 256  # blocks of a source
@@ -142,17 +143,18 @@ def plan(docs: DataFrame, target: Target = Target(), budget: int | None = None,
     return settle(placed.filter(taken).select("key", "block", F.col("epoch").cast("int").alias("epoch"), "place"))
 
 
-def _passes(docs: DataFrame, kept: list, target: Target, budget: int | None, length_col: str | None, blocks: int, seed: str) -> DataFrame:
-    """`kept` columns of docs and _mix_pass (epoch, place), a row for each pass that takes the row's block.
+def _passes(docs: DataFrame, kept: list, target: Target, budget: int | None, length_col: str | None, blocks: int, seed: str) -> tuple[DataFrame, str]:
+    """`kept` columns of docs and, in a column of the returned name, the pass (epoch, place): a row for each pass that takes the row's block.
 
     Small plans are broadcast, larger ones joined by source and block, so a hot source is spread over `blocks` keys.
     """
+    key, block, several, one = (fresh(f"_mix_{n}", docs) for n in ("key", "block", "passes", "pass"))
     chosen = plan(docs, target, budget, length_col, blocks, seed)
-    chosen = chosen.groupBy("key", "block").agg(F.collect_list(F.struct("epoch", "place")).alias("_mix_passes")).select(F.col("key").alias("_mix_key"), F.col("block").alias("_mix_block"), "_mix_passes")
-    rows = docs.select(*kept, source_key().alias("_mix_key"), block_of("doc_id", blocks, seed).alias("_mix_block"))
+    chosen = chosen.groupBy("key", "block").agg(F.collect_list(F.struct("epoch", "place")).alias(several)).select(F.col("key").alias(key), F.col("block").alias(block), several)
+    rows = docs.select(*kept, source_key().alias(key), block_of("doc_id", blocks, seed).alias(block))
     small = chosen.count() <= BROADCAST_ROWS
-    joined = rows.join(F.broadcast(chosen) if small else chosen, ["_mix_key", "_mix_block"])
-    return joined.withColumn("_mix_pass", F.explode("_mix_passes"))
+    joined = rows.join(F.broadcast(chosen) if small else chosen, [key, block])
+    return joined.withColumn(one, F.explode(several)), one
 
 
 def mix(docs: DataFrame, target: Target = Target(), budget: int | None = None, length_col: str | None = None, blocks: int = BLOCKS, seed: str = SEED) -> DataFrame:
@@ -162,10 +164,10 @@ def mix(docs: DataFrame, target: Target = Target(), budget: int | None = None, l
     an empty table gives no rows.
     """
     turn = F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"))).alias("turn")
-    taken = _passes(docs, ["doc_id", "source", turn], target, budget, length_col, blocks, seed)
-    return taken.select("doc_id", "source", F.col("_mix_pass.epoch").alias("epoch"), F.col("_mix_pass.place").alias("place"), "turn")
+    taken, one = _passes(docs.select("doc_id", "source", "text", *([length_col] if length_col else [])), ["doc_id", "source", turn], target, budget, length_col, blocks, seed)
+    return taken.select("doc_id", "source", F.col(one).epoch.alias("epoch"), F.col(one).place.alias("place"), "turn")
 
 
 def repeated(docs: DataFrame, target: Target = Target(), budget: int | None = None, length_col: str | None = None, blocks: int = BLOCKS, seed: str = SEED) -> DataFrame:
-    """The rows of docs with all their columns, as often as `mix` takes them."""
-    return _passes(docs, ["*"], target, budget, length_col, blocks, seed).select(docs.columns)
+    """The rows of docs with all their columns, whatever their names, as often as `mix` takes them."""
+    return _passes(docs, ["*"], target, budget, length_col, blocks, seed)[0].select(docs.columns)

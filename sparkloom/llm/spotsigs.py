@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, slices
+from .common import settle, slices, text_key
 
 CHAIN = 2
 GAP = 16  # content words between two anchors; beyond that each of them is an anchor
@@ -90,14 +90,15 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     """Fingerprints of each whole text and of its edited text, and their likeness; see `_ROW` for the columns after doc_id.
 
     The next document is that with the next smaller doc_id, after the smallest comes the largest; rows without an id
-    come after all ids, and rows of one id follow by text. A single row is its own next one. Null texts are empty.
-    One row per input row; none for none.
+    come after all ids, and rows of one id follow by a hash of the text. A single row is its own next one. Null texts are empty.
+    One row per input row; none for none; other columns don't matter.
 
-    Rows are range-partitioned by id, so a row's successor is behind it in the same task. Only a
+    Rows are range-partitioned by id, hash and place in the table, so many rows of one id or none are spread, and a row's successor is behind it in the same task. Only a
     partition's last row waits: it and each partition's first row are few and are joined by partition number.
     """
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(F.desc_nulls_last("doc_id"))
-    ranged = ranged.sortWithinPartitions(F.desc_nulls_last("doc_id"), "text")
+    order = [F.desc_nulls_last("doc_id"), F.asc("text_key"), F.asc("at")]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), text_key().alias("text_key"), F.monotonically_increasing_id().alias("at"))
+    ranged = texts.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     schema = f"doc_id long, {_ROW}, partition int, place int, text string"
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.string()]
     names = [f.split()[0] for f in schema.split(", ")]
@@ -169,6 +170,7 @@ def similar_pairs(docs: DataFrame, threshold: float = SIMILARITY) -> tuple[DataF
     form one class. Sets of length n lie in partition floor(log(n) / -log(threshold)): a partner lies in the same or
     a neighbouring one. Signatures are ordered rarest first; two similar sets share one of their first
     n - ceil(threshold * n) + 1, so only those are joined, and lengths are held against the threshold before any set is compared.
+    Rows without an id take no part; repeated rows are members each; null texts are empty; no rows give no pairs and no members.
     """
     sets = settle(signature_sets(docs))
     by_set = settle(sets.groupBy("sigs", "size").agg(F.min("doc_id").alias("class")))

@@ -87,3 +87,28 @@ def test_top_k(spark):
     assert [x for x in found if x[0] == 200 and x[1] == 1] == [(200, 1, 200, 1024 * 512)] * 2
     assert mtree.top_k(vectors.limit(0), lambda i: i % 100 == 0).collect() == []
     assert mtree.top_k(vectors.filter(F.col("vec_id") == 0), lambda i: i % 100 == 0).collect() == []
+
+
+def test_columns_with_the_operators_own_names(odd):
+    clashing = odd.withColumns({f"_{a}_{b}": F.lit(f"{a}{b}") for a, b in (("pii", "id"), ("pii", "text"), ("pii", "spots"), ("mix", "key"), ("mix", "pass"), ("kept", "id"), ("kept", "text"))})
+    for found in (pii.redact(clashing), mixing.repeated(clashing), simhash.keep_one(clashing), simhash.keep_alike(clashing)):
+        assert found.columns == clashing.columns
+        assert {(r["_pii_id"], r["_mix_key"], r["_kept_id"]) for r in found.collect()} == {("piiid", "mixkey", "keptid")}
+
+
+def test_similar_pairs_of_odd_rows(odd, none, odd_rows):
+    pairs, members = spotsigs.similar_pairs(odd)
+    assert Counter(r.doc_id for r in members.collect()) == Counter(r[0] for r in odd_rows if r[0] is not None)
+    assert {r["class"] for r in members.collect() if r.doc_id in (12, 13)} == {12}
+    assert all(r.a < r.b and r.likeness >= 0.8 for r in pairs.collect())
+    assert [x.collect() for x in spotsigs.similar_pairs(none)] == [[], []]
+
+
+def test_spotsigs_of_many_rows_without_an_id(spark):
+    rows = [(None, f"the river and stone {i % 3}") for i in range(600)] + [(i, f"of a market {i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = spotsigs.compare_neighbours(docs).collect()
+    assert Counter(r.doc_id for r in found) == Counter(r[0] for r in rows)
+    nameless = Counter(r.fingerprint for r in found if r.doc_id is None)
+    assert sorted(nameless.values()) == [200, 200, 200]
+    assert sum(r.near_next == 1 for r in found if r.doc_id is None) >= 597
