@@ -86,23 +86,26 @@ def fit(known: DataFrame, toxic_weight: float = TOXIC_WEIGHT, penalty: float = P
     from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
     from pyspark.ml.linalg import DenseVector
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, 1 << BITS), np.int64)
         for batch in batches:
-            for part in slices(batch, 200):
-                found = [list(map(str, ngrams(t).tolist())) for t in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), part.column(1)], ["grams", "toxic"])
+            for part in slices(batch):
+                for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    seen[toxic, ngrams(text)] += 1
+        at = np.flatnonzero(seen.sum(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[0, at]), pa.array(seen[1, at])], ["bucket", "clean", "toxic"])
 
-    known = settle(known.select("text", (F.col("toxic") > 0).cast("int").alias("toxic")).mapInArrow(grams, "grams array<string>, toxic int"))
+    known = settle(known.select("text", (F.col("toxic") > 0).cast("int").alias("toxic")))
     sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     empty = np.zeros(1 << BITS, np.float32)
     if not n0 or not n1:
         share = n1 / max(1, n0 + n1)
         return Model(empty, float(np.clip(np.log(max(share, 1e-9) / max(1 - share, 1e-9)), -20, 20)), empty)
-    # one row per bucket that occurs: 2**BITS at most, whatever the corpus
-    counts = known.select("toxic", F.explode("grams").alias("gram")).groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).filter(F.col("n") >= min_texts).toPandas()
-    counts = counts.assign(bucket=counts["gram"].astype(int)).sort_values("bucket")
-    toxic, clean = counts["toxic"].to_numpy(np.float64), (counts["n"] - counts["toxic"]).to_numpy(np.float64)
+    # pre-aggregated in each task; one row per bucket that occurs: 2**BITS at most, whatever the corpus
+    counts = known.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = counts.filter(F.col("clean") + F.col("toxic") >= min_texts).toPandas().sort_values("bucket")
+    toxic, clean = counts["toxic"].to_numpy(np.float64), counts["clean"].to_numpy(np.float64)
     share = (toxic + clean) / (n0 + n1)
     strength = np.abs(toxic - share * n1) / np.sqrt(share * (1 - share) * n1 * n0 / (n0 + n1) + 0.5)
     best = np.sort(np.argsort(-strength, kind="stable")[:features])
@@ -110,10 +113,21 @@ def fit(known: DataFrame, toxic_weight: float = TOXIC_WEIGHT, penalty: float = P
     chosen = counts["bucket"].to_numpy()[best]
     if not len(chosen):
         return Model(empty, float(np.log(n1 / n0)), empty)
-    buckets = CountVectorizerModel.from_vocabulary(list(map(str, chosen.tolist())), "grams", "present").setBinary(True).setMinTF(0.0)
+    places = np.full(1 << BITS, -1, np.int32)
+    places[chosen] = np.arange(len(chosen))
+    shared = known.sparkSession.sparkContext.broadcast(places)
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 200):
+                found = [shared.value[ngrams(t)] for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([list(map(str, x[x >= 0].tolist())) for x in found], pa.list_(pa.string())), part.column(1)], ["grams", "toxic"])
+
+    present = known.mapInArrow(grams, "grams array<string>, toxic int")
+    buckets = CountVectorizerModel.from_vocabulary(list(map(str, range(len(chosen)))), "grams", "present").setBinary(True).setMinTF(0.0)
     scaled = ElementwiseProduct(scalingVec=DenseVector(ratio), inputCol="present", outputCol="features")
     weight = F.when(F.col("toxic") > 0, float(toxic_weight)).otherwise(1.0)
-    ready = scaled.transform(buckets.transform(known)).select("features", F.col("toxic").cast("double").alias("label"), weight.alias("weight"))
+    ready = scaled.transform(buckets.transform(present)).select("features", F.col("toxic").cast("double").alias("label"), weight.alias("weight"))
     fitted = LogisticRegression(weightCol="weight", maxIter=ROUNDS, regParam=penalty, standardization=False).fit(ready)
     weights, ratios = empty.copy(), empty.copy()
     weights[chosen], ratios[chosen] = fitted.coefficients.toArray() * ratio, ratio

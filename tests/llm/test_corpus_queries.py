@@ -94,7 +94,7 @@ def test_stages(spark):
 
 
 def test_pipeline_on_odd_and_empty_tables(spark, odd, none, odd_rows, tmp_path):
-    labels = spark.createDataFrame([(1, None, 0), (None, 1, 1), (6, 0, 1), (10, 1, None)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([*((i, None, 0) for i in (1, 2, 3, 4, 5, 7, 9, 11, 12)), (None, 1, 1), (6, 0, 1), (10, 1, None)], "doc_id long, quality int, toxic int")
     for name, docs, marks in (("odd", odd, labels), ("unlabelled", odd, labels.limit(0)), ("none", none, labels.limit(0))):
         docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
         marks.write.parquet(f"{tmp_path}/{name}/labels.parquet")
