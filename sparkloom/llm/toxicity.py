@@ -2,8 +2,8 @@
 
 A text gives the set of its hashed character n-grams (`SIZES`, over lower-cased UTF-8 bytes with a
 blank at either end). From labelled rows Spark counts in how many texts of either class each
-n-gram occurs; r = log of the ratio of the smoothed shares. A text's features are r where the
-n-gram is present, and logistic regression is trained on those whose class counts are least by chance. Scoring is one sum per text.
+n-gram occurs; r = log of the ratio of the smoothed shares, drawn to 0 as far as its class counts may be chance. A text's features are r where the
+n-gram is present, and logistic regression is trained on all n-grams that occur. Scoring is one sum per text.
 """
 
 from __future__ import annotations
@@ -21,12 +21,13 @@ from .common import map_texts, settle, slices
 BITS = 18
 SIZES = (3, 4, 5, 6)
 TRAIN_ROWS = 20_000  # bound of the labelled sample; all labelled rows while there are no more
-# The next five were compared by folds among the training rows (see README); held-out rows had no part in it.
-MIN_TEXTS = 4  # an n-gram in fewer training texts has no weight
-FEATURES = 1 << 12  # n-grams with a weight: those whose class counts are least by chance
+# Those from CHANCE to PENALTY were compared by folds among the training rows (see README); held-out rows had no part in it.
+CHANCE = 3.0  # deviations from the count expected by chance at which an n-gram's ratio is halved
+STEEPNESS = 4  # how fast the ratio goes to 0 below that
+FLOOR = 0.05  # least size of a ratio: with components far smaller than others the regression's steps fail
 TOXIC_WEIGHT = 2.0  # a missed toxic text costs so many clean ones
 PENALTY = 0.0005  # of the squared weights
-ROUNDS = 50  # steps of the regression
+ROUNDS = 100  # steps of the regression, at most
 SMOOTHING = 1.0
 THRESHOLD = 0.3
 _PRIME, _MIX = np.uint32(0x01000193), np.uint32(0x9E3779B1)
@@ -48,7 +49,7 @@ def ngrams(text: str) -> np.ndarray:
 
 @dataclass
 class Model:
-    """weights: one per bucket, ratio and coefficient multiplied; ratios: the log-count ratios alone. Their number is fixed by BITS."""
+    """weights: one per bucket, ratio and coefficient multiplied; ratios: the log-count ratios, drawn to 0 by chance, alone. Their number is fixed by BITS."""
 
     weights: np.ndarray
     bias: float
@@ -80,11 +81,36 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return fit(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
 
 
-def fit(known: DataFrame, toxic_weight: float = TOXIC_WEIGHT, penalty: float = PENALTY, features: int = FEATURES, min_texts: int = MIN_TEXTS) -> Model:
-    """The model of the rows (text, toxic); all of them are used, so the caller bounds their number."""
+def scaled_ratios(clean: np.ndarray, toxic: np.ndarray, n0: int, n1: int) -> np.ndarray:
+    """Log-count ratios of n-grams in so many of n0 clean and n1 toxic texts, times d**STEEPNESS / (d**STEEPNESS + CHANCE**STEEPNESS), FLOOR at least in size.
+
+    So every n-gram that occurs has a weight of its own, and those that say nothing together weigh little. d: the deviations of the toxic count from the one expected if class and n-gram had nothing to do with each other.
+    """
+    share = (toxic + clean) / (n0 + n1)
+    d = np.abs(toxic - share * n1) / np.sqrt(share * (1 - share) * n1 * n0 / (n0 + n1) + 0.5)
+    ratio = np.log((toxic + SMOOTHING) / (n1 + 2 * SMOOTHING)) - np.log((clean + SMOOTHING) / (n0 + 2 * SMOOTHING))
+    drawn = ratio * d**STEEPNESS / (d**STEEPNESS + CHANCE**STEEPNESS)
+    return np.where(ratio < 0, -1.0, 1.0) * np.maximum(np.abs(drawn), FLOOR)
+
+
+# a sparse vector as Spark's vector type stores it
+_LISTS = pa.list_(pa.field("element", pa.int32(), False)), pa.list_(pa.field("element", pa.float64(), False))
+_VECTOR = [pa.field("type", pa.int8(), False), pa.field("size", pa.int32()), pa.field("indices", _LISTS[0]), pa.field("values", _LISTS[1])]
+
+
+def vectors(places: list[np.ndarray], values: np.ndarray) -> pa.StructArray:
+    """Sparse vectors of len(values) components: those at `places` are taken from `values`."""
+    ends = pa.array(np.cumsum([0, *map(len, places)]), pa.int32())
+    flat = np.concatenate([*places, np.empty(0, np.int64)])
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x, k.value_type), type=k) for x, k in zip((flat.astype(np.int32), values[flat.astype(np.int64)]), _LISTS)]
+    return pa.StructArray.from_arrays([pa.array(np.zeros(len(places), np.int8)), pa.array(np.full(len(places), len(values), np.int32)), *lists], fields=_VECTOR)
+
+
+def fit(known: DataFrame, toxic_weight: float = TOXIC_WEIGHT, penalty: float = PENALTY) -> Model:
+    """The model of the rows (text, toxic); all of them, and all their n-grams, are used, so the caller bounds the number of rows."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
-    from pyspark.ml.linalg import DenseVector
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql.types import DoubleType, StructField, StructType
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, 1 << BITS), np.int64)
@@ -98,40 +124,25 @@ def fit(known: DataFrame, toxic_weight: float = TOXIC_WEIGHT, penalty: float = P
     known = settle(known.select("text", (F.col("toxic") > 0).cast("int").alias("toxic")))
     sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    empty = np.zeros(1 << BITS, np.float32)
+    ratios = np.zeros(1 << BITS)
     if not n0 or not n1:
         share = n1 / max(1, n0 + n1)
-        return Model(empty, float(np.clip(np.log(max(share, 1e-9) / max(1 - share, 1e-9)), -20, 20)), empty)
+        return Model(ratios, float(np.clip(np.log(max(share, 1e-9) / max(1 - share, 1e-9)), -20, 20)), ratios)
     # pre-aggregated in each task; one row per bucket that occurs: 2**BITS at most, whatever the corpus
-    counts = known.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counts = counts.filter(F.col("clean") + F.col("toxic") >= min_texts).toPandas().sort_values("bucket")
-    toxic, clean = counts["toxic"].to_numpy(np.float64), counts["clean"].to_numpy(np.float64)
-    share = (toxic + clean) / (n0 + n1)
-    strength = np.abs(toxic - share * n1) / np.sqrt(share * (1 - share) * n1 * n0 / (n0 + n1) + 0.5)
-    best = np.sort(np.argsort(-strength, kind="stable")[:features])
-    ratio = np.log((toxic[best] + SMOOTHING) / (n1 + 2 * SMOOTHING)) - np.log((clean[best] + SMOOTHING) / (n0 + 2 * SMOOTHING))
-    chosen = counts["bucket"].to_numpy()[best]
-    if not len(chosen):
-        return Model(empty, float(np.log(n1 / n0)), empty)
-    places = np.full(1 << BITS, -1, np.int32)
-    places[chosen] = np.arange(len(chosen))
-    shared = known.sparkSession.sparkContext.broadcast(places)
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = known.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
+    ratios[counts["bucket"]] = scaled_ratios(counts["clean"].to_numpy(np.float64), counts["toxic"].to_numpy(np.float64), n0, n1)
+    shared = known.sparkSession.sparkContext.broadcast(ratios)
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 200):
-                found = [shared.value[ngrams(t)] for t in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([list(map(str, x[x >= 0].tolist())) for x in found], pa.list_(pa.string())), part.column(1)], ["grams", "toxic"])
-
-    present = known.mapInArrow(grams, "grams array<string>, toxic int")
-    buckets = CountVectorizerModel.from_vocabulary(list(map(str, range(len(chosen)))), "grams", "present").setBinary(True).setMinTF(0.0)
-    scaled = ElementwiseProduct(scalingVec=DenseVector(ratio), inputCol="present", outputCol="features")
-    weight = F.when(F.col("toxic") > 0, float(toxic_weight)).otherwise(1.0)
-    ready = scaled.transform(buckets.transform(present)).select("features", F.col("toxic").cast("double").alias("label"), weight.alias("weight"))
+            for part in slices(batch, 50):
+                found = [ngrams(t) for t in part.column(0).to_pylist()]
+                label = part.column(1).to_numpy().astype(np.float64)
+                yield pa.RecordBatch.from_arrays([vectors(found, shared.value), pa.array(label), pa.array(np.where(label > 0, toxic_weight, 1.0))], ["features", "label", "weight"])
+
+    ready = known.mapInArrow(features, StructType([StructField("features", VectorUDT()), StructField("label", DoubleType()), StructField("weight", DoubleType())]))
     fitted = LogisticRegression(weightCol="weight", maxIter=ROUNDS, regParam=penalty, standardization=False).fit(ready)
-    weights, ratios = empty.copy(), empty.copy()
-    weights[chosen], ratios[chosen] = fitted.coefficients.toArray() * ratio, ratio
-    return Model(weights, float(fitted.intercept), ratios)
+    return Model(fitted.coefficients.toArray() * ratios, float(fitted.intercept), ratios)
 
 
 def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

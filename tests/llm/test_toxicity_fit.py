@@ -31,19 +31,15 @@ def test_fit(spark):
     n1 = sum(y for _, y in rows)
     n0 = len(rows) - n1
     toxic, clean = (Counter(b for s, (_, y) in zip(sets, rows) if y == label for b in s) for label in (1, 0))
-    strength = {}
-    for b in toxic | clean:
-        n = toxic[b] + clean[b]
-        if n >= toxicity.MIN_TEXTS:
-            share = n / (n0 + n1)
-            strength[b] = abs(toxic[b] - share * n1) / math.sqrt(share * (1 - share) * n1 * n0 / (n0 + n1) + 0.5)
     used = set(np.flatnonzero(model.ratios).tolist())
-    assert len(used) <= toxicity.FEATURES and used <= set(strength)
-    if len(strength) > toxicity.FEATURES:
-        assert min(strength[b] for b in used) >= sorted(strength.values(), reverse=True)[toxicity.FEATURES] - 1e-9
-    for b in used:
+    strength = {}
+    for b in toxic | clean:  # every n-gram that occurs, those of a single text too
+        share = (toxic[b] + clean[b]) / (n0 + n1)
+        strength[b] = abs(toxic[b] - share * n1) / math.sqrt(share * (1 - share) * n1 * n0 / (n0 + n1) + 0.5)
+        drawn = strength[b] ** toxicity.STEEPNESS / (strength[b] ** toxicity.STEEPNESS + toxicity.CHANCE**toxicity.STEEPNESS)
         ratio = math.log((toxic[b] + 1) / (n1 + 2)) - math.log((clean[b] + 1) / (n0 + 2))
-        assert abs(model.ratios[b] - ratio) < 1e-5
+        assert abs(model.ratios[b] - math.copysign(max(abs(drawn * ratio), toxicity.FLOOR), ratio)) < 1e-9
+    assert used == set(strength)
     # the regularised loss is flat at the fitted weights
     weight = np.array([toxicity.TOXIC_WEIGHT if y else 1.0 for _, y in rows])
     wrong = weight * np.array([plain_score(model, t) - y for t, y in rows]) / weight.sum()
