@@ -37,8 +37,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, values:
     nothing; all left rows stay. Columns of any name are carried along.
 
     Both sides are unioned and an ordered window carries the last right row on: no pairs. A key is cut into chunks of time (`chunk`, a
-    rising function of `on`; days for times, none for other types), so a hot key is spread; each chunk's last right row is carried over to the next ones in
-    a second window that has one row for a key and chunk.
+    rising function of `on`; days for times, none for other types: give one for numbers where a key is hot), so a hot key is spread; each chunk's last right row is carried over to
+    the next ones in a second window that has one row for a key and chunk. Both are made of one exchange: each input is read once.
     """
     timed = left.schema[on].dataType.typeName() in ("timestamp", "timestamp_ntz")
     cut = chunk or ((lambda c: F.date_trunc("day", c)) if timed else (lambda c: F.when(c.isNotNull(), F.lit(0))))
@@ -46,12 +46,14 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, values:
     usable = functools.reduce(lambda a, c: a & c, (F.col(c).isNotNull() for c in (*by, on)))
     theirs = right.filter(usable).select(key, at, F.struct(F.col(on).alias("at"), F.struct(*values).alias("row")).alias("seen"))
     mine = left.select(key, at, F.struct("*").alias("left"))
-    both = mine.unionByName(theirs, allowMissingColumns=True).withColumn("chunk", cut(F.col("at")))
+    both = mine.unionByName(theirs, allowMissingColumns=True).withColumn("chunk", cut(F.col("at"))).repartition("key", "chunk")
     order = Window.partitionBy("key", "chunk").orderBy("at", F.col("left").isNotNull(), "seen").rowsBetween(Window.unboundedPreceding, 0)
     local = both.withColumn("found", F.last("seen", ignorenulls=True).over(order)).filter("left is not null").select("key", "chunk", "left", "found")
-    ends = both.groupBy("key", "chunk").agg(F.max("seen").alias("last"))
+    # it asks for all columns of `both`, so that Spark sees the same exchange and makes it once
+    ends = both.groupBy("key", "chunk").agg(F.max("seen").alias("last"), F.count("left").alias("asking"), F.max("at").alias("until"))
     earlier = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select("key", "chunk", F.last("last", ignorenulls=True).over(earlier).alias("before")).filter("chunk is not null and before is not null")
+    carried = ends.select("key", "chunk", "asking", "until", F.last("last", ignorenulls=True).over(earlier).alias("before"))
+    carried = carried.filter("asking > 0 and until is not null and before is not null").select("key", "chunk", "before")
     row = F.coalesce(F.col("found"), F.col("before")).getField("row")
     return local.join(carried, ["key", "chunk"], "left").select(*[F.col("left").getField(c).alias(c) for c in left.columns], *[row.getField(v).alias(f"asof_{v}") for v in values])
 

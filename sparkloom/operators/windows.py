@@ -10,24 +10,23 @@ from ..session import load
 
 
 def sessions(events: DataFrame, by: str, ts: str, gap_seconds: float, chunk: str = "day") -> DataFrame:
-    """Sessions of each key: rows no more than the gap apart belong together; by, started, ended and n.
+    """Sessions of each key: rows no more than the gap apart belong together; by, started, ended and n (a key of such a name keeps it, the other gets a line behind).
 
     Gaps are exact to the microsecond. Rows without a time take no part, those without a key are one key, other columns don't matter.
     A key's rows are cut into chunks of time, so a hot key is spread over tasks. Only the first and last session of each chunk can go on in
-    another; these few are joined to their neighbours in a second step.
+    another; these few are joined to their neighbours in a second window, in which each other session is a group of its own. So nothing is computed twice.
     """
     apart = lambda a, b: F.coalesce(F.timestamp_diff("MICROSECOND", a, b) > round(gap_seconds * 1_000_000), F.lit(True)).cast("int")
     rows = events.select(F.col(by).alias("key"), F.col(ts).alias("at")).filter("at is not null").withColumn("chunk", F.date_trunc(chunk, "at"))
     near = Window.partitionBy("key", "chunk").orderBy("at")
-    numbered = rows.withColumn("fresh", apart(F.lag("at").over(near), F.col("at"))).withColumn("part", F.sum("fresh").over(near.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = numbered.groupBy("key", "chunk", "part").agg(F.min("at").alias("started"), F.max("at").alias("ended"), F.count("*").alias("n"))
-    parts = parts.withColumn("edge", (F.col("part") == 1) | (F.col("part") == F.max("part").over(Window.partitionBy("key", "chunk"))))
-    order = Window.partitionBy("key").orderBy("started")
-    edges = parts.filter("edge").withColumn("fresh", apart(F.lag("ended").over(order), F.col("started")))
-    edges = edges.withColumn("part", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = edges.groupBy("key", "part").agg(F.min("started").alias("started"), F.max("ended").alias("ended"), F.sum("n").alias("n"))
-    columns = [F.col("key").alias(by), "started", "ended", "n"]
-    return parts.filter("not edge").select(*columns).unionAll(whole.select(*columns))
+    numbered = rows.withColumns({"fresh": apart(F.lag("at").over(near), F.col("at")), "ends": F.lead("at").over(near).isNull()})
+    numbered = numbered.withColumn("part", F.sum("fresh").over(near.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = numbered.groupBy("key", "chunk", "part").agg(F.min("at").alias("started"), F.max("at").alias("ended"), F.count("*").alias("n"), F.max("ends").alias("ends"))
+    parts = parts.withColumn("own", F.when(~((F.col("part") == 1) | F.col("ends")), F.struct("chunk", "part")))  # null: at the edge of its chunk
+    order = Window.partitionBy("key", "own").orderBy("started")
+    joined = parts.withColumn("fresh", apart(F.lag("ended").over(order), F.col("started"))).withColumn("part", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = joined.groupBy("key", "own", "part").agg(F.min("started").alias("started"), F.max("ended").alias("ended"), F.sum("n").alias("n"))
+    return whole.select(F.col("key").alias(by), *[F.col(c).alias(c + "_" * (c == by.lower())) for c in ("started", "ended", "n")])
 
 
 @query("""SELECT o_custkey, o_orderkey, CAST(rank() OVER w AS INTEGER) AS rk, CAST(dense_rank() OVER w AS INTEGER) AS dense, CAST(row_number() OVER w AS INTEGER) AS rn,

@@ -55,4 +55,6 @@ def p03_bucketed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         names.append("sparkloom_" + path.rsplit("-", 1)[-1])
         load(spark, sf_dir, table).select(*columns).write.bucketBy(8, key).sortBy(key).format("parquet").option("path", path).saveAsTable(names[-1])
     orders, lines = map(spark.table, names)
+    for name in names:  # the files and the frames that read them stay
+        spark.sql(f"DROP TABLE {name}")
     return orders.join(lines.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
