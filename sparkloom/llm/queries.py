@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, mtree, packing, pii, secrets, simhash, spotsigs, toxicity, unigram
+from . import licenses, minmax, mixing, mtree, packing, pii, secrets, simhash, spotsigs, toxicity, unigram
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +54,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_license_scan, op3_packing, op4_mixing, op5_token_counts, op6_topk_search, op7_simhash_dedup, op8_spotsigs, op9_secret_scan, op10_toxicity)}
+def op13_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_license_scan, op3_packing, op4_mixing, op5_token_counts, op6_topk_search, op7_simhash_dedup, op8_spotsigs, op9_secret_scan, op10_toxicity, op13_minmax_dedup)}
 
 
 def _packing_sql(buckets: int = packing.BUCKETS, sequence: int = packing.SEQUENCE, budget: int = packing.BATCH_TOKENS, rows: int = packing.GROUP_ROWS) -> str:
