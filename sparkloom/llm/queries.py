@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, minmax, mixing, mtree, packing, phrases, pii, secrets, simhash, spotsigs, toxicity, unigram
+from . import licenses, minmax, mixing, mtree, packing, phrases, pii, resampling, secrets, simhash, spotsigs, toxicity, unigram
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def op13_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_license_scan, op3_packing, op4_mixing, op5_token_counts, op6_topk_search, op7_simhash_dedup, op8_spotsigs, op9_secret_scan, op10_toxicity, op12_collocations, op13_minmax_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_license_scan, op3_packing, op4_mixing, op5_token_counts, op6_topk_search, op7_simhash_dedup, op8_spotsigs, op9_secret_scan, op10_toxicity, op11_resampling, op12_collocations, op13_minmax_dedup)}
 
 
 def _packing_sql(buckets: int = packing.BUCKETS, sequence: int = packing.SEQUENCE, budget: int = packing.BATCH_TOKENS, rows: int = packing.GROUP_ROWS) -> str:
@@ -130,4 +134,22 @@ v AS (SELECT u.*, l.a AS l, r.a AS r, n, CAST(1000 * CAST(u.a AS HUGEINT) * n //
 z AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS cut FROM v),
 o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z WHERE cut = 1)
 SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000""",
+    # crc32 of a feature: each of its bytes goes into the register, then eight steps of the polynomial; both texts' features are hashed once
+    "op11_resampling": r"""
+WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+i AS (SELECT row_no, w, unnest(generate_series(1, len(w))) AS i FROM (SELECT row_no, w FROM d UNION ALL SELECT NULL, w FROM b) WHERE len(w) > 0),
+g AS (SELECT row_no, array_to_string(w[i:i + k - 1], ' ') AS feature FROM i, (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(w)),
+q AS (SELECT DISTINCT feature, hex(encode(feature)) AS h FROM g),
+c AS (SELECT feature, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(generate_series(1, len(h) // 2), lambda j: [('0x' || h[2 * j - 1:2 * j])::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda r, x: xor(xor(r, x) >> 1, 3988292384 * (xor(r, x) & 1)))) % 10000 AS bucket FROM q),
+f AS (SELECT row_no, bucket FROM g JOIN c USING (feature)),
+n AS (SELECT bucket, count(*) FILTER (row_no IS NOT NULL) AS s, count(*) FILTER (row_no IS NULL) AS t FROM f GROUP BY bucket),
+z AS (SELECT sum(s)::DOUBLE AS ss, sum(t)::DOUBLE AS tt FROM n),
+a AS (SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * (ss + 10000) / ((s + 1)::DOUBLE * (tt + 10000)))) AS BIGINT) AS gain FROM n, z),
+m AS (SELECT row_no, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM f JOIN a USING (bucket) WHERE row_no IS NOT NULL GROUP BY row_no),
+e AS (SELECT doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN m ON d.row_no = m.row_no),
+o AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER (PARTITION BY words >= 20) AS n FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= 5 * n // 100 THEN place END AS rank FROM o""",
 }
