@@ -66,6 +66,10 @@ class Printer:
         return found if check or self.bits == 64 else found & np.uint64((1 << self.bits) - 1)
 
 
+def check_values(prints: np.ndarray) -> np.ndarray:
+    return (prints >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def inside(words: np.ndarray, n: int) -> np.ndarray:
     """Whether the n words from each place on are of one piece."""
     ends = np.concatenate([[0], np.add.accumulate(words == 0)])
@@ -133,7 +137,7 @@ def common_runs(arrays: DataFrame, n: int, shorter: np.ndarray | None, printer:
             at = np.flatnonzero(good)
             if not len(at):
                 continue
-            fp, check = printer.runs(words, lang, n)[at], (printer.runs(words, lang, n, True)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            fp, check = printer.runs(words, lang, n)[at], check_values(printer.runs(words, lang, n, True)[at])
             order = np.argsort(fp)
             fp, check = fp[order], check[order]
             first = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (check[1:] != check[:-1])]))
@@ -155,7 +159,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def read_phrases(docs: DataFrame, runs: DataFrame, printer: Printer) -> DataFrame:
-    """lang, phrase, size and a of runs (size, fp, a, key) whose fingerprint is of one phrase, read from the texts they point to."""
+    """lang, phrase, size and a of runs (size, fp, low, a, key) whose fingerprint is of one phrase, read from the texts they point to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -167,15 +171,15 @@ def read_phrases(docs: DataFrame, runs: DataFrame, printer: Printer) -> DataFram
                     hashes = hashed(words, known)
                     langs = np.full(len(words), np.uint64(lang_hash % (1 << 64)))
                     for n in {x["size"] for x in asked}:
-                        counts = {x["fp"] % (1 << 64): x["a"] for x in asked if x["size"] == n}
-                        prints = printer.runs(hashes, langs, n)
-                        places = np.flatnonzero(np.isin(prints, np.fromiter(counts, np.uint64, len(counts))) & inside(hashes, n))
-                        for at in places.tolist():
-                            if (a := counts.pop(int(prints[at]), None)) is not None:
+                        counts = {(x["fp"] % (1 << 64), x["low"]): x["a"] for x in asked if x["size"] == n}
+                        prints, checks = printer.runs(hashes, langs, n), check_values(printer.runs(hashes, langs, n, True))
+                        places = np.flatnonzero(np.isin(prints, np.array([fp for fp, _ in counts], np.uint64)) & inside(hashes, n))
+                        for at in places.tolist():  # a run that was left out of the counts may have the fingerprint of one that wasn't
+                            if (a := counts.pop((int(prints[at]), int(checks[at])), None)) is not None:
                                 out.append((lang, b" ".join(words[at : at + n]).decode("utf-8", "replace"), n, a))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64()))], ["lang", "phrase", "size", "a"])
 
-    asked = runs.groupBy("key").agg(F.collect_list(F.struct("size", "fp", "a")).alias("asked"))  # no more than the runs of one text
+    asked = runs.groupBy("key").agg(F.collect_list(F.struct("size", "fp", "low", "a")).alias("asked"))  # no more than the runs of one text
     return texts_of(docs, asked).select("lang", F.xxhash64("lang").alias("lang_hash"), "text", "asked").mapInArrow(run, "lang string, phrase string, size int, a long")
 
 
