@@ -25,7 +25,7 @@ class WordHashes(dict):
     """Words as bytes to 64 bits; kept for later texts of the task up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
+        if len(self) > 1 << 18:
             self.clear()
         self[word] = found = xxhash.xxh64_intdigest(word, 0)
         return found

@@ -24,6 +24,7 @@ LONGEST = 5
 LEAST = 100  # occurrences of a phrase
 TOP = 2000  # phrases of a language
 ENDS = b".,;:!?\n\x0b\x0c\r"  # what ends a piece of text
+PIECE_WORDS = 1 << 19  # words that a task hashes and sums at once
 BITMAP_BITS = 27  # of the broadcast bitmap of common fingerprints, at most: 16 MB; a fuller one lets more runs through, none less
 _TO_LINE = bytes.maketrans(ENDS, b"\n" * len(ENDS))
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, so that they have inverses
@@ -106,7 +107,7 @@ def word_arrays(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 200):
                 found = [hashed(tokens(t or ""), known) for t in part.column(3).to_pylist()]
                 words = pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([np.count_nonzero(f) for f in found], pa.int64()), words], ["lang", "lang_hash", "key", "n", "words"])
@@ -115,6 +116,16 @@ def word_arrays(docs: DataFrame) -> DataFrame:
     return settle(rows.mapInArrow(run, "lang string, lang_hash long, key long, n long, words array<bigint>"))
 
 
+def by_words(batch: pa.RecordBatch, column: int, most: int = PIECE_WORDS) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch of `most` words or a single text, so that a task's arrays have a bound."""
+    ends = batch.column(column).offsets.to_numpy()
+    low = 0
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] + most, "right")) - 1)
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def common_runs(arrays: DataFrame, n: int, shorter: np.ndarray | None, printer: Printer, least: int) -> DataFrame:
     """fp, a (occurrences), key (a text that has it), low and high (check values) of the fingerprints of n words that occur `least` times.
 
@@ -124,27 +135,26 @@ def common_runs(arrays: DataFrame, n: int, shorter: np.ndarray | None, printer:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(2)
-            words = column.flatten().to_numpy().view(np.uint64)
-            lengths = np.diff(column.offsets.to_numpy())
-            lang, key = (np.repeat(batch.column(k).to_numpy().view(np.uint64), lengths) for k in range(2))
-            if len(words) < n:
-                continue
-            good = inside(words, n)
-            if shorter is not None:
-                common = has(shared.value, printer.runs(words, lang, n - 1))
-                good &= common[:-1] & common[1:]
-            at = np.flatnonzero(good)
-            if not len(at):
-                continue
-            fp, check = printer.runs(words, lang, n)[at], check_values(printer.runs(words, lang, n, True)[at])
-            order = np.argsort(fp)
-            fp, check = fp[order], check[order]
-            first = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (check[1:] != check[:-1])]))
-            counts = np.diff(np.concatenate([first, [len(fp)]]))
-            for low in range(0, len(first), 1 << 18):
-                part = first[low : low + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array(fp[part].view(np.int64)), pa.array(counts[low : low + (1 << 18)]), pa.array(key[at[order[part]]].view(np.int64)), pa.array(check[part])], ["fp", "n", "key", "check"])
+            for piece in by_words(batch, 2):
+                column = piece.column(2)
+                words = column.flatten().to_numpy().view(np.uint64)
+                lengths = np.diff(column.offsets.to_numpy())
+                lang, key = (np.repeat(piece.column(k).to_numpy().view(np.uint64), lengths) for k in range(2))
+                if len(words) < n:
+                    continue
+                good = inside(words, n)
+                if shorter is not None:
+                    common = has(shared.value, printer.runs(words, lang, n - 1))
+                    good &= common[:-1] & common[1:]
+                at = np.flatnonzero(good)
+                if not len(at):
+                    continue
+                fp, check = printer.runs(words, lang, n)[at], check_values(printer.runs(words, lang, n, True)[at])
+                order = np.argsort(fp)
+                fp, check = fp[order], check[order]
+                first = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (check[1:] != check[:-1])]))
+                counts = np.diff(np.concatenate([first, [len(fp)]]))
+                yield pa.RecordBatch.from_arrays([pa.array(fp[first].view(np.int64)), pa.array(counts), pa.array(key[at[order[first]]].view(np.int64)), pa.array(check[first])], ["fp", "n", "key", "check"])
 
     rows = arrays.select("lang_hash", "key", "words").mapInArrow(run, "fp long, n long, key long, check int")
     summed = rows.groupBy("fp").agg(F.sum("n").alias("a"), F.min("key").alias("key"), F.min("check").alias("low"), F.max("check").alias("high"))
