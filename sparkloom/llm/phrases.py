@@ -25,6 +25,7 @@ LEAST = 100  # occurrences of a phrase
 TOP = 2000  # phrases of a language
 ENDS = b".,;:!?\n\x0b\x0c\r"  # what ends a piece of text
 PIECE_WORDS = 1 << 19  # words that a task hashes and sums at once
+LOAD = 32  # runs for each value that fingerprints are cut to when they are counted roughly: half of that to all of it
 BITMAP_BITS = 27  # of the broadcast bitmap of common fingerprints, at most: 16 MB; a fuller one lets more runs through, none less
 _TO_LINE = bytes.maketrans(ENDS, b"\n" * len(ENDS))
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, so that they have inverses
@@ -126,38 +127,58 @@ def by_words(batch: pa.RecordBatch, column: int, most: int = PIECE_WORDS) -> Ite
         low = high
 
 
-def common_runs(arrays: DataFrame, n: int, shorter: np.ndarray | None, printer: Printer, least: int) -> DataFrame:
+def common_runs(arrays: DataFrame, n: int, total: int, shorter: np.ndarray | None, printer: Printer, least: int) -> DataFrame:
     """fp, a (occurrences), key (a text that has it), low and high (check values) of the fingerprints of n words that occur `least` times.
 
-    shorter: the bitmap of the common runs of n - 1 words. Each batch is summed before it leaves its task.
+    shorter: the bitmap of the common runs of n - 1 words; total: about how many runs there are. Most runs are rare, so first only fingerprints cut to as many values as let some
+    LOAD runs share one are counted: what falls to a value that all of its runs together don't bring to `least` is rare for sure. Only the others are sent with all they
+    carry. Each piece of a batch is summed before it leaves its task.
     """
+    bits = max(12, (total // LOAD).bit_length())
     shared = arrays.sparkSession.sparkContext.broadcast(shorter)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(piece: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """Sorted fingerprints of the runs that take part, their check values and keys."""
+        column = piece.column(2)
+        words = column.flatten().to_numpy().view(np.uint64)
+        lengths = np.diff(column.offsets.to_numpy())
+        lang, key = (np.repeat(piece.column(k).to_numpy().view(np.uint64), lengths) for k in range(2))
+        good = inside(words, n) if len(words) >= n else np.zeros(0, bool)
+        if shorter is not None and len(good):
+            common = has(shared.value, printer.runs(words, lang, n - 1))
+            good &= common[:-1] & common[1:]
+        at = np.flatnonzero(good)
+        fp = printer.runs(words, lang, n)[at]
+        if dense is not None:
+            some = has(dense.value, cut(fp))
+            at, fp = at[some], fp[some]
+        order = np.argsort(fp)
+        return fp[order], lambda: check_values(printer.runs(words, lang, n, True)[at[order]]), lambda: key[at[order]]
+
+    def cut(fp: np.ndarray) -> np.ndarray:
+        return fp & np.uint64((1 << bits) - 1)
+
+    def coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in by_words(batch, 2):
-                column = piece.column(2)
-                words = column.flatten().to_numpy().view(np.uint64)
-                lengths = np.diff(column.offsets.to_numpy())
-                lang, key = (np.repeat(piece.column(k).to_numpy().view(np.uint64), lengths) for k in range(2))
-                if len(words) < n:
-                    continue
-                good = inside(words, n)
-                if shorter is not None:
-                    common = has(shared.value, printer.runs(words, lang, n - 1))
-                    good &= common[:-1] & common[1:]
-                at = np.flatnonzero(good)
-                if not len(at):
+                value, counts = np.unique(cut(found(piece)[0]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(counts)], ["fp", "n"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in by_words(batch, 2):
+                fp, checks, keys = found(piece)
+                if not len(fp):
                     continue
-                fp, check = printer.runs(words, lang, n)[at], check_values(printer.runs(words, lang, n, True)[at])
-                order = np.argsort(fp)
-                fp, check = fp[order], check[order]
+                check = checks()
                 first = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (check[1:] != check[:-1])]))
                 counts = np.diff(np.concatenate([first, [len(fp)]]))
-                yield pa.RecordBatch.from_arrays([pa.array(fp[first].view(np.int64)), pa.array(counts), pa.array(key[at[order[first]]].view(np.int64)), pa.array(check[first])], ["fp", "n", "key", "check"])
+                yield pa.RecordBatch.from_arrays([pa.array(fp[first].view(np.int64)), pa.array(counts), pa.array(keys()[first].view(np.int64)), pa.array(check[first])], ["fp", "n", "key", "check"])
 
-    rows = arrays.select("lang_hash", "key", "words").mapInArrow(run, "fp long, n long, key long, check int")
-    summed = rows.groupBy("fp").agg(F.sum("n").alias("a"), F.min("key").alias("key"), F.min("check").alias("low"), F.max("check").alias("high"))
+    rows, dense = arrays.select("lang_hash", "key", "words"), None
+    crowded = settle(rows.mapInArrow(coarse, "fp long, n long").groupBy("fp").agg(F.sum("n").alias("a")).filter(F.col("a") >= least).select("fp"))
+    dense = arrays.sparkSession.sparkContext.broadcast(bitmap_of(crowded))
+    summed = rows.mapInArrow(whole, "fp long, n long, key long, check int").groupBy("fp").agg(F.sum("n").alias("a"), F.min("key").alias("key"), F.min("check").alias("low"), F.max("check").alias("high"))
     return settle(summed.filter(F.col("a") >= least))
 
 
@@ -221,9 +242,9 @@ def recounted(docs: DataFrame, mixed: DataFrame, printer: Printer, least: int) -
 
 def common_phrases(docs: DataFrame, arrays: DataFrame, least: int = LEAST, printer: Printer = Printer()) -> DataFrame:
     """lang, phrase, size and a of all phrases of 1 to LONGEST words with a >= least, exact whatever fingerprints collide."""
-    shorter, runs = None, None
+    shorter, runs, total = None, None, arrays.agg(F.sum("n")).first()[0] or 0
     for n in range(1, LONGEST + 1):
-        level = common_runs(arrays, n, shorter, printer, least)
+        level = common_runs(arrays, n, total, shorter, printer, least)
         sized = level.withColumn("size", F.lit(n))
         runs = sized if runs is None else runs.unionAll(sized)
         if n < LONGEST:
