@@ -51,6 +51,27 @@ def shingles(text: str, n: int, known: WordHashes) -> np.ndarray:
     return np.unique(run)
 
 
+def permutations(count: int, seed: int = 13) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and summands: x -> factor * x + summand is a permutation of 64 bits."""
+    drawn = np.random.default_rng(seed).integers(0, 1 << 64, (2, count), np.uint64, endpoint=False)
+    return drawn[0] | np.uint64(1), drawn[1]
+
+
+def min_max(found: np.ndarray, factors: np.ndarray, summands: np.ndarray) -> np.ndarray:
+    """The minima and maxima of a set's hashes under each permutation, in turns: 2 * len(factors) values."""
+    low, high = np.full(len(factors), np.iinfo(np.uint64).max), np.zeros(len(factors), np.uint64)
+    for at in range(0, len(found), 1024):
+        turned = factors[:, None] * found[None, at : at + 1024] + summands[:, None]
+        np.minimum(low, turned.min(1), out=low)
+        np.maximum(high, turned.max(1), out=high)
+    return np.column_stack([low, high]).ravel()
+
+
+def sketch(values: np.ndarray) -> bytes:
+    """A byte of each of the first SKETCH minima and maxima."""
+    return (values[:SKETCH] >> np.uint64(28)).astype(np.uint8).tobytes()
+
+
 def class_of(found: np.ndarray) -> int:
     """A name of the set, signed; 0 for the empty one."""
     return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).astype(np.int64)) if len(found) else 0

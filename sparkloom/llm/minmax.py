@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle, slices, text_key
-from .likeness import SKETCH, WordHashes, class_of, left_over, mix, shingles, verified
+from .likeness import WordHashes, class_of, left_over, min_max, mix, permutations, shingles, sketch, verified
 from .simhash import components
 
 SHINGLE = 2
@@ -25,22 +25,6 @@ PERMUTATIONS = 120  # 240 values
 ROWS = 5  # values of a band: 48 bands; at a likeness of 0.8 all of them miss with a probability of 5e-9
 
 
-def permutations(count: int = PERMUTATIONS, seed: int = 13) -> tuple[np.ndarray, np.ndarray]:
-    """Odd factors and summands: x -> factor * x + summand is a permutation of 64 bits."""
-    drawn = np.random.default_rng(seed).integers(0, 1 << 64, (2, count), np.uint64, endpoint=False)
-    return drawn[0] | np.uint64(1), drawn[1]
-
-
-def min_max(found: np.ndarray, factors: np.ndarray, summands: np.ndarray) -> np.ndarray:
-    """The minima and maxima of a set's hashes under each permutation, in turns: 2 * len(factors) values."""
-    low, high = np.full(len(factors), np.iinfo(np.uint64).max), np.zeros(len(factors), np.uint64)
-    for at in range(0, len(found), 1024):
-        turned = factors[:, None] * found[None, at : at + 1024] + summands[:, None]
-        np.minimum(low, turned.min(1), out=low)
-        np.maximum(high, turned.max(1), out=high)
-    return np.column_stack([low, high]).ravel()
-
-
 def bands(values: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """One key for each band, signed; the band's number is part of it. Minima and maxima of one permutation stand in different bands, as they are not independent."""
     apart = np.concatenate([values[::2], values[1::2]])
@@ -66,7 +50,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, count: int = PERMUTATION
                     names.append(class_of(found))
                     sizes.append(len(found))
                     keys.append(bands(values, rows) if len(found) else [])
-                    sketches.append((values[:SKETCH] >> np.uint64(28)).astype(np.uint8).tobytes())
+                    sketches.append(sketch(values))
                 arrays = [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *arrays], ["doc_id", "text_key", "class", "size", "keys", "sketch"])
 

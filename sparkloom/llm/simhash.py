@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..names import fresh
 from .common import settle, slices, text_key
+from .likeness import SKETCH, WordHashes, agreeing, class_of, min_max, permutations, shingles, sketch, verified
 
 RADIUS = 3
 SHINGLE = 3
@@ -212,36 +213,63 @@ def stars(own: np.ndarray, visitors: np.ndarray, within: bool = True, *_) -> tup
     return signed[linked], lead[label][linked]
 
 
-def partners(own: np.ndarray, visitors: np.ndarray, within: bool, own_size: np.ndarray, visitor_size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b) fingerprints within RADIUS bits: for each owner and visitor the partners that are next below and next above it by size.
+def partners(own: np.ndarray, visitors: np.ndarray, within: bool, mine: pd.DataFrame, theirs: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) fingerprints within RADIUS bits whose `size` allows the likeness: for each owner and visitor the partners that are next below and next above it by size.
 
-    Alike texts have nearly the same size. Two partners for a point, however many it has: the pairs of a large family grow with its size, not with the square.
+    Two partners for a point, however many it has, so the pairs of a large family grow with its size. A point with more than one on a side, or one that is or meets a fingerprint of
+    several classes (`many`), is marked by the pair (a, a): `left_in_crowds` looks at all its partners.
     """
-    points = np.concatenate([own, visitors])
-    order = np.lexsort((mixed(points, 1), np.concatenate([own_size, visitor_size])))
+    points, size, many = np.concatenate([own, visitors]), *(np.concatenate([mine[c].to_numpy(), theirs[c].to_numpy()]) for c in ("size", "many"))
+    order = np.lexsort((mixed(points, 1), size))
     rank = np.empty(len(points), np.int64)
     rank[order] = np.arange(len(points))
     first = 0 if within else len(own)
-    below, above = np.full(len(points), -1), np.full(len(points), len(points))
+    below, above, met_by, crowd = np.full(len(points), -1), np.full(len(points), len(points)), np.zeros((2, len(points)), np.int64), many.copy()
     for some, part, near in neighbours(own, points[first:]):
-        left, right = rank[some + first], rank[part]
-        for here, there, met in ((left, right, near), (right, left, near.T)):
+        some = some + first
+        a, b, loose = size[some][:, None], size[part][None, :], many[some][:, None] | many[part][None, :]
+        near &= loose | (OF * np.minimum(a, b) >= LIKE * np.maximum(a, b))
+        left, right = rank[some], rank[part]
+        near &= left[:, None] != right[None, :]
+        for here, there, met, beside, where in ((left, right, near, many[part], some), (right, left, near.T, many[some], part)):
             at = np.flatnonzero(met.any(1))
             less = there[None, :] < here[at, None]
             np.maximum.at(below, here[at], np.where(met[at] & less, there[None, :], -1).max(1, initial=-1))
-            np.minimum.at(above, here[at], np.where(met[at] & ~less & (there[None, :] > here[at, None]), there[None, :], len(points)).min(1, initial=len(points)))
+            np.minimum.at(above, here[at], np.where(met[at] & ~less, there[None, :], len(points)).min(1, initial=len(points)))
+            crowd[where[at]] |= (met[at] & beside[None, :]).any(1)
+        for k, side in enumerate((near & (right[None, :] < left[:, None]), near & (right[None, :] > left[:, None]))):
+            met_by[k, some] += side.sum(1)
+            met_by[1 - k, part] += side[some >= len(own)].sum(0)  # owners that search as well have met each other from both sides
+    crowd |= (met_by > 1).any(0)
     low, high = np.flatnonzero(below >= 0), np.flatnonzero(above < len(points))
-    ranked = points[order].view(np.int64)
-    return np.concatenate([ranked[low], ranked[high]]), np.concatenate([ranked[below[low]], ranked[above[high]]])
+    ranked, signed = points[order].view(np.int64), points.view(np.int64)
+    return np.concatenate([ranked[low], ranked[high], signed[crowd]]), np.concatenate([ranked[below[low]], ranked[above[high]], signed[crowd]])
+
+
+def strangers(own: np.ndarray, visitors: np.ndarray, within: bool, mine: pd.DataFrame, theirs: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) classes (`name`) of all pairs of points within RADIUS bits that are of different groups (`root`) and whose sizes and sketches allow the likeness."""
+    points, name, size, root = np.concatenate([own, visitors]), *(np.concatenate([mine[c].to_numpy(np.int64), theirs[c].to_numpy(np.int64)]) for c in ("name", "size", "root"))
+    sketches = np.frombuffer(b"".join([*mine["sketch"], *theirs["sketch"]]), np.uint8).reshape(len(points), -1)
+    first, found = 0 if within else len(own), [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for some, part, near in neighbours(own, points[first:]):
+        some = some + first
+        near &= root[some][:, None] != root[part][None, :]
+        i, j = np.nonzero(near)
+        i, j = some[i], part[j]
+        fits = OF * np.minimum(size[i], size[j]) >= LIKE * np.maximum(size[i], size[j])
+        i, j = i[fits], j[fits]
+        good = agreeing(sketches, i, j)
+        found.append((name[i[good]], name[j[good]]))
+    return tuple(map(np.concatenate, zip(*found)))
 
 
 INDEXED, ASKING = 1, 2  # what a fingerprint is in a group: others search it, it searches others
 
 
 def search_shards(fps: DataFrame, search=stars, shard_rows: int = SHARD_ROWS, dense: int = DENSE) -> DataFrame:
-    """tab, a and b: what `search` gives for the shards of the rows (tab, fp, size), distinct by tab and fp; each table is searched for itself.
+    """tab, a and b: what `search` gives for the shards of the rows (tab, fp, and what else it needs); each table is searched for itself.
 
-    The driver sees a sample of SAMPLE fingerprints a table at most, an eighth of them on small inputs, the routing trees made of it, and
+    Rows are distinct by tab and fp, or by tab, fp and name. The driver sees a sample of SAMPLE fingerprints a table at most, an eighth of them on small inputs, the routing trees made of it, and
     the shards that own more than `dense`: no more than the trees have leaves. A shard of B times as many is cut to B blocks of owners, and
     those that search it to B parts, so a group stays near `dense` owners; each pair of fingerprints meets in one group only.
     """
@@ -249,7 +277,7 @@ def search_shards(fps: DataFrame, search=stars, shard_rows: int = SHARD_ROWS, de
     sizes = {r.tab: r.n for r in fps.groupBy("tab").agg(F.count("*").alias("n")).collect()}
     largest = max(sizes.values(), default=0)
     part = min(0.125, SAMPLE / max(1, largest))
-    taken = fps.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 24)) < int(part * (1 << 24))).limit(2 * SAMPLE * max(1, len(sizes))).toPandas() if largest > shard_rows else None
+    taken = fps.select("tab", "fp").filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 24)) < int(part * (1 << 24))).limit(2 * SAMPLE * max(1, len(sizes))).toPandas() if largest > shard_rows else None
     trees = {}
     for tab, n in sizes.items():
         shards = -(-n // shard_rows)
@@ -266,44 +294,43 @@ def search_shards(fps: DataFrame, search=stars, shard_rows: int = SHARD_ROWS, de
 
     crowded = {}
     if largest > dense:
-        counts = fps.mapInPandas(owned, "tab int, leaf int, n long").groupBy("tab", "leaf").agg(F.sum("n").alias("n")).filter(F.col("n") > dense)
+        counts = fps.select("tab", "fp").mapInPandas(owned, "tab int, leaf int, n long").groupBy("tab", "leaf").agg(F.sum("n").alias("n")).filter(F.col("n") > dense)
         crowded = {(r.tab, r.leaf): -(-r.n // dense) for r in counts.collect()}
+    spread_by = "name" if "name" in fps.columns else "fp"
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for tab, rows in pdf.groupby("tab"):
-                points, sizes_of = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["size"].to_numpy()
+                points, spread = rows["fp"].to_numpy(np.int64).view(np.uint64), mixed(rows[spread_by].to_numpy(np.int64).view(np.uint64), 2)
                 own = routers.value[tab].owners(points)
                 for leaf, at in routers.value[tab].visits(points):
                     at = at[own[at] <= leaf]  # a pair across shards meets in the later one
-                    signed, size, mine, many = points[at].view(np.int64), sizes_of[at], own[at] == leaf, crowded.get((tab, leaf), 1)
-                    key = {"tab": tab, "leaf": leaf}
-                    if many == 1:
-                        yield pd.DataFrame(key | {"block": 0, "part": 0, "fp": signed, "size": size, "role": np.where(mine, INDEXED | ASKING, ASKING)})
-                        continue
-                    spread = mixed(points[at], 2)
-                    block, piece = (spread % np.uint64(many)).astype(int), (spread // np.uint64(many) % np.uint64(many)).astype(int)
-                    for b in range(many):
-                        asks = ~mine | (block > b)
-                        yield pd.DataFrame(key | {"block": b, "part": piece[asks], "fp": signed[asks], "size": size[asks], "role": ASKING})
-                        held = mine & (block == b)
-                        for k in range(many):
-                            yield pd.DataFrame(key | {"block": b, "part": k, "fp": signed[held], "size": size[held], "role": INDEXED if k else INDEXED | ASKING})
+                    mine, many = own[at] == leaf, crowded.get((tab, leaf), 1)
+                    block, piece = ((x % np.uint64(many)).astype(int) for x in (spread[at], spread[at] // np.uint64(many)))
+                    # as one that searches: in all blocks of owners, an owner in those before its own; as an owner: in all parts of its own block, searching in the first
+                    times = np.where(mine, block, many)
+                    asks, holds = np.repeat(np.arange(len(at)), times), np.repeat(np.flatnonzero(mine), many)
+                    blocks = np.arange(len(asks)) - np.repeat(np.cumsum(times) - times, times)
+                    parts = np.arange(len(holds)) % many
+                    roles = np.concatenate([np.full(len(asks), ASKING), np.where(parts == 0, INDEXED | ASKING, INDEXED)])
+                    out = rows.iloc[at[np.concatenate([asks, holds])]]
+                    yield out.assign(leaf=leaf, block=np.concatenate([blocks, block[holds]]), part=np.concatenate([piece[asks], parts]), role=roles)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("fp")
-        points, role, size = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["role"].to_numpy(), pdf["size"].to_numpy()
+        points, role = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["role"].to_numpy()
         own = role & INDEXED > 0
-        a, b = search(points[own], points[~own], bool((role[own] & ASKING).any()), size[own], size[~own])
+        a, b = search(points[own], points[~own], bool((role[own] & ASKING).any()), pdf[own], pdf[~own])
         return pd.DataFrame({"tab": pdf["tab"].iloc[0], "a": a, "b": b})
 
-    dealt = fps.select("tab", "fp", "size").mapInPandas(deal, "tab int, leaf int, block int, part int, fp long, size int, role int")
+    schema = ", ".join(f"{n} {t}" for n, t in fps.dtypes)
+    dealt = fps.mapInPandas(deal, f"{schema}, leaf int, block int, part int, role int")
     return dealt.groupBy("tab", "leaf", "block", "part").applyInPandas(run, "tab int, a long, b long")
 
 
 def links(fps: DataFrame, shard_rows: int = SHARD_ROWS, dense: int = DENSE) -> DataFrame:
     """Edges (a, b), b < a, whose components are those of all links among the distinct fingerprints `fps.fp`."""
-    return search_shards(fps.select(F.lit(0).alias("tab"), "fp", F.lit(0).alias("size")), stars, shard_rows, dense).select("a", "b")
+    return search_shards(fps.select(F.lit(0).alias("tab"), "fp"), stars, shard_rows, dense).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -384,85 +411,76 @@ def keep_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return one.dropDuplicates(KEY).select(docs.columns)
 
 
-def shingle_set(text: str) -> np.ndarray:
-    """The distinct 5-word shingles' hashes in ascending order."""
-    return np.unique(shingle_hashes(text, LIKE_SHINGLE))
-
-
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether the sets' Jaccard likeness reaches the bound; two empty sets are alike."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return OF * both >= LIKE * (len(a) + len(b) - both)
-
-
 def word_prints(docs: DataFrame, tables: tuple[int, ...] = TABLES) -> DataFrame:
-    """doc_id, text_key, class (a hash of the text's shingle set), size of that set, and prints: for each table a fingerprint of the set of words or word pairs."""
+    """doc_id, text_key, class (a name of the text's set of 5-word shingles), size and sketch of that set, and prints: for each table a fingerprint of the set of words or word pairs."""
+    factors, summands = permutations(SKETCH // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
-            for piece in slices(batch):
-                names, sizes, prints = [], [], []
+            for piece in slices(batch, 200):
+                names, sizes, sketches, prints = [], [], [], []
                 for text in piece.column(2).to_pylist():
-                    shingles, few = shingle_set(text or ""), {n: np.unique(shingle_hashes(text or "", n)) for n in set(tables)}
-                    names.append(xxhash.xxh64_intdigest(shingles.tobytes()) if len(shingles) else 0)
-                    sizes.append(len(shingles))
+                    found, few = shingles(text or "", LIKE_SHINGLE, known), {n: shingles(text or "", n, known) for n in set(tables)}
+                    names.append(class_of(found))
+                    sizes.append(len(found))
+                    sketches.append(sketch(min_max(found, factors, summands)))
                     prints.append([majority(mixed(few[n], t)) for t, n in enumerate(tables)])
-                arrays = [pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prints, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *arrays], ["doc_id", "text_key", "class", "size", "prints"])
+                arrays = [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(prints, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *arrays], ["doc_id", "text_key", "class", "size", "sketch", "prints"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
-    return texts.mapInArrow(run, "doc_id long, text_key long, class long, size int, prints array<bigint>")
+    return texts.mapInArrow(run, "doc_id long, text_key long, class long, size long, sketch binary, prints array<bigint>")
 
 
-def proposed(classes: DataFrame, shard_rows: int = SHARD_ROWS, dense: int = DENSE) -> DataFrame:
-    """Pairs (a, b), a < b, of classes whose fingerprints are equal or near in a table, and whose sizes allow the likeness.
+def proposed(printed: DataFrame, shard_rows: int = SHARD_ROWS, dense: int = DENSE) -> tuple[DataFrame, DataFrame]:
+    """(pairs, crowds): pairs (a, b) of classes whose fingerprints are equal or near in a table and whose sizes allow the likeness; and the (tab, fp) that have more partners.
 
-    Of the classes of one fingerprint each meets the least; fingerprints meet by their least classes. So pairs grow with the number of classes.
+    printed: class, size, tab, fp. Of the classes of one fingerprint each meets the least; fingerprints meet by their least classes, two partners each. So pairs grow with the number
+    of classes. Every pair that this leaves out is of two classes whose fingerprints are both among the crowds.
     """
-    printed = classes.select("class", "size", F.posexplode("prints").alias("tab", "fp"))
-    lead = F.min(F.struct("class", "size"))
-    fps = settle(printed.groupBy("tab", "fp").agg(F.count("*").alias("n"), lead.alias("lead")))
+    fps = settle(printed.groupBy("tab", "fp").agg(F.count("*").alias("n"), F.min(F.struct("class", "size")).alias("lead")))
     equal = printed.join(fps.filter("n > 1"), ["tab", "fp"]).select(F.struct("class", "size").alias("x"), F.col("lead").alias("y"))
-    near = search_shards(fps.select("tab", "fp", F.col("lead.size").alias("size")), partners, shard_rows, dense).select("tab", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = settle(search_shards(fps.select("tab", "fp", F.col("lead.size").alias("size"), (F.col("n") > 1).alias("many")), partners, shard_rows, dense).distinct())
     left, right = fps.select("tab", F.col("fp").alias("a"), F.col("lead").alias("x")), fps.select("tab", F.col("fp").alias("b"), F.col("lead").alias("y"))
-    pairs = equal.unionAll(near.join(left, ["tab", "a"]).join(right, ["tab", "b"]).select("x", "y")).filter("x.class <> y.class")
+    met = near.filter("a <> b").select("tab", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = equal.unionAll(met.join(left, ["tab", "a"]).join(right, ["tab", "b"]).select("x", "y")).filter("x.class <> y.class")
     fits = OF * F.least("x.size", "y.size") >= LIKE * F.greatest("x.size", "y.size")
-    return pairs.filter(fits).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
-
+    return pairs.filter(fits).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct(), near.filter("a = b").select("tab", F.col("a").alias("fp")).distinct()
 
-def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose whole texts are alike. Only texts of classes in pairs are moved."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch, 100):
-                good = [alike(shingle_set(x), shingle_set(y)) for x, y in zip(piece.column(2).to_pylist(), piece.column(3).to_pylist())]
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+def left_in_crowds(printed: DataFrame, crowds: DataFrame, classes: DataFrame, roots: DataFrame, shard_rows: int = SHARD_ROWS, dense: int = DENSE) -> DataFrame:
+    """Pairs (a, b) of classes in crowds that are near in a table, not yet of one group, and that sizes and sketches don't rule out: all of them.
 
-    pairs = settle(pairs)
-    wanted = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).distinct()
-    one = rows.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("text_key").alias("text_key"))
-    held = docs.select(text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text")).join(one, "text_key").dropDuplicates(["class"])
-    held = settle(held.select("class", "text"))
-    both = pairs.join(held.select(F.col("class").alias("a"), F.col("text").alias("x")), "a").join(held.select(F.col("class").alias("b"), F.col("text").alias("y")), "b")
-    return settle(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    The trees are searched again over the crowds' classes alone. Pairs are looked at inside the shards; rows are made of those only whose sketches of 5-word shingles agree, so neither a family
+    of near copies, which is one group by now, nor a crowd of texts that merely have the same words grows to pairs.
+    """
+    inside = printed.join(crowds, ["tab", "fp"], "left_semi")
+    named = inside.join(roots, inside["class"] == roots.node, "left").select("tab", "fp", "class", "size", F.coalesce("root", "class").alias("root"))
+    points = named.join(classes.select("class", "sketch"), "class").select("tab", "fp", F.col("class").alias("name"), "size", "root", "sketch")
+    found = search_shards(settle(points), strangers, shard_rows, dense)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def alike_groups(docs: DataFrame, tables: tuple[int, ...] = TABLES, shard_rows: int = SHARD_ROWS, dense: int = DENSE) -> DataFrame:
     """doc_id, text_key, fp (the class) and component_id of every row, as in `group`, for texts whose likeness is 0.8 or more.
 
     Likeness is the Jaccard likeness of the sets of 5-word shingles (fewer words: the whole sequence; texts without words are alike). Texts of one set
-    are one class, so copies cost nothing. Every link is verified on whole texts, so no text is joined to one that isn't alike. A link can be
-    missed: when the fingerprints of its texts lie over RADIUS bits apart in every table, or when a text with more than two partners is alike only to
-    those it didn't propose. The README states how many are found.
+    are one class, so copies cost nothing. Every link is verified on whole sets, so no text is joined to one that isn't alike. A few partners of each text are verified first; where it has
+    more, all those of other groups are in a second round. A link can be missed when the fingerprints of its texts lie over RADIUS bits apart in every table, or if fewer than
+    CUT of two sketches' bytes agree (seven deviations off at the bound). The README states how many are found.
     """
     rows = settle(word_prints(docs, tables))
-    nodes = settle(rows.groupBy("class").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("prints").alias("prints")))
-    roots = components(verified(proposed(nodes, shard_rows, dense), rows, docs))
+    nodes = settle(rows.groupBy("class").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("prints").alias("prints")))
+    printed, slim = nodes.select("class", "size", F.posexplode("prints").alias("tab", "fp")), rows.select("doc_id", "text_key", "class")
+    pairs, crowds = proposed(printed, shard_rows, dense)
+    near = verified(pairs, docs, slim, LIKE_SHINGLE, LIKE, OF)
+    rest = left_in_crowds(printed, crowds, nodes, components(near), shard_rows, dense)
+    roots = components(near.unionAll(verified(rest, docs, slim, LIKE_SHINGLE, LIKE, OF)))
     named = nodes.join(roots, nodes["class"] == roots.node, "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = settle(named.join(ids, "root").select("class", "component_id"))
-    return rows.join(by_class, "class").select("doc_id", "text_key", F.col("class").alias("fp"), "component_id")
+    return slim.join(by_class, "class").select("doc_id", "text_key", F.col("class").alias("fp"), "component_id")
 
 
 def keep_alike(docs: DataFrame, tables: tuple[int, ...] = TABLES) -> DataFrame:
