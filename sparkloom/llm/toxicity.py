@@ -3,7 +3,7 @@
 A text gives the set of its hashed character n-grams (`SIZES`, over lower-cased UTF-8 bytes with a
 blank at either end). From labelled rows Spark counts in how many texts of either class each
 n-gram occurs; r = log of the ratio of the smoothed shares, drawn to 0 as far as its class counts may be chance. A text's features are r where the
-n-gram is present, and logistic regression is trained on all n-grams that occur. Scoring is one sum per text.
+n-gram is present, and logistic regression is trained on them. N-grams whose ratio is drawn to under LEAST have no weight: nine in ten, most of them seen in one or two texts. Scoring is one sum per text.
 """
 
 from __future__ import annotations
@@ -16,47 +16,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, settle, slices
+from .common import map_texts, settle, slices, text_key
 
-BITS = 18
+BITS = 22
 SIZES = (3, 4, 5, 6)
-TRAIN_ROWS = 20_000  # bound of the labelled sample; all labelled rows while there are no more
+TRAIN_ROWS = 20_000  # bound of the labelled sample; all labelled ids while there are no more
 # Those from CHANCE to PENALTY were compared by folds among the training rows (see README); held-out rows had no part in it.
 CHANCE = 3.0  # deviations from the count expected by chance at which an n-gram's ratio is halved
 STEEPNESS = 4  # how fast the ratio goes to 0 below that
-FLOOR = 0.05  # least size of a ratio: with components far smaller than others the regression's steps fail
+LEAST = 0.05  # ratios that are smaller after that are 0
 TOXIC_WEIGHT = 2.0  # a missed toxic text costs so many clean ones
-PENALTY = 0.0005  # of the squared weights
+PENALTY = 5e-4  # of the squared weights
 ROUNDS = 100  # steps of the regression, at most
 SMOOTHING = 1.0
 THRESHOLD = 0.3
 _PRIME, _MIX = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 
 
-def ngrams(text: str) -> np.ndarray:
-    """Sorted distinct buckets of the text's n-grams."""
+def hashes(text: str) -> np.ndarray:
+    """The buckets of the text's n-grams, with repeats."""
     data = np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), np.uint8).astype(np.uint32)
-    seen = np.zeros(1 << BITS, bool)
-    h = data
+    h, found = data, [np.empty(0, np.uint32)]
     for n in range(2, max(SIZES) + 1):
         if len(data) < n:
             break
         h = h[:-1] * _PRIME + data[n - 1 :]
         if n in SIZES:
-            seen[((h + np.uint32(n)) * _MIX) >> np.uint32(32 - BITS)] = True
-    return np.flatnonzero(seen)
+            found.append(((h + np.uint32(n)) * _MIX) >> np.uint32(32 - BITS))
+    return np.concatenate(found)
+
+
+def ngrams(text: str) -> np.ndarray:
+    """Sorted distinct buckets of the text's n-grams."""
+    return np.unique(hashes(text))
+
+
+@dataclass
+class Features:
+    """What makes a vector of a text: places has for each of the 2**BITS buckets 1 + its place among those whose ratio isn't 0, or 0; ratios are theirs."""
+
+    places: np.ndarray
+    ratios: np.ndarray
+
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Places and values of the text's vector."""
+        seen = np.zeros(len(self.ratios) + 1, bool)
+        seen[self.places[hashes(text)]] = True
+        at = np.flatnonzero(seen[1:])
+        return at, self.ratios[at]
 
 
 @dataclass
 class Model:
-    """weights: one per bucket, ratio and coefficient multiplied; ratios: the log-count ratios, drawn to 0 by chance, alone. Their number is fixed by BITS."""
+    """features, one coefficient for each of them, and the bias. Their size is bounded by BITS and by the n-grams of the labelled sample."""
 
-    weights: np.ndarray
+    features: Features
+    coefficients: np.ndarray
     bias: float
-    ratios: np.ndarray
 
     def score(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.weights[ngrams(text)].sum(dtype=np.float64) + self.bias, -500, 500))))
+        at, values = self.features.of(text)
+        return float(1 / (1 + np.exp(-np.clip((self.coefficients[at] * values).sum() + self.bias, -500, 500))))
 
 
 def training_labels(labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -74,23 +94,25 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fit on the labelled documents that aren't held out.
 
     Without both classes among them the model knows only the class share: 0 without labels.
-    The labels are broadcast: at most about `rows` pairs of numbers, so no text is shuffled. Repeated rows of a labelled document all count.
+    The labels are broadcast: at most about `rows` pairs of numbers. Of several rows of a labelled id the text whose hash is lowest counts, once, so the fit has a row for each
+    labelled id at most however often ids repeat; only these texts are shuffled.
     """
     chosen = training_labels(labels, rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return fit(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), text_key().alias("text_key"))
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by("text", "text_key").alias("text"), F.max("toxic").alias("toxic"))
+    return fit(one.select("text", "toxic"))
 
 
 def scaled_ratios(clean: np.ndarray, toxic: np.ndarray, n0: int, n1: int) -> np.ndarray:
-    """Log-count ratios of n-grams in so many of n0 clean and n1 toxic texts, times d**STEEPNESS / (d**STEEPNESS + CHANCE**STEEPNESS), FLOOR at least in size.
+    """Log-count ratios of n-grams in so many of n0 clean and n1 toxic texts, times d**STEEPNESS / (d**STEEPNESS + CHANCE**STEEPNESS); 0 if less than LEAST is left.
 
-    So every n-gram that occurs has a weight of its own, and those that say nothing together weigh little. d: the deviations of the toxic count from the one expected if class and n-gram had nothing to do with each other.
+    d: the deviations of the toxic count from the one expected if class and n-gram had nothing to do with each other.
     """
     share = (toxic + clean) / (n0 + n1)
     d = np.abs(toxic - share * n1) / np.sqrt(share * (1 - share) * n1 * n0 / (n0 + n1) + 0.5)
     ratio = np.log((toxic + SMOOTHING) / (n1 + 2 * SMOOTHING)) - np.log((clean + SMOOTHING) / (n0 + 2 * SMOOTHING))
     drawn = ratio * d**STEEPNESS / (d**STEEPNESS + CHANCE**STEEPNESS)
-    return np.where(ratio < 0, -1.0, 1.0) * np.maximum(np.abs(drawn), FLOOR)
+    return np.where(np.abs(drawn) < LEAST, 0.0, drawn)
 
 
 # a sparse vector as Spark's vector type stores it
@@ -98,51 +120,63 @@ _LISTS = pa.list_(pa.field("element", pa.int32(), False)), pa.list_(pa.field("el
 _VECTOR = [pa.field("type", pa.int8(), False), pa.field("size", pa.int32()), pa.field("indices", _LISTS[0]), pa.field("values", _LISTS[1])]
 
 
-def vectors(places: list[np.ndarray], values: np.ndarray) -> pa.StructArray:
-    """Sparse vectors of len(values) components: those at `places` are taken from `values`."""
-    ends = pa.array(np.cumsum([0, *map(len, places)]), pa.int32())
-    flat = np.concatenate([*places, np.empty(0, np.int64)])
-    lists = [pa.ListArray.from_arrays(ends, pa.array(x, k.value_type), type=k) for x, k in zip((flat.astype(np.int32), values[flat.astype(np.int64)]), _LISTS)]
-    return pa.StructArray.from_arrays([pa.array(np.zeros(len(places), np.int8)), pa.array(np.full(len(places), len(values), np.int32)), *lists], fields=_VECTOR)
+def vectors(found: list[tuple[np.ndarray, np.ndarray]], size: int) -> pa.StructArray:
+    """Sparse vectors of `size` components from their places and values."""
+    ends = pa.array(np.cumsum([0, *(len(at) for at, _ in found)]), pa.int32())
+    flat = [np.concatenate([*(f[k] for f in found), np.empty(0)]).astype(t) for k, t in enumerate((np.int32, np.float64))]
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x, k.value_type), type=k) for x, k in zip(flat, _LISTS)]
+    return pa.StructArray.from_arrays([pa.array(np.zeros(len(found), np.int8)), pa.array(np.full(len(found), size, np.int32)), *lists], fields=_VECTOR)
 
 
 def fit(known: DataFrame, toxic_weight: float = TOXIC_WEIGHT, penalty: float = PENALTY) -> Model:
-    """The model of the rows (text, toxic); all of them, and all their n-grams, are used, so the caller bounds the number of rows."""
+    """The model of the rows (text, toxic); all of them are used, so the caller bounds the number of rows."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.linalg import VectorUDT
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, 1 << BITS), np.int64)
+        seen = np.zeros((2, 1 << BITS), np.int32)
         for batch in batches:
             for part in slices(batch):
                 for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     seen[toxic, ngrams(text)] += 1
-        at = np.flatnonzero(seen.sum(0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[0, at]), pa.array(seen[1, at])], ["bucket", "clean", "toxic"])
+        at = np.flatnonzero(seen.any(0))
+        for low in range(0, len(at), 1 << 16):
+            part = at[low : low + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(seen[0, part].astype(np.int64)), pa.array(seen[1, part].astype(np.int64))], ["bucket", "clean", "toxic"])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ratio = scaled_ratios(*(batch.column(k).to_numpy().astype(np.float64) for k in (1, 2)), n0, n1)
+            at = np.flatnonzero(ratio)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(ratio[at])], ["bucket", "ratio"])
 
     known = settle(known.select("text", (F.col("toxic") > 0).cast("int").alias("toxic")))
     sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    ratios = np.zeros(1 << BITS)
+    places = np.zeros(1 << BITS, np.int32)
     if not n0 or not n1:
         share = n1 / max(1, n0 + n1)
-        return Model(ratios, float(np.clip(np.log(max(share, 1e-9) / max(1 - share, 1e-9)), -20, 20)), ratios)
-    # pre-aggregated in each task; one row per bucket that occurs: 2**BITS at most, whatever the corpus
-    counts = known.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
-    ratios[counts["bucket"]] = scaled_ratios(counts["clean"].to_numpy(np.float64), counts["toxic"].to_numpy(np.float64), n0, n1)
-    shared = known.sparkSession.sparkContext.broadcast(ratios)
+        return Model(Features(places, np.zeros(0)), np.zeros(0), float(np.clip(np.log(max(share, 1e-9) / max(1 - share, 1e-9)), -20, 20)))
+    # pre-aggregated in each task, and only n-grams whose ratio isn't 0 come to the driver: 2**BITS at most, whatever the corpus
+    counts = known.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    kept = counts.mapInArrow(weigh, "bucket long, ratio double").toPandas().sort_values("bucket")
+    places[kept["bucket"].to_numpy(np.int64)] = np.arange(1, len(kept) + 1)
+    made = Features(places, kept["ratio"].to_numpy(np.float64))
+    shared = known.sparkSession.sparkContext.broadcast(made)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 50):
-                found = [ngrams(t) for t in part.column(0).to_pylist()]
+                found = [shared.value.of(t) for t in part.column(0).to_pylist()]
                 label = part.column(1).to_numpy().astype(np.float64)
-                yield pa.RecordBatch.from_arrays([vectors(found, shared.value), pa.array(label), pa.array(np.where(label > 0, toxic_weight, 1.0))], ["features", "label", "weight"])
+                yield pa.RecordBatch.from_arrays([vectors(found, len(shared.value.ratios)), pa.array(label), pa.array(np.where(label > 0, toxic_weight, 1.0))], ["features", "label", "weight"])
 
+    if not len(kept):
+        return Model(made, np.zeros(0), float(np.log(toxic_weight * n1 / n0)))
     ready = known.mapInArrow(features, StructType([StructField("features", VectorUDT()), StructField("label", DoubleType()), StructField("weight", DoubleType())]))
-    fitted = LogisticRegression(weightCol="weight", maxIter=ROUNDS, regParam=penalty, standardization=False).fit(ready)
-    return Model(fitted.coefficients.toArray() * ratios, float(fitted.intercept), ratios)
+    fitted = LogisticRegression(weightCol="weight", maxIter=ROUNDS, tol=1e-8, regParam=penalty, standardization=False).fit(ready)
+    return Model(made, fitted.coefficients.toArray(), float(fitted.intercept))
 
 
 def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -45,15 +45,20 @@ def alike_groups(texts):
     return root
 
 
-def plain_score(model, text):
+def buckets(text):
     data, seen = [*f" {text.lower()} ".encode()], set()
     for n in (3, 4, 5, 6):
         for i in range(len(data) - n + 1):
             h = 0
             for c in data[i : i + n]:
                 h = (h * 0x01000193 + c) % (1 << 32)
-            seen.add((h + n) * 0x9E3779B1 % (1 << 32) >> 14)
-    return 1 / (1 + math.exp(-(sum(float(model.weights[b]) for b in seen) + model.bias)))
+            seen.add((h + n) * 0x9E3779B1 % (1 << 32) >> 10)
+    return seen
+
+
+def plain_score(model, text):
+    at = [p - 1 for b in buckets(text) if (p := int(model.features.places[b]))]
+    return 1 / (1 + math.exp(-(sum(float(model.coefficients[p]) * float(model.features.ratios[p]) for p in at) + model.bias)))
 
 
 SHAPES = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"\+[0-9][\x20().0-9-]{7,}[0-9]"]
