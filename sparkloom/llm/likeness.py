@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import settle, slices, text_key
 
-SKETCH = 128  # bytes of a sketch: one of each of so many minima or maxima
-CUT = 0.55  # of a sketch's bytes agree, or the pair isn't looked at: some seven deviations under a likeness of 0.8
+SKETCH = 192  # bytes of a sketch: one of each of so many minima or maxima
+CUT = 0.66  # of a sketch's bytes agree, or the pair isn't looked at: nearly five deviations under a likeness of 0.8
 LEAD_PAIRS = 256  # pairs that one copy of a lead's set serves
 CROWD = 4096  # members that a task compares with as many
 
@@ -146,16 +146,16 @@ def apart(size: np.ndarray, group: np.ndarray, sketches: np.ndarray, first: np.n
         yield i[good], j[good]
 
 
-def left_over(members: DataFrame, like: int, of: int, crowd: int = CROWD) -> DataFrame:
+def left_over(placed: DataFrame, sketches: DataFrame, like: int, of: int, crowd: int = CROWD) -> DataFrame:
     """Pairs (a, b), a < b, of classes that share a bucket but are not yet of one group, and that sizes and sketches don't rule out.
 
-    members: bucket, class, size, root (the group so far) and sketch. Stars of proposals join most of a bucket; where several groups remain, each member is held against those of
+    placed: bucket, class, size and root (the group so far); sketches: class and sketch. Stars of proposals join most of a bucket; where several groups remain, each member is held against those of
     other groups by sketch. A bucket of over `crowd` members is cut to parts, every two of which meet in a task, so a task holds 2 * crowd at most. Only pairs
     that agree become rows.
     """
-    buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("n > 2 and low <> high")
+    buckets = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     parts = F.ceil(F.col("n") / crowd).cast("int")
-    held = members.join(buckets.select("bucket", parts.alias("parts")), "bucket").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    held = placed.join(buckets.select("bucket", parts.alias("parts")), "bucket").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")).join(sketches, "class")
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("x"), F.greatest(k, F.col("part")).alias("y")))
     dealt = held.select("bucket", "class", "size", "root", "sketch", "part", F.inline(meets))
     dealt = dealt.select("bucket", "x", "y", "part", "class", "size", "root", "sketch").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")

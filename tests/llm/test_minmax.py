@@ -87,10 +87,11 @@ def test_parts_of_a_crowd_meet(spark):
         sketch = base.copy() if k % 2 else rng.integers(0, 256, likeness.SKETCH, np.uint8)
         rows.append((1, k, 100 if k != 3 else 10, k if k > 10 else 0, bytes(sketch)))
     members = spark.createDataFrame(rows, "bucket long, class long, size long, root long, sketch binary")
+    placed, sketches = members.drop("sketch"), members.select("class", "sketch")
     alike = [k for k in range(50) if k % 2 and k != 3]
     expected = {(a, b) for a in alike for b in alike if a < b and (a if a > 10 else 0) != (b if b > 10 else 0)}
     for crowd in (7, 1000):
-        assert {(r.a, r.b) for r in likeness.left_over(members, 80, 100, crowd).collect()} == expected
+        assert {(r.a, r.b) for r in likeness.left_over(placed, sketches, 80, 100, crowd).collect()} == expected
 
 
 def test_minima_and_maxima_agree_as_often_as_sets_are_alike():
