@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus jobs on Spark.
+"""Training-data operators: thirteen corpus jobs on Spark.
 
 Nothing outside this subpackage imports it; `queries.py` here holds the
 registered queries.

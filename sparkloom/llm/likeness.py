@@ -126,32 +126,38 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, n: int, like: i
     return settle(dealt.mapInArrow(run, "a long, b long"))
 
 
-def agreeing(sketches: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which of the pairs (i, j) of rows agree in CUT of their sketches' bytes."""
-    good = np.zeros(len(i), bool)
+def agreement(sketches: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many bytes the sketches of the pairs (i, j) of rows agree."""
+    same = np.zeros(len(i), np.int64)
     for at in range(0, len(i), 1 << 16):
         cut = slice(at, at + (1 << 16))
-        good[cut] = (sketches[i[cut]] == sketches[j[cut]]).sum(1) >= CUT * sketches.shape[1]
-    return good
+        same[cut] = (sketches[i[cut]] == sketches[j[cut]]).sum(1)
+    return same
+
+
+def agreeing(sketches: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) of rows agree in CUT of their sketches' bytes."""
+    return agreement(sketches, i, j) >= CUT * sketches.shape[1]
 
 
-def apart(size: np.ndarray, group: np.ndarray, sketches: np.ndarray, first: np.ndarray, second: np.ndarray, like: int, of: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (row of `first`, row of `second`) of different groups whose sizes and sketches allow the likeness, in blocks."""
+def apart(size: np.ndarray, group: np.ndarray, sketches: np.ndarray, first: np.ndarray, second: np.ndarray, like: int, of: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs (row of `first`, row of `second`, agreement) of different groups whose sizes and sketches allow the likeness, in blocks by the first."""
     for at in range(0, len(first), 64):
         mine = first[at : at + 64]
         small, large = np.minimum(size[mine][:, None], size[second][None, :]), np.maximum(size[mine][:, None], size[second][None, :])
         x, y = np.nonzero((group[mine][:, None] != group[second][None, :]) & (of * small >= like * large))
         i, j = mine[x], second[y]
-        good = agreeing(sketches, i, j)
-        yield i[good], j[good]
+        same = agreement(sketches, i, j)
+        good = same >= CUT * sketches.shape[1]
+        yield i[good], j[good], same[good]
 
 
-def left_over(placed: DataFrame, sketches: DataFrame, like: int, of: int, crowd: int = CROWD) -> DataFrame:
-    """Pairs (a, b), a < b, of classes that share a bucket but are not yet of one group, and that sizes and sketches don't rule out.
+def left_over(placed: DataFrame, sketches: DataFrame, like: int, of: int, crowd: int = CROWD, best: bool = False) -> DataFrame:
+    """Pairs (a, b) of classes that share a bucket but are not yet of one group, and that sizes and sketches don't rule out: all of them, or for each class the one that agrees most.
 
-    placed: bucket, class, size and root (the group so far); sketches: class and sketch. Stars of proposals join most of a bucket; where several groups remain, each member is held against those of
+    placed: bucket, class, size and root (the group so far); sketches: class and sketch. Where a bucket has several groups, each member is held against those of
     other groups by sketch. A bucket of over `crowd` members is cut to parts, every two of which meet in a task, so a task holds 2 * crowd at most. Only pairs
-    that agree become rows.
+    that agree become rows. A family of near copies that are not alike to one another is joined by the best pairs, a row a member, before all pairs of what is still apart are made.
     """
     buckets = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     parts = F.ceil(F.col("n") / crowd).cast("int")
@@ -159,10 +165,13 @@ def left_over(placed: DataFrame, sketches: DataFrame, like: int, of: int, crowd:
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("x"), F.greatest(k, F.col("part")).alias("y")))
     dealt = held.select("bucket", "class", "size", "root", "sketch", "part", F.inline(meets))
     dealt = dealt.select("bucket", "x", "y", "part", "class", "size", "root", "sketch").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    return dealt.mapInArrow(_met(like, of), "a long, b long").filter("a <> b").distinct()
+    pairs = dealt.mapInArrow(_met(like, of, best), "a long, b long, same long").filter("a <> b")
+    if best:
+        return pairs.groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _met(like: int, of: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _met(like: int, of: int, best: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def pairs_of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         x, y, part, name, size, root = (rows.column(c).to_numpy() for c in ("x", "y", "part", "class", "size", "root"))
         if len(name) < 2:
@@ -175,8 +184,12 @@ def _met(like: int, of: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             first, second = np.flatnonzero(root != roots[n.argmax()]), everyone
         else:
             first, second = np.flatnonzero(part == x[0]), np.flatnonzero(part == y[0])
-        for i, j in apart(size, root, sketches, first, second, like, of):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(name[i], name[j])), pa.array(np.maximum(name[i], name[j]))], ["a", "b"])
+        for i, j, same in apart(size, root, sketches, first, second, like, of):
+            if best and len(i):
+                order = np.lexsort((j, -same, i))
+                top = order[np.concatenate([[True], i[order][1:] != i[order][:-1]])]
+                i, j, same = i[top], j[top], same[top]
+            yield pa.RecordBatch.from_arrays([pa.array(name[i]), pa.array(name[j]), pa.array(same)], ["a", "b", "same"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []

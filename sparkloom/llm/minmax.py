@@ -61,30 +61,28 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, count: int = PERMUTATION
 def links(docs: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int = SHINGLE, like: int = LIKE, of: int = OF) -> DataFrame:
     """Edges (a, b) between classes, all verified, whose components are those of all links that a bucket shows.
 
-    First each class meets the least class of all its buckets, then the least one of each bucket, then, where a bucket has several groups left, members of different ones that their sketches
-    don't rule out. Classes that are of one group already needn't be looked at, so a family of near copies costs a few pairs a member.
+    First each class meets the least class of all its buckets; then, where a bucket has several groups left, each meets the member of another one whose sketch agrees most; then members of
+    different groups meet whose sketches don't rule them out, all of them. Classes that are of one group already needn't be looked at, so a family of near copies costs a few pairs a member.
     """
     sizes = classes.select("class", "size")
     placed = settle(classes.select("class", F.explode("keys").alias("bucket")))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("lead")).filter("n > 1").select("bucket", "lead")
-    stars = settle(placed.join(shared, "bucket").filter("class <> lead").select("class", "lead").distinct())
+    stars = placed.join(shared, "bucket").filter("class <> lead").groupBy("class").agg(F.min("lead").alias("lead"))
+    sketches = classes.select("class", "sketch")
 
     def sized(pairs: DataFrame) -> DataFrame:
         """The pairs (class, lead) whose sizes allow the likeness, as (a, b)."""
         both = pairs.join(sizes, "class").join(sizes.select(F.col("class").alias("lead"), F.col("size").alias("lead_size")), "lead")
         return both.filter(of * F.least("size", "lead_size") >= like * F.greatest("size", "lead_size")).select(F.col("lead").alias("a"), F.col("class").alias("b"))
 
-    def rooted(rows: DataFrame, roots: DataFrame, name: str, root: str) -> DataFrame:
-        named = roots.select(F.col("node").alias(name), F.col("root").alias(root))
-        return rows.join(named, name, "left").withColumn(root, F.coalesce(root, name))
-
-    first = verified(sized(stars.groupBy("class").agg(F.min("lead").alias("lead"))), docs, rows, shingle, like, of)
-    roots = components(first)
-    apart = rooted(rooted(stars, roots, "class", "root"), roots, "lead", "lead_root").filter("root <> lead_root").select("class", "lead")
-    second = first.unionAll(verified(sized(apart), docs, rows, shingle, like, of))
-    roots = components(second)
-    grouped = rooted(placed, roots, "class", "root").join(sizes, "class")
-    return second.unionAll(verified(left_over(grouped, classes.select("class", "sketch"), like, of), docs, rows, shingle, like, of))
+    def left(found: DataFrame, best: bool) -> DataFrame:
+        roots = components(found)
+        named = placed.join(roots, placed["class"] == roots.node, "left").select("bucket", "class", F.coalesce("root", "class").alias("root"))
+        return verified(left_over(named.join(sizes, "class"), sketches, like, of, best=best), docs, rows, shingle, like, of)
+
+    found = verified(sized(stars), docs, rows, shingle, like, of)
+    found = found.unionAll(left(found, True))
+    return found.unionAll(left(found, False))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, like: int = LIKE, of: int = OF) -> DataFrame:
