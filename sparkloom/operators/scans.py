@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..names import fresh
 from ..plans.registry import query
 from ..session import load
 
@@ -59,3 +60,26 @@ def p41_hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the orders by hash, each with all its lines: the same rows whatever the layout, and in every table that has the key."""
     place = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("sample"), F.col("l_orderkey").cast("string"))), 1, 8), 16, 10).cast("long") % 1000
     return load(spark, sf_dir, "lineitem").filter(place < 100).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+def weighted_sample(df: DataFrame, by: list[str], ids: list[str], weight: str, k: int, seed: int = 42, rank: str = "rank") -> DataFrame:
+    """Exactly k rows of each stratum (all with a weight, if fewer), drawn without replacement with chances by weight, with their place in the draw.
+
+    A row's place is that of an exponential variable over its weight, made from a hash of the seed and its ids, so the draw doesn't depend on the layout and k' < k rows of it are the sample of size k'.
+    Rows whose weight is null, not a number, infinite, zero or less are never drawn; a null stratum is one. Rows of equal ids and weights are tied and drawn in any order.
+    Each task keeps k rows of a stratum before the shuffle.
+    """
+    at = fresh("at", df)
+    share = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in ids])), 1, 13), 16, 10).cast("long") + 0.5) / (1 << 52)
+    w = F.col(weight).cast("double")
+    drawn = df.filter((w > 0) & (w < float("inf"))).withColumn(at, -F.log(share) / w)  # NaN is larger than infinity
+    return top_per_group(drawn, by, [F.col(at), *ids], k, rank).drop(at)
+
+
+@query("""SELECT l_returnflag, l_orderkey, l_linenumber, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_returnflag
+ORDER BY -ln((('0x' || substr(md5(concat_ws('|', '42', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR))), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496) / l_quantity, l_orderkey, l_linenumber, l_partkey) AS INTEGER) AS rank
+FROM lineitem WHERE l_quantity > 0) WHERE rank <= 200""")
+def p41_weighted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """200 lines of each return flag, with chances by quantity."""
+    lines = load(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    return weighted_sample(lines, ["l_returnflag"], ["l_orderkey", "l_linenumber", "l_partkey"], "l_quantity", 200).select("l_returnflag", "l_orderkey", "l_linenumber", "rank")

@@ -33,10 +33,10 @@ def slices(events: DataFrame, n: int = SLICES, ts: str = "ts") -> list[DataFrame
     return [events.filter(F.coalesce(inside(low, high), F.lit(low is None))) for low, high in zip(lows, highs)]
 
 
-def play(parts: list[DataFrame], make: Callable[[DataFrame], DataFrame], mode: str = "append", ts: str = "ts", conf: dict[str, str] | None = None) -> DataFrame:
+def play(parts: list[DataFrame], make: Callable[[DataFrame], DataFrame], mode: str = "append", ts: str = "ts", conf: dict[str, str] | None = None, sink: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
     """What the query `make` of a stream writes when the parts arrive one after the other, and after them the end row (all but its time null).
 
-    The stream has the columns of the parts, times as timestamps. Each part is one micro-batch or more in a run of its own.
+    The stream has the columns of the parts, times as timestamps. Each part is one micro-batch or more in a run of its own. With a sink, each batch goes to it with its id, and nothing is returned.
     """
     spark, schema = parts[0].sparkSession, parts[0].schema
     feed, out, progress = scratch(spark, "feed"), scratch(spark, "stream"), scratch(spark, "progress")
@@ -49,11 +49,11 @@ def play(parts: list[DataFrame], make: Callable[[DataFrame], DataFrame], mode: s
             part.write.mode("append").parquet(feed)
             stream = make(spark.readStream.schema(schema).parquet(feed).withColumn(ts, F.col(ts).cast("timestamp")))
             writer = stream.writeStream.outputMode(mode).option("checkpointLocation", progress).trigger(availableNow=True)
-            writer.format("parquet").option("path", out).start().awaitTermination()
+            (writer.foreachBatch(sink) if sink else writer.format("parquet").option("path", out)).start().awaitTermination()
     finally:
         for key, value in before.items():
             spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
-    return spark.read.schema(stream.schema).parquet(out)
+    return None if sink else spark.read.schema(stream.schema).parquet(out)
 
 
 def play_events(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame], DataFrame], **options) -> DataFrame:
