@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..plans.registry import query
 from ..session import load
@@ -70,3 +73,45 @@ def p80_arrow_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pa.compute.multiply(values, 2.0)
 
     return load(spark, sf_dir, "supplier").select("s_suppkey", doubled("s_acctbal").alias("doubled"))
+
+
+def gap_filler(key: str, at: str, step: dt.timedelta):
+    """A table function over rows partitioned by `key` and ordered by `at`: the rows, and one for each step of time between two of them that has none.
+
+    Its columns are those of the table it is given. Added rows hold key and time, else null. Rows of one time all stay; times off the steps of the row before are kept and start steps of their own; rows without a time are kept as they are. State is one time, so a key may have any number of rows.
+    """
+
+    @F.udtf
+    class FillGaps:
+        def __init__(self):
+            self.last = None
+
+        @staticmethod
+        def analyze(rows: AnalyzeArgument) -> AnalyzeResult:
+            if not rows.isTable:
+                raise ValueError("a table is needed")
+            missing = {key, at} - set(rows.dataType.fieldNames())
+            if missing:
+                raise ValueError(f"the table lacks {sorted(missing)}")
+            return AnalyzeResult(StructType([StructField(f.name, f.dataType) for f in rows.dataType]))  # nulls may come into any column
+
+        def eval(self, row):
+            found = row.asDict()
+            now = found[at]
+            while self.last is not None and now is not None and self.last + step < now:
+                self.last += step
+                yield tuple(found[name] if name == key else self.last if name == at else None for name in found)
+            self.last = self.last if now is None else now
+            yield tuple(found.values())
+
+    return FillGaps
+
+
+@query("""WITH hours AS (SELECT user_id, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL),
+spans AS (SELECT user_id, unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS hour FROM hours GROUP BY user_id)
+SELECT user_id, hour, coalesce(n, 0) AS n FROM spans LEFT JOIN hours USING (user_id, hour)""")
+def p80_table_argument(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by hour for each user, hours without events included; rows are summed to hours before the function sees them."""
+    hours = load(spark, sf_dir, "events").groupBy("user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"))
+    filled = gap_filler("user_id", "hour", dt.timedelta(hours=1))(hours.asTable().partitionBy("user_id").orderBy("hour"))
+    return filled.select("user_id", "hour", F.coalesce("n", F.lit(0)).alias("n"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_streaming import at, frame
 
+from sparkloom.functions.python import gap_filler
 from sparkloom.operators.scans import weighted_sample
 from sparkloom.session import scratch
 from sparkloom.sources.upsert import upsert
@@ -77,10 +78,10 @@ def test_weighted_sample_has_exact_sizes_and_bad_weights_are_left_out(spark):
 
 
 def test_weighted_sample_follows_the_weights_and_is_cut_before_the_shuffle(spark):
-    df = spark.range(4000).select("id", (F.col("id") * 0).alias("s"), F.when(F.col("id") % 4 == 0, 9.0).otherwise(1.0).alias("w"))
+    df = spark.range(4000).select("id", (F.col("id") % 2).alias("s"), F.when(F.col("id") % 4 == 0, 9.0).otherwise(1.0).alias("w"))
     drawn = weighted_sample(df, ["s"], ["id"], "w", 100)
-    heavy = drawn.filter("w > 1").count()  # three quarters are expected at first, a standard deviation is about 4
-    assert 58 <= heavy <= 92
+    heavy = drawn.filter("w > 1").count()  # nine in ten are expected at first in stratum 0, a standard deviation is about 3; stratum 1 has none
+    assert 76 <= heavy <= 98 and drawn.count() == 200
     plan = drawn._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
 
@@ -140,3 +141,15 @@ def test_list_state_is_kept_over_runs_and_forgotten_after_its_time(spark):
     held = lambda ttl: {(r.ids, r.held) for r in play([first, second], lambda e: recent(e, 3, ttl), conf=ROCKSDB | NO_IDLE).collect()}
     assert held(3_600_000) == {("1,2,3", 3), ("2,3,9", 3)}
     assert held(1) == {("1,2,3", 3), ("9", 1)}
+
+
+def test_gaps_are_filled_for_each_key_and_bad_tables_are_refused(spark):
+    hour = dt.timedelta(hours=1)
+    rows = [("a", at(0), 1), ("a", at(180), 2), ("a", at(180), 3), ("a", None, 4), ("b", at(600), 5), (None, at(60), 6), (None, at(190), 7)]
+    df = spark.createDataFrame(rows, "who string, hour timestamp_ntz, n long")
+    fill = lambda d: gap_filler("who", "hour", hour)(d.asTable().partitionBy("who").orderBy("hour"))
+    expected = rows + [("a", at(60), None), ("a", at(120), None), (None, at(120), None), (None, at(180), None)]
+    assert sorted(map(tuple, fill(df).collect()), key=repr) == sorted(expected, key=repr)
+    assert fill(df.limit(0)).collect() == []
+    with pytest.raises(Exception, match="lacks"):
+        gap_filler("who", "minute", hour)(df.asTable().partitionBy("who").orderBy("hour")).collect()
