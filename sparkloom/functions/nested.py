@@ -57,3 +57,19 @@ def p65_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p65_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = load(spark, sf_dir, "events").select("event_type", F.variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"))
     return parsed.groupBy("event_type").agg(F.sum("k").alias("total"))
+
+
+@query("""WITH j AS (SELECT event_type, CAST(CASE event_type WHEN 'error' THEN '{"k": "x' || event_id || '", "more": [1, 2]}' WHEN 'signup' THEN '{"k": null, "deep": {"k": true}}' WHEN 'click' THEN '[1, 2]' ELSE props END AS JSON) AS v FROM events),
+k AS (SELECT event_type, v, unnest(json_keys(v)) AS key FROM j WHERE json_type(v) = 'OBJECT'),
+t AS (SELECT event_type, key, json_type(v, '$.' || key) AS t, v FROM k)
+SELECT event_type, key, CASE t WHEN 'UBIGINT' THEN 'BIGINT' WHEN 'VARCHAR' THEN 'STRING' WHEN 'NULL' THEN 'VOID' WHEN 'ARRAY' THEN 'ARRAY<BIGINT>' WHEN 'OBJECT' THEN 'OBJECT<k: BOOLEAN>' END AS kind,
+count(*) AS n, CAST(sum(CASE WHEN t = 'UBIGINT' THEN CAST(json_extract_string(v, '$.' || key) AS BIGINT) END) AS BIGINT) AS total FROM t GROUP BY ALL""")
+def p65_variant_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields and types of JSON of unknown shape: missing, null, nested and mistyped fields, and values that are no objects (they have no fields). A value that isn't a number adds nothing to the total."""
+    events = load(spark, sf_dir, "events").select("event_id", "event_type", "props")
+    text = F.expr("""CASE event_type WHEN 'error' THEN '{"k": "x' || event_id || '", "more": [1, 2]}' WHEN 'signup' THEN '{"k": null, "deep": {"k": true}}' WHEN 'click' THEN '[1, 2]' ELSE props END""")
+    return spark.sql(
+        """SELECT event_type, key, schema_of_variant(value) AS kind, count(*) AS n, sum(try_variant_get(value, '$', 'bigint')) AS total
+        FROM {rows}, LATERAL variant_explode(v) WHERE key IS NOT NULL GROUP BY event_type, key, kind""",
+        rows=events.select("event_type", F.try_parse_json(text).alias("v")),
+    )
