@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("operators.scans", "operators.joins", "operators.aggregates", "operators.sketches", "operators.windows", "operators.ordered", "operators.intervals", "operators.sets", "functions.scalar", "functions.nested", "functions.python", "sources.files", "sources.upsert", "streaming.replay", "streaming.sinks")
+MODULES = ("operators.scans", "operators.joins", "operators.aggregates", "operators.sketches", "operators.windows", "operators.ordered", "operators.intervals", "operators.sets", "functions.scalar", "functions.nested", "functions.python", "sources.files", "sources.upsert", "sources.archives", "streaming.replay", "streaming.sinks")
 
 
 def query(oracle: str | None = None) -> Callable[[Query], Query]:
