@@ -4,8 +4,8 @@ Texts become lower-case words joined by one space. A notice of which up to k cha
 differ is cut into k + 1 pieces; wherever it occurs with at most k errors, at least one piece
 occurs unchanged (pigeonhole). An Aho-Corasick automaton finds the pieces; pieces that point to nearly the same place share a window, no longer
 than the notice and four times k. A window stays a candidate only if it has enough of the notice's character trigrams
-(each error spoils three at most); the regex library's bounded-error matching then verifies it and
-gives the span. Work is linear in the number of pieces found.
+(each error spoils three at most) and if a bit-parallel edit distance finds a part of it near enough; the regex library's bounded-error
+matching then verifies it and gives the span, so it never searches a window in vain. Work is linear in the number of pieces found.
 """
 
 from __future__ import annotations
@@ -69,7 +69,8 @@ def _machine(notices=NOTICES, share: int = ERROR_SHARE):
         for at, piece in pieces(notice, k):
             seeds.setdefault(piece, []).append((n, at))
         grams = [notice[i : i + 3] for i in range(len(notice) - 2)]
-        checks.append((regex.compile(rf"(?:{regex.escape(notice)}){{e<={k}}}", regex.BESTMATCH), len(notice), k, label, grams))
+        masks = {c: sum(1 << i for i, x in enumerate(notice) if x == c) for c in set(notice)}
+        checks.append((regex.compile(rf"(?:{regex.escape(notice)}){{e<={k}}}", regex.BESTMATCH), len(notice), k, label, grams, masks))
     auto = ahocorasick.Automaton()
     for piece, uses in seeds.items():
         auto.add_word(piece, (len(piece), uses))
@@ -87,7 +88,26 @@ def fuzzy(norm: str, notices=NOTICES, share: int = ERROR_SHARE) -> list[tuple[in
     return sorted(span for n, places in starts.items() for span in _verified(norm, sorted(places), *checks[n]))
 
 
-def _verified(norm: str, places: list[int], pattern, size: int, k: int, label: str, grams: list[str]) -> list[tuple[int, int, str, float]]:
+def within(window: str, masks: dict[str, int], size: int, k: int) -> bool:
+    """Whether a part of the window is at most k edits from the notice whose characters stand at the bits of `masks`.
+
+    One column of the edit distances' table a character: which steps down it go up (`rise`) and which go down (`fall`), as bits; `errors` is its last entry.
+    """
+    last, rise, fall, errors = 1 << (size - 1), (1 << size) - 1, 0, size
+    full = rise
+    for c in window:
+        equal = masks.get(c, 0)
+        level = (((equal & rise) + rise) ^ rise) | equal
+        up, down = fall | ~(level | rise), rise & level
+        errors += 1 if up & last else -1 if down & last else 0
+        if errors <= k:
+            return True
+        up, down, equal = up << 1, down << 1, equal | fall
+        rise, fall = (down | ~(equal | up)) & full, up & equal & full
+    return False
+
+
+def _verified(norm: str, places: list[int], pattern, size: int, k: int, label: str, grams: list[str], masks: dict[str, int]) -> list[tuple[int, int, str, float]]:
     """Spans of one notice that may start at `places`; they don't overlap, and each occurrence with at most k errors overlaps one.
 
     Of matches that overlap, the one with fewest errors stays, of equal ones the first; what is left of the others' windows is searched again.
@@ -98,7 +118,7 @@ def _verified(norm: str, places: list[int], pattern, size: int, k: int, label: s
         if high - low < size - k:
             return
         window = norm[low:high]
-        if sum(g in window for g in grams) >= len(grams) - 3 * k and (m := pattern.search(window)):
+        if sum(g in window for g in grams) >= len(grams) - 3 * k and within(window, masks, size, k) and (m := pattern.search(window)):
             heapq.heappush(found, (sum(m.fuzzy_counts), low + m.start(), low + m.end(), low, high))
 
     at = 0

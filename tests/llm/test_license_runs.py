@@ -75,3 +75,29 @@ def test_work_is_in_proportion_to_the_places():
             licenses._scan([phrase * n])
             took.append(time.perf_counter() - began)
         assert took[1] < 8 * took[0] + 0.2, (phrase, took)
+
+
+def test_bit_parallel_distance_is_the_plain_one():
+    rng = random.Random(8)
+    for _ in range(400):
+        notice = "".join(rng.choices("abc ", k=rng.choice((1, 2, 5, 20, 70))))
+        text = "".join(rng.choices("abcd ", k=rng.randrange(60)))
+        if rng.random() < 0.5:
+            copy = list(notice)
+            for _ in range(rng.randrange(6)):
+                copy[rng.randrange(len(copy))] = rng.choice(("", "x", "ab"))
+            text += "".join(copy) + text[:9]
+        masks = {c: sum(1 << i for i, x in enumerate(notice) if x == c) for c in set(notice)}
+        for k in range(1, 8):
+            # with no text at all, all of a notice of at most k characters would be missing: windows are never that short
+            assert licenses.within(text, masks, len(notice), k) == bool(ends(notice, text, k)), (notice, text, k)
+
+
+def test_windows_that_fail_are_cheap():
+    """Notices with their halves swapped pass the trigrams but match nowhere: a megabyte of them, of which no window may go to the regex in vain."""
+    halves = [(n[: len(n) // 2], n[len(n) // 2 :]) for n, _ in licenses.NOTICES if len(n) > 70]
+    text = body_of(" ".join(f"{b} {a} z{i}" for i in range(1_000_000 // (75 * len(halves))) for a, b in halves))
+    assert len(text) > 900_000
+    began = time.time()
+    licenses.fuzzy(text)
+    assert time.time() - began < 30
