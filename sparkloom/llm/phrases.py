@@ -43,9 +43,9 @@ def tokens(text: str) -> list[bytes]:
 
 def hashed(words: list[bytes], known: WordHashes) -> np.ndarray:
     """A hash of each word, never 0; 0 for the empty ones."""
-    known.setdefault(b"", 0)
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    h[(h == 0) & np.fromiter(map(len, words), np.int64, len(words)).astype(bool)] = 1
+    h[h == 0] = 1
+    h[np.fromiter(map(len, words), np.int64, len(words)) == 0] = 0  # not from `known`, which forgets all it holds once it is full
     return h
 
 

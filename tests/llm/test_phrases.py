@@ -70,6 +70,15 @@ def test_runs_and_pieces():
         assert len(set(prints[: 8 - n + 1].tolist())) == len(set(map(tuple, (h[i : i + n].tolist() for i in range(8 - n + 1)))))
 
 
+def test_more_words_than_are_remembered(spark):
+    """Pieces still end, and are not counted as words, when the memory of words has been emptied in the midst of a text."""
+    words = [b"w%d" % i for i in range((1 << 18) + 9)]
+    assert np.flatnonzero(phrases.hashed([*words, b"", b"a", b""], WordHashes()) == 0).tolist() == [len(words), len(words) + 2]
+    rows = [("en", " ".join(f"v{i}" for i in range((1 << 18) + 9)) + ". x y; z" * 30)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    assert sorted(tuple(r) for r in phrases.collocations(docs, 12).collect()) == plain(rows, 12)
+
+
 def test_scores_beyond_64_bits(spark, monkeypatch):
     """A phrase that occurs 5 * 10**8 times among 10**12 words: the products pass 2**63."""
     counts = spark.createDataFrame([("en", "a b", 2, 500_000_000), ("en", "a", 1, 500_000_001), ("en", "b", 1, 700_000_003)], "lang string, phrase string, size int, a long")
