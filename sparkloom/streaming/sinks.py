@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -16,6 +16,7 @@ from .replay import LATE, ntz, play, play_events, slices
 ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 NO_IDLE = {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}  # in processing time Spark would run batches without rows for ever
 GAP = 2 * 3600 * 1_000_000  # microseconds
+MERGE_ROWS = 10_000  # of a user's rows in one batch, so many are held before they are merged
 
 
 def batch_folder(path: str) -> Callable[[DataFrame, int], None]:
@@ -63,36 +64,43 @@ def p72_stream_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 class Sessions(StatefulProcessor):
     """A user's sessions, each ended by a timer of event time once GAP has passed without a row.
 
-    State: a map from the start of each open session to its last time and count (microseconds); rows in any order merge the sessions they bridge. Rows of one batch are merged as
-    batches come, so state holds open sessions, not rows.
+    State: one list of the open sessions, as start, last time and count (microseconds) one after the other, so a batch reads and writes a user's state once, however many
+    sessions it opens; rows in any order merge the sessions they bridge. One timer stands for the session that is due first; when it fires, all that are due
+    by the watermark are closed and the next one's is set.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "started long", "last long, n long")
+        self.open = handle.getValueState("open", "spans array<long>")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = {started[0]: (int(last), int(n)) for started, (last, n) in self.open.iterator()}
-        spans = [(int(started), last, n) for started, (last, n) in before.items()]
-        for pdf in rows:
-            spans = merge_spans(spans + [(int(at), int(at), 1) for at in pdf["at"]])
-        now = {started: (last, n) for started, last, n in spans}
-        for started in before.keys() - now.keys():
-            self.open.removeKey((started,))
-        for started, held in now.items():
-            if before.get(started) != held:
-                self.open.updateValue((started,), held)
-                self.handle.registerTimer(due(held[0]))
+    def held(self) -> list[tuple[int, int, int]]:
+        (flat,) = self.open.get() or ((),)
+        return list(zip(flat[::3], flat[1::3], flat[2::3]))
+
+    def keep(self, spans: list[tuple[int, int, int]]) -> None:
+        if spans:
+            self.open.update(([x for span in spans for x in span],))
+            self.handle.registerTimer(due(min(last for _, last, _ in spans)))
+        else:
+            self.open.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        spans = self.held()
+        for row in rows:
+            spans.append((row.at, row.at, 1))
+            if len(spans) % MERGE_ROWS == 0:
+                spans = merge_spans(spans)
+        self.keep(merge_spans(spans))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """A timer of a session that went on finds nothing to close."""
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        over = [(int(started[0]), int(last), int(n)) for started, (last, n) in self.open.iterator() if due(int(last)) <= now]
-        for started, _, _ in over:
-            self.open.removeKey((started,))
+        now, spans = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()), self.held()
+        over = [span for span in spans if due(span[1]) <= now]
         if over:
-            yield pd.DataFrame([(key[0], started, last, n) for started, last, n in over], columns=["user_id", "started", "last", "n"])
+            self.keep([span for span in spans if due(span[1]) > now])
+        for started, last, n in over:
+            yield Row(user_id=key[0], started=started, last=last, n=n)
 
     def close(self) -> None:
         pass
@@ -116,7 +124,7 @@ def due(last: int) -> int:
 
 def timed_sessions(events: DataFrame) -> DataFrame:
     rows = events.filter("ts is not null").withWatermark("ts", LATE).select("user_id", "ts", F.unix_micros("ts").alias("at"))
-    found = rows.groupBy("user_id").transformWithStateInPandas(Sessions(), "user_id long, started long, last long, n long", "append", "EventTime")
+    found = rows.groupBy("user_id").transformWithState(Sessions(), "user_id long, started long, last long, n long", "append", "EventTime")
     return found.select("user_id", F.timestamp_micros("started").alias("started"), F.timestamp_micros("last").alias("ended"), "n")
 
 

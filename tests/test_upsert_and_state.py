@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from test_streaming import at, frame
 
@@ -130,6 +131,49 @@ def test_timers_close_sessions_that_batches_bridge_in_any_order(spark):
     assert found == {(0, 215, 3), (695, 700, 2), (950, 950, 1), (1070, 1070, 1)}  # a gap of exactly two hours ends a session
 
 
+def test_a_user_costs_one_read_and_one_write_of_state(spark, monkeypatch):
+    """Whatever the number of sessions that a batch opens or a timer closes."""
+    from sparkloom.streaming import sinks
+
+    hour, calls, held = 3600 * 1_000_000, [], []
+
+    class Value:
+        def get(self):
+            calls.append("get")
+            return held[-1] if held else None
+
+        def update(self, value):
+            calls.append("update")
+            held.append(value)
+
+        def clear(self):
+            calls.append("clear")
+            held.clear()
+
+    class Handle:
+        def getValueState(self, *_):
+            return Value()
+
+        def registerTimer(self, at):
+            calls.append(("timer", at))
+
+    class Now:
+        def __init__(self, at):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: at
+
+    monkeypatch.setattr(sinks, "MERGE_ROWS", 7)
+    user = sinks.Sessions()
+    user.init(Handle())
+    assert list(user.handleInputRows((1,), iter([Row(at=3 * k * hour) for k in reversed(range(20))] + [Row(at=hour)]), None)) == []
+    assert calls == ["get", "update", ("timer", 3 * 3600_000)]
+    calls.clear()
+    closed = list(user.handleExpiredTimer((1,), Now(30 * 3600_000), Now(2 * 3600_000)))
+    assert [tuple(r) for r in closed] == [(1, 0, hour, 2), *((1, 3 * k * hour, 3 * k * hour, 1) for k in range(1, 10))]
+    assert calls == ["get", "update", ("timer", 32 * 3600_000)]
+    calls.clear()
+    assert len(list(user.handleExpiredTimer((1,), Now(100 * 3600_000), Now(32 * 3600_000)))) == 10 and calls == ["get", "clear"]
+
+
 def test_merge_spans():
     hour = 3_600_000_000
     assert merge_spans([(3 * hour, 3 * hour, 1), (0, hour, 2), (2 * hour, 2 * hour, 1), (5 * hour, 5 * hour, 1)]) == [(0, 3 * hour, 4), (5 * hour, 5 * hour, 1)]
