@@ -1,6 +1,7 @@
 """Joins: equi, outer, semi, anti, range, as-of, lateral and cross.
 
-No side is broadcast by hint: Spark broadcasts what its own size check admits and splits skewed partitions of the others.
+No side is broadcast by hint: Spark broadcasts what its own size check admits and splits skewed partitions of the others. Joins whose pairs outgrow their
+rows are dealt to tiles.
 """
 
 from __future__ import annotations
@@ -13,21 +14,78 @@ from pyspark.sql import functions as F
 
 from ..names import fresh
 from ..plans.registry import query
-from ..session import load
+from ..session import load, scratch
+
+TILE = 1 << 24  # pairs of one key's rows that meet in one tile, about
+TASK = 1 << 25  # pairs that one task makes, about
+
+
+def crowded(left: DataFrame, right: DataFrame, on: list[str]) -> tuple[DataFrame | None, int]:
+    """The keys whose rows make more than TILE pairs, with the parts that each side's rows are cut into (on, parts_left, parts_right; None without such keys), and the tasks for all pairs.
+
+    A crowded key has thousands of rows, so there are few of them: they go to every task.
+    """
+    names = [fresh(x, left, right) for x in ("n_left", "n_right", "parts_left", "parts_right")]
+    a, b = F.col(names[0]), F.col(names[1])
+    path = scratch(left.sparkSession, "pairs")
+    sizes = [df.groupBy(*on).agg(F.count("*").cast("double").alias(n)) for df, n in zip((left, right), names)]
+    sizes[0].join(sizes[1], on).write.parquet(path)
+    counts = left.sparkSession.read.parquet(path)
+    total, most = counts.agg(F.sum(a * b), F.max(a * b)).first()
+    tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total or 0) // TASK))
+    if (most or 0) <= TILE:
+        return None, tasks
+    side, tiles = F.lit(float(TILE) ** 0.5), a * b / TILE
+    mine = F.when(a <= side, 1.0).when(b <= side, tiles).otherwise(a / side)
+    theirs = F.when(a <= side, tiles).when(b <= side, 1.0).otherwise(b / side)
+    return counts.filter(a * b > TILE).select(*on, F.ceil(mine).alias(names[2]), F.ceil(theirs).alias(names[3])), tasks
+
+
+def tiled(left: DataFrame, right: DataFrame, on: list[str], keys: DataFrame, tasks: int) -> DataFrame:
+    """The inner join on `on`, each pair once. Of `crowded` keys each side's rows are cut into parts by a hash of the row, and each left part meets each right one in a tile of its own.
+
+    The number of tasks follows the pairs, not the bytes read, so neither a common key nor a large result makes a long task.
+    """
+    tile, own = fresh("tile", left, right, keys), fresh("own", left, right, keys)
+    mine, theirs = (F.coalesce(F.col(c), F.lit(1)) for c in keys.columns[len(on):])
+
+    def dealt(df: DataFrame, parts: Column, others: Column, number: Callable[[Column, Column], Column]) -> DataFrame:
+        plain = [f.name for f in df.schema if f.dataType.typeName() not in ("map", "array", "struct", "variant")]
+        placed = df.join(F.broadcast(keys), on, "left").withColumn(own, F.pmod(F.xxhash64(*plain), parts))
+        met = placed.withColumn(tile, F.explode(F.sequence(F.lit(0).cast("long"), others - 1)))
+        return met.withColumn(tile, number(F.col(own), F.col(tile))).select(*df.columns, tile).repartition(tasks, *on, tile)
+
+    lefts = dealt(left, mine, theirs, lambda own, other: own * theirs + other)
+    rights = dealt(right, theirs, mine, lambda own, other: other * theirs + own)
+    return lefts.join(rights, [*on, tile]).drop(tile)
+
+
+def even(df: DataFrame) -> DataFrame:
+    """df dealt evenly, for rows that are copied next: a small file is read by few tasks, which would hold all copies."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def pair_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """The inner join on `on` of any number of pairs: see `tiled`. Null keys match nothing."""
+    keys, tasks = crowded(left, right, on)
+    if keys is None:
+        return left.repartition(tasks, *on).join(right.repartition(tasks, *on), on)
+    return tiled(left, right, on, keys, tasks)
 
 
 def range_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str, below: float, above: float) -> DataFrame:
     """Pairs with left_value - below <= right_value <= left_value + above.
 
-    Values are cut into cells as wide as the range, left rows go to the two or three cells their range touches, and an
-    equi-join on the cell does the rest, so no nested loop is planned. Null values match nothing.
+    Values are cut into cells a quarter as wide as the range, left rows go to the five or six cells their range touches, and an
+    equi-join on the cell does the rest, so no nested loop is planned and four of five pairs of a cell are right. A cell of
+    many pairs is spread over tasks. Null values match nothing.
     """
-    width = float(below + above) or 1.0
+    width = float(below + above) / 4 or 1.0
     name = fresh("cell", left, right)
     cell = lambda c: F.floor(c / width)
-    spread = left.withColumn(name, F.explode(F.sequence(cell(F.col(left_value) - below), cell(F.col(left_value) + above))))
+    spread = even(left).withColumn(name, F.explode(F.sequence(cell(F.col(left_value) - below), cell(F.col(left_value) + above))))
     placed = right.withColumn(name, cell(F.col(right_value)))
-    return spread.join(placed, name).filter(F.col(right_value).between(F.col(left_value) - below, F.col(left_value) + above)).drop(name)
+    return pair_join(spread, placed, [name]).filter(F.col(right_value).between(F.col(left_value) - below, F.col(left_value) + above)).drop(name)
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], chunk: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -109,7 +167,8 @@ def p13_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON s_acctbal BETWEEN c_acctbal - 25 AND c_acctbal + 25")
 def p14_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return range_join(load(spark, sf_dir, "customer"), load(spark, sf_dir, "supplier"), "c_acctbal", "s_acctbal", 25, 25).select("c_custkey", "s_suppkey")
+    customers, suppliers = load(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), load(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    return range_join(customers, suppliers, "c_acctbal", "s_acctbal", 25, 25).select("c_custkey", "s_suppkey")
 
 
 @query("""WITH e AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'),
