@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..names import fresh
 from ..plans.registry import query
 from ..session import load
+from .joins import even, pair_join
 from .windows import sessions
 
 
@@ -18,14 +19,16 @@ def interval_join(left: DataFrame, right: DataFrame, left_bounds: tuple[str, str
 
     Bounds are numbers or times, of one kind. Null bounds or keys and intervals that end before they begin match nothing; infinite bounds are open ends.
 
-    An interval's level is the power of two of `unit` (default 1, for times a second) that is not shorter than it, so on its own and each higher level it touches two
-    cells at most. Two intervals that overlap share a cell on the higher of their levels: each row goes to the cells of its own level, and of those
+    An interval's level is the power of two (with `by`: of 16) of `unit` (default 1, for times a second) that is not shorter than it, so on its own and each higher level it
+    touches two cells at most. Two intervals that overlap share a cell on the higher of their levels: each row goes to the cells of its own level, and of those
     higher levels that the other side has. An equi-join on level and cell finds the pairs; of two shared cells the one
-    with the later start counts. So one long interval costs the short ones a row each, not a nested loop. The levels in use (no more than some 70) and the
-    range of all bounds are what the driver sees.
+    with the later start counts. So one long interval costs the short ones a row each, not a nested loop. With keys a cell has few rows and what is sent
+    counts, so levels are few; without any the pairs count, so levels are close and cells of many pairs are spread over tasks. The levels in use (no more than some
+    70) and the range of all bounds are what the driver sees.
     """
     by = by or []
-    level, cell, ours, other = (fresh(x, left, right) for x in ("level", "cell", "ours", "other"))
+    level, cell, higher, first, other = (fresh(x, left, right) for x in ("level", "cell", "higher", "first", "other"))
+    fan = 4 if by else 1  # bits from a level to the next
     timed = left.schema[left_bounds[0]].dataType.typeName() in ("timestamp", "timestamp_ntz", "date")
     scale = 1e6 if timed else 1.0
     step = float(unit or 1) * scale
@@ -45,24 +48,30 @@ def interval_join(left: DataFrame, right: DataFrame, left_bounds: tuple[str, str
 
     def levelled(bounds: tuple[str, str]) -> Column:
         size = (clip(bounds[1]) - clip(bounds[0])) / step
-        return F.when(size <= 1, 0).otherwise(F.ceil(F.log2(F.greatest(size, F.lit(1.0))))).cast("int")
+        return F.when(size <= 1, 0).otherwise(F.ceil(F.log2(F.greatest(size, F.lit(1.0))) / fan)).cast("int")
 
     levels = [sorted(r[0] for r in df.select(levelled(bounds)).distinct().collect()) for df, bounds in ((left, left_bounds), (right, right_bounds))]
 
-    def dealt(df: DataFrame, bounds: tuple[str, str], others: list[int], strictly: bool) -> DataFrame:
-        """A row for each cell that the interval touches on its own level (`ours`) and on the other side's higher ones; equal levels meet once, on the own level of both."""
-        own = levelled(bounds)
-        here = df.withColumn(level, own).withColumn(ours, F.lit(True))
-        above = df.withColumn(level, F.explode(F.filter(F.array(*map(F.lit, others)).cast("array<int>"), lambda x: x > own if strictly else x >= own))).withColumn(ours, F.lit(False))
-        width = F.lit(step) * F.pow(F.lit(2.0), F.col(level))
-        return here.unionByName(above).withColumn(cell, F.explode(F.sequence(F.floor(clip(bounds[0]) / width), F.floor(clip(bounds[1]) / width))))
+    def dealt(df: DataFrame, bounds: tuple[str, str], others: list[int], strictly: bool, side: bool, start: str) -> DataFrame:
+        """A row for each cell that the interval touches on its own level and on the other side's higher ones; equal levels meet once, on the own level of both.
 
-    mine, theirs = dealt(left, left_bounds, levels[1], False), dealt(right, right_bounds, levels[0], True).withColumnRenamed(ours, other)
+        higher: whether the left one of a pair comes up to the right one's own level here, or the right one to the left one's; start: the cell of the start.
+        """
+        own = levelled(bounds)
+        here = df.withColumns({level: own, higher: F.lit(not side)})
+        above = df.withColumn(level, F.explode(F.filter(F.array(*map(F.lit, others)).cast("array<int>"), lambda x: x > own if strictly else x >= own))).withColumn(higher, F.lit(side))
+        width = F.lit(step) * F.pow(F.lit(2.0), F.col(level) * fan)
+        placed = here.unionByName(above).withColumn(start, F.floor(clip(bounds[0]) / width))
+        return placed.withColumn(cell, F.explode(F.sequence(F.col(start), F.floor(clip(bounds[1]) / width))))
+
+    if not by:
+        left, right = even(left), even(right)
+    mine, theirs = dealt(left, left_bounds, levels[1], False, True, first), dealt(right, right_bounds, levels[0], True, False, other)
     # a left row of level a and a right row of level b: if a <= b, the left one comes up to the right one's own level, else the right one to the left one's
-    met = mine.join(theirs, [level, cell, *by]).filter(F.col(ours) != F.col(other))
-    starts, width = F.greatest(clip(left_bounds[0]), clip(right_bounds[0])), F.lit(step) * F.pow(F.lit(2.0), F.col(level))
+    on = [level, cell, higher, *by]
+    met = mine.join(theirs, on) if by else pair_join(mine, theirs, on)
     overlap = (F.col(left_bounds[0]) <= F.col(right_bounds[1])) & (F.col(right_bounds[0]) <= F.col(left_bounds[1]))
-    once = met.filter(overlap & (F.col(cell) == F.floor(starts / width)))
+    once = met.filter(overlap & (F.col(cell) == F.greatest(first, other)))
     return once.select(*left.columns, *[c for c in right.columns if c not in by])
 
 
