@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from ..session import load
+from ..session import load, scratch
+
+FEW_GROUPS = 1 << 16  # so many rows of brackets, a hundred bytes or so a quantile, may go to every task
 
 
 def exact_quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
@@ -23,6 +25,11 @@ def exact_quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[str, f
     bracket = lambda v, q: F.struct(F.percentile_approx(v, [max(0.0, q - reach), min(1.0, q + reach)], 10_000).alias("ends"), F.count(v).alias("n"), F.lit(q).alias("q"))
     near = rows.groupBy(*[F.col(k).alias(f"by_{k}") for k in keys]).agg(F.array(*[bracket(v, q) for v, (_, q) in zip(values, wanted.values())]).alias("brackets"))
     same = functools.reduce(lambda a, c: a & c, (F.col(k).eqNullSafe(F.col(f"by_{k}")) for k in keys), F.lit(True))
+    path = scratch(df.sparkSession, "brackets")
+    near.write.parquet(path)
+    near = df.sparkSession.read.parquet(path)
+    if near.count() <= FEW_GROUPS:  # else the rows of a few groups would meet their brackets in a few tasks, all sorted
+        near = F.broadcast(near)
     each = rows.join(near, same).select(*keys, F.posexplode(F.arrays_zip(F.array(*values).alias("v"), F.col("brackets").alias("b"))).alias("of", "x")).select(*keys, "of", "x.v", "x.b.*")
     zone = F.when(F.col("v") < F.col("ends")[0], 0).when(F.col("v") <= F.col("ends")[1], 1).otherwise(2)
     counted = each.withColumn("zone", zone).groupBy(*keys, "of", "n", "q", "zone", F.when(F.col("zone") == 1, F.col("v")).alias("inside"))
@@ -100,23 +107,48 @@ def p23_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT event_type, true AS users_near, true AS events_near, true AS median_near, true AS kll_near FROM events GROUP BY event_type")
+COUNTS_SHARE = 0.005
+
+
+def counts_near(sketch: Column, n: Column, top: Column) -> Column:
+    """Whether a count-min sketch of whole numbers under 2**32 holds n rows, in each line, and estimates the user `top` (user_id, rows; null: none) within its bound."""
+    number = lambda at, size: F.conv(F.hex(F.substring(sketch, at, size)), 16, -10).cast("long")
+    depth, width = number(F.lit(13), F.lit(4)), number(F.lit(17), F.lit(4))
+    cell = lambda line, at: number(F.lit(21) + depth * 8 + (line * width + at) * 8, F.lit(8))
+    total = lambda line: F.aggregate(F.sequence(F.lit(0).cast("long"), width - 1), F.lit(0).cast("long"), lambda a, at: a + cell(line, at))
+
+    def counter(line: Column) -> Column:
+        """Spark's place of a number in a line: a product, its upper half added, without the sign, modulo the width."""
+        product = number(F.lit(21) + line * 8, F.lit(8)) * top["user_id"]
+        return cell(line, (product + F.shiftright(product, 32)).bitwiseAND(F.lit((1 << 31) - 1)) % width)
+
+    lines = F.sequence(F.lit(0).cast("long"), depth - 1)
+    found = F.array_min(F.transform(lines, counter))
+    return (number(F.lit(5), F.lit(8)) == n) & F.forall(lines, lambda line: total(line) == n) & F.coalesce(found.between(top["rows"], top["rows"] + COUNTS_SHARE * n), top.isNull())
+
+
+@query("SELECT event_type, true AS users_near, true AS events_near, true AS median_near, true AS kll_near, true AS counts_near FROM events GROUP BY event_type")
 def p23_sketch_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether HLL, quantile and KLL sketches keep their error bounds against exact results; all should."""
+    """Whether HLL, quantile, KLL and count-min sketches keep their error bounds against exact results; all should.
+
+    A count-min sketch is its version (4 bytes), the count of its rows (8), depth (4), width (4), one multiplier for each line and the lines of counters, all of 8 bytes: each line adds up to
+    all rows, and the counter of the commonest user is not under their rows and not over them by more than COUNTS_SHARE of all rows in every line.
+    """
     events = load(spark, sf_dir, "events").select("event_type", "user_id", "event_id", "value")
-    exact = events.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+    exact = events.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.count("user_id").alias("known"))
     sketches = events.groupBy("event_type").agg(
         F.approx_count_distinct("user_id", 0.02).alias("hll"), F.hll_sketch_estimate(F.hll_sketch_agg("event_id", F.lit(14))).alias("ids"), F.percentile_approx("value", 0.5, 10000).alias("median"),
-        F.kll_sketch_get_quantile_bigint(F.kll_sketch_agg_bigint("event_id"), F.lit(0.5)).alias("middle"),
+        F.kll_sketch_get_quantile_bigint(F.kll_sketch_agg_bigint("event_id"), F.lit(0.5)).alias("middle"), F.count_min_sketch("user_id", F.lit(COUNTS_SHARE), F.lit(0.99), F.lit(7)).alias("counts"),
     )
-    both = exact.join(sketches, "event_type")
+    commonest = events.filter("user_id is not null").groupBy("event_type", "user_id").agg(F.count("*").alias("rows")).groupBy("event_type").agg(F.max_by(F.struct("user_id", "rows"), F.struct("rows", "user_id")).alias("top"))
+    both = exact.join(sketches, "event_type").join(commonest, "event_type", "left")
     below = F.count(F.when(F.col("value") <= F.col("median"), 1)) / F.max("n")
     under = F.count(F.when(F.col("event_id") <= F.col("middle"), 1)) / F.max("n")
     ranks = events.join(both, "event_type").groupBy("event_type").agg(below.alias("below"), under.alias("under"))
     near = lambda a, b, share: F.abs(F.col(a) - F.col(b)) <= share * F.col(b) + 1
     return both.join(ranks, "event_type").select(
         "event_type", near("hll", "users", 0.08).alias("users_near"), near("ids", "n", 0.04).alias("events_near"), F.col("below").between(0.48, 0.52).alias("median_near"),
-        F.col("under").between(0.46, 0.54).alias("kll_near"),
+        F.col("under").between(0.46, 0.54).alias("kll_near"), counts_near(F.col("counts"), F.col("known"), F.col("top")).alias("counts_near"),
     )
 
 
