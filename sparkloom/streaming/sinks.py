@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -145,12 +144,15 @@ class Recent(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.ids = handle.getListState("ids", "event_id long", self.ttl_ms)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        ids = [int(r[0]) for r in self.ids.get()]
-        for pdf in rows:
-            ids = sorted(set(ids) | {int(i) for i in pdf["event_id"]})[-self.size :]
-        self.ids.put([(i,) for i in ids])
-        yield pd.DataFrame({"user_id": [key[0]], "ids": [",".join(map(str, ids))], "newest": [ids[-1]], "held": [len(ids)]})
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        ids = {r[0] for r in self.ids.get()}
+        for row in rows:
+            ids.add(row.event_id)
+            if len(ids) > self.size:
+                ids.remove(min(ids))
+        newest = sorted(ids)
+        self.ids.put([(i,) for i in newest])
+        yield Row(user_id=key[0], ids=",".join(map(str, newest)), newest=newest[-1], held=len(newest))
 
     def close(self) -> None:
         pass
@@ -158,7 +160,7 @@ class Recent(StatefulProcessor):
 
 def recent(events: DataFrame, size: int = 3, ttl_ms: int = 24 * 3600 * 1000) -> DataFrame:
     rows = events.filter("event_id is not null").select("user_id", "event_id")
-    return rows.groupBy("user_id").transformWithStateInPandas(Recent(size, ttl_ms), "user_id long, ids string, newest long, held long", "append", "ProcessingTime")
+    return rows.groupBy("user_id").transformWithState(Recent(size, ttl_ms), "user_id long, ids string, newest long, held long", "append", "ProcessingTime")
 
 
 @query("""SELECT user_id, string_agg(event_id, ',' ORDER BY event_id) AS ids FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS place FROM events)
