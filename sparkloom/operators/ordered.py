@@ -13,6 +13,7 @@ from ..names import fresh
 from ..plans.registry import query
 from ..session import load, scratch
 
+RANGE_ROWS = 1 << 20  # rows that one task sorts, about
 RADIX_BITS = 4  # bits of a position that one level of `counts_where` takes
 OPS = ("<", "<=", ">", ">=")
 
@@ -20,11 +21,12 @@ OPS = ("<", "<=", ">", ">=")
 def ranged(df: DataFrame, order: list[Column], part: str, place: str) -> DataFrame:
     """df in ranges of the order, written to the shared folder with the range's number in `part` and the row's place in its range, from 0, in `place`.
 
-    It is written because ranges come from a sample: two readers of it must see the same ones.
+    It is written because ranges come from a sample: two readers of it must see the same ones. A range has about RANGE_ROWS rows at most, however many the frame has.
     """
     path = scratch(df.sparkSession, "ranged")
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
     at = F.monotonically_increasing_id()  # the partition's number above 33 bits, the row's place below
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     rows.withColumns({part: F.shiftright(at, 33).cast("int"), place: at.bitwiseAND(F.lit((1 << 33) - 1))}).write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
