@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle, slices, text_key
@@ -19,6 +19,7 @@ SKETCH = 192  # bytes of a sketch: one of each of so many minima or maxima
 CUT = 0.66  # of a sketch's bytes agree, or the pair isn't looked at: nearly five deviations under a likeness of 0.8
 LEAD_PAIRS = 256  # pairs that one copy of a lead's set serves
 CROWD = 4096  # members that a task compares with as many
+PART_SHINGLES = 1 << 21  # of a part's sets together, about: 16 MB
 
 
 class WordHashes(dict):
@@ -126,70 +127,120 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, n: int, like: i
     return settle(dealt.mapInArrow(run, "a long, b long"))
 
 
-def agreement(sketches: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """In how many bytes the sketches of the pairs (i, j) of rows agree."""
+def agreeing(sketches: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) of rows agree in CUT of their sketches' bytes."""
     same = np.zeros(len(i), np.int64)
     for at in range(0, len(i), 1 << 16):
         cut = slice(at, at + (1 << 16))
         same[cut] = (sketches[i[cut]] == sketches[j[cut]]).sum(1)
-    return same
-
+    return same >= CUT * sketches.shape[1]
 
-def agreeing(sketches: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which of the pairs (i, j) of rows agree in CUT of their sketches' bytes."""
-    return agreement(sketches, i, j) >= CUT * sketches.shape[1]
 
-
-def apart(size: np.ndarray, group: np.ndarray, sketches: np.ndarray, first: np.ndarray, second: np.ndarray, like: int, of: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Pairs (row of `first`, row of `second`, agreement) of different groups whose sizes and sketches allow the likeness, in blocks by the first."""
+def apart(size: np.ndarray, group: np.ndarray, sketches: np.ndarray, first: np.ndarray, second: np.ndarray, like: int, of: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row of `first`, row of `second`) of different groups whose sizes and sketches allow the likeness, in blocks by the first."""
     for at in range(0, len(first), 64):
         mine = first[at : at + 64]
         small, large = np.minimum(size[mine][:, None], size[second][None, :]), np.maximum(size[mine][:, None], size[second][None, :])
         x, y = np.nonzero((group[mine][:, None] != group[second][None, :]) & (of * small >= like * large))
         i, j = mine[x], second[y]
-        same = agreement(sketches, i, j)
-        good = same >= CUT * sketches.shape[1]
-        yield i[good], j[good], same[good]
+        good = agreeing(sketches, i, j)
+        yield i[good], j[good]
 
 
-def left_over(placed: DataFrame, sketches: DataFrame, like: int, of: int, crowd: int = CROWD, best: bool = False) -> DataFrame:
-    """Pairs (a, b) of classes that share a bucket but are not yet of one group, and that sizes and sketches don't rule out: all of them, or for each class the one that agrees most.
+def join_groups(group: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As many of the pairs (i, j) of rows as it takes to join the groups that all of them join; `group` is changed to what they are then. Pairs of one i stand together."""
+    firsts, seconds = [], []
+    for part in np.split(np.arange(len(i)), np.flatnonzero(i[1:] != i[:-1]) + 1) if len(i) else []:
+        mine = group[i[part[0]]]
+        others, at = np.unique(group[j[part]], return_index=True)
+        if (new := others != mine).any():
+            firsts.append(i[part[at[new]]])
+            seconds.append(j[part[at[new]]])
+            group[np.isin(group, others[new])] = mine
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *firsts]), np.concatenate([none, *seconds])
 
-    placed: bucket, class, size and root (the group so far); sketches: class and sketch. Where a bucket has several groups, each member is held against those of
-    other groups by sketch. A bucket of over `crowd` members is cut to parts, every two of which meet in a task, so a task holds 2 * crowd at most. Only pairs
-    that agree become rows. A family of near copies that are not alike to one another is joined by the best pairs, a row a member, before all pairs of what is still apart are made.
+
+def meetings(placed: DataFrame, data: DataFrame, column: str, parts: Column) -> DataFrame:
+    """bucket, x, y, part, class, size, root and `column` of data (by class) for the members of buckets that have several groups, dealt so that every two parts x and y of a bucket meet in a task.
+
+    parts: of a bucket with n members whose sizes add up to `total`.
     """
-    buckets = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    parts = F.ceil(F.col("n") / crowd).cast("int")
-    held = placed.join(buckets.select("bucket", parts.alias("parts")), "bucket").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")).join(sketches, "class")
+    buckets = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    held = placed.join(buckets.select("bucket", parts.cast("int").alias("parts")), "bucket").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")).join(data, "class")
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("x"), F.greatest(k, F.col("part")).alias("y")))
-    dealt = held.select("bucket", "class", "size", "root", "sketch", "part", F.inline(meets))
-    dealt = dealt.select("bucket", "x", "y", "part", "class", "size", "root", "sketch").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    pairs = dealt.mapInArrow(_met(like, of, best), "a long, b long, same long").filter("a <> b")
-    if best:
-        return pairs.groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b"))
+    dealt = held.select("bucket", "class", "size", "root", column, "part", F.inline(meets))
+    return dealt.select("bucket", "x", "y", "part", "class", "size", "root", column).repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+
+
+def left_over(placed: DataFrame, sketches: DataFrame, like: int, of: int, crowd: int = CROWD, forest: bool = False) -> DataFrame:
+    """Pairs (a, b) of classes that share a bucket but are not yet of one group, and that sizes and sketches don't rule out: all of them, or as many as it takes to join the groups that all of them join.
+
+    placed: bucket, class, size and root (the group so far); sketches: class and sketch. Where a bucket has several groups, each member is held against those of
+    other groups by sketch. A bucket of over `crowd` members is cut to parts, every two of which meet in a task, so a task holds 2 * crowd at most. As a forest, a task gives fewer
+    pairs than it has groups; all pairs may be as many as the square of its members.
+    """
+    dealt = meetings(placed, sketches, "sketch", F.ceil(F.col("n") / crowd))
+    pairs = dealt.mapInArrow(_met(lambda rows, *sides: _agree(rows, *sides, like, of, forest)), "a long, b long").filter("a <> b")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _met(like: int, of: int, best: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def linked(placed: DataFrame, sets: DataFrame, like: int, of: int, crowd: int = CROWD, most: int = PART_SHINGLES) -> DataFrame:
+    """Pairs (a, b) of classes that share a bucket and whose whole sets have of * intersection >= like * union: as many as it takes to join the groups that all such pairs join.
+
+    placed: as for `left_over`; sets: class and set. The sets meet in the tasks, so no pair becomes a row before it is known to link, and a task gives fewer links than it has groups.
+    Parts have about `crowd` members and sets of `most` shingles together.
+    """
+    dealt = meetings(placed, sets, "set", F.ceil(F.greatest(F.col("n") / crowd, F.col("total") / most)))
+    return dealt.mapInArrow(_met(lambda rows, *sides: _link(rows, *sides, like, of)), "a long, b long")
+
+
+def _agree(rows: pa.Table, size: np.ndarray, group: np.ndarray, first: np.ndarray, second: np.ndarray, like: int, of: int, forest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(size), -1)
+    for i, j in apart(size, group, sketches, first, second, like, of):  # looks at the groups as they are when it comes to a block
+        yield join_groups(group, i, j) if forest else (i, j)
+
+
+def _link(rows: pa.Table, size: np.ndarray, group: np.ndarray, first: np.ndarray, second: np.ndarray, like: int, of: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sets are held as what they have more or less than the shingles that most of the task's have: near copies differ from these in few."""
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("set")]
+    ends = np.cumsum([0, *map(len, sets)])
+    every, ids, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    usual = np.flatnonzero(seen * 2 > len(sets))
+    odd = [np.setxor1d(ids[low:high], usual, assume_unique=True) for low, high in zip(ends, ends[1:])]
+    flat, n = np.concatenate(odd), np.array([len(x) for x in odd])
+    begins = np.cumsum(n) - n
+    mark = np.zeros(len(every), bool)
+    for k in first:
+        allowed = (group[second] != group[k]) & (of * np.minimum(size[k], size[second]) >= like * np.maximum(size[k], size[second]))
+        meant = second[allowed]
+        mark[odd[k]] = True
+        for at in range(0, len(meant), 1024):
+            j = meant[at : at + 1024]
+            stops = np.cumsum(n[j])
+            hits = np.concatenate([[0], np.cumsum(mark[flat[np.arange(stops[-1]) + np.repeat(begins[j] - stops + n[j], n[j])]])])
+            differ = n[k] + n[j] - 2 * (hits[stops] - hits[stops - n[j]])
+            both = (size[k] + size[j] - differ) // 2
+            j = j[of * both >= like * (size[k] + size[j] - both)]
+            yield join_groups(group, np.full(len(j), k), j)
+        mark[odd[k]] = False
+
+
+def _met(pairs_among: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches sorted by bucket, x and y that gives the pairs `pairs_among` finds in each meeting: of its rows, sizes, groups, and the rows of either side."""
+
     def pairs_of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         x, y, part, name, size, root = (rows.column(c).to_numpy() for c in ("x", "y", "part", "class", "size", "root"))
         if len(name) < 2:
             return
-        sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(name), -1)
-        size = size.astype(np.int64)
-        everyone = np.arange(len(name))
+        _, group, n = np.unique(root, return_inverse=True, return_counts=True)
         if x[0] == y[0]:  # one part: its largest group needn't be held against itself
-            roots, n = np.unique(root, return_counts=True)
-            first, second = np.flatnonzero(root != roots[n.argmax()]), everyone
+            first, second = np.flatnonzero(group != n.argmax()), np.arange(len(name))
         else:
             first, second = np.flatnonzero(part == x[0]), np.flatnonzero(part == y[0])
-        for i, j, same in apart(size, root, sketches, first, second, like, of):
-            if best and len(i):
-                order = np.lexsort((j, -same, i))
-                top = order[np.concatenate([[True], i[order][1:] != i[order][:-1]])]
-                i, j, same = i[top], j[top], same[top]
-            yield pa.RecordBatch.from_arrays([pa.array(name[i]), pa.array(name[j]), pa.array(same)], ["a", "b", "same"])
+        for i, j in pairs_among(rows, size.astype(np.int64), group, first, second):
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(name[i]), pa.array(name[j])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []

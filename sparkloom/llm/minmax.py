@@ -2,8 +2,8 @@
 
 Each document's set of 2-word shingles is hashed under PERMUTATIONS permutations, and of each both the minimum and the maximum are kept: two values for the price
 of one, each agreeing between two sets with the probability of their Jaccard likeness, and together with less variance than two minima of permutations of their own.
-Bands of ROWS values are buckets: texts that share a bucket may be alike. Within a bucket all are proposed to the least class, then, as long as a bucket has several groups, to members
-of other groups whose values agree (`likeness.left_over`). Whole sets decide (`likeness.verified`), and star contraction joins the links.
+Bands of ROWS values are buckets: texts that share a bucket may be alike. Within a bucket all are proposed to the least class, and whole sets decide (`likeness.verified`). Where a bucket has
+several groups left, those of which members' values agree are one crowd (`likeness.left_over`), and the whole sets of a crowd meet (`likeness.linked`). Star contraction joins the links.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle, slices, text_key
-from .likeness import WordHashes, class_of, left_over, min_max, mix, permutations, shingles, sketch, verified
+from .likeness import WordHashes, class_of, left_over, linked, min_max, mix, permutations, sets_of, shingles, sketch, verified
 from .simhash import components
 
 SHINGLE = 2
@@ -61,8 +61,9 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, count: int = PERMUTATION
 def links(docs: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int = SHINGLE, like: int = LIKE, of: int = OF) -> DataFrame:
     """Edges (a, b) between classes, all verified, whose components are those of all links that a bucket shows.
 
-    First each class meets the least class of all its buckets; then, where a bucket has several groups left, each meets the member of another one whose sketch agrees most; then members of
-    different groups meet whose sketches don't rule them out, all of them. Classes that are of one group already needn't be looked at, so a family of near copies costs a few pairs a member.
+    First each class meets the least class of all its buckets. Where a bucket has several groups left, members of different ones are held against each other by sketch; the groups that agreeing
+    members connect, over all buckets, are a crowd. In a crowd all whole sets of different groups meet, inside tasks, so what agrees but isn't alike costs no rows: neither step
+    makes more of them than its tasks have groups.
     """
     sizes = classes.select("class", "size")
     placed = settle(classes.select("class", F.explode("keys").alias("bucket")))
@@ -75,14 +76,16 @@ def links(docs: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int = S
         both = pairs.join(sizes, "class").join(sizes.select(F.col("class").alias("lead"), F.col("size").alias("lead_size")), "lead")
         return both.filter(of * F.least("size", "lead_size") >= like * F.greatest("size", "lead_size")).select(F.col("lead").alias("a"), F.col("class").alias("b"))
 
-    def left(found: DataFrame, best: bool) -> DataFrame:
-        roots = components(found)
-        named = placed.join(roots, placed["class"] == roots.node, "left").select("bucket", "class", F.coalesce("root", "class").alias("root"))
-        return verified(left_over(named.join(sizes, "class"), sketches, like, of, best=best), docs, rows, shingle, like, of)
-
     found = verified(sized(stars), docs, rows, shingle, like, of)
-    found = found.unionAll(left(found, True))
-    return found.unionAll(left(found, False))
+    roots = components(found)
+    grouped = settle(classes.select("class", "size").join(roots, classes["class"] == roots.node, "left").select("class", "size", F.coalesce("root", "class").alias("root")))
+    agreed = settle(left_over(placed.join(grouped, "class"), sketches, like, of, forest=True))
+    crowds = components(agreed.unionAll(roots.select("root", "node")))
+    named = grouped.join(crowds.select(F.col("node").alias("class"), F.col("root").alias("bucket")), "class", "left").withColumn("bucket", F.coalesce("bucket", "class"))
+    several = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
+    crowded = settle(named.join(several, "bucket"))
+    sets = sets_of(docs, rows, crowded.select("class"), shingle)
+    return found.unionAll(linked(crowded, sets, like, of))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, like: int = LIKE, of: int = OF) -> DataFrame:

@@ -94,6 +94,59 @@ def test_parts_of_a_crowd_meet(spark):
         assert {(r.a, r.b) for r in likeness.left_over(placed, sketches, 80, 100, crowd).collect()} == expected
 
 
+def test_crowd_that_agrees_costs_no_pairs(spark, monkeypatch):
+    """Near copies of one text, some alike and some just not: what the tasks find grows with the members, not with their pairs, and no link is lost."""
+    rng = random.Random(5)
+    body = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    texts = []
+    for k in range(160):
+        copy = body[:]
+        for at in rng.sample(range(120), rng.randrange(5, 14)):
+            copy[at] = f"n{rng.randrange(40)}"
+        texts.append(" ".join(copy))
+    made = []
+
+    def counted(find):
+        def run(*args, **named):
+            made.append((args[0], find(*args, **named).count()))
+            return find(*args, **named)
+
+        return run
+
+    for name in ("left_over", "linked"):
+        monkeypatch.setattr(minmax, name, counted(getattr(likeness, name)))
+    held_against_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert len(made) == 2 and made[0][1] < 48 * 160 and made[1][1] < 160
+
+
+def test_whole_sets_meet_in_parts(spark):
+    """Links of the sets in parts of any size join the same groups, with fewer links than groups in each task."""
+    rng = np.random.default_rng(2)
+    base = np.unique(rng.integers(0, 1 << 63, 200).astype(np.uint64))
+    sets = [np.unique(np.concatenate([base[rng.random(200) > rng.uniform(0, 0.2)], rng.integers(0, 1 << 63, rng.integers(0, 20)).astype(np.uint64)])) for _ in range(60)]
+    sets[7] = base[:0]  # can't link
+    size = [len(s) for s in sets]
+
+    def joined(pairs):
+        root = [k if k > 9 else 0 for k in range(60)]
+        for a, b in pairs:
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+        return root
+
+    both = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a in range(60) for b in range(a)}
+    plain = joined([p for p, n in both.items() if 100 * n >= 80 * (size[p[0]] + size[p[1]] - n) and size[p[0]] and size[p[1]]])
+    placed = spark.createDataFrame([(1, k, size[k], k if k > 9 else 0) for k in range(60)], "bucket long, class long, size long, root long")
+    held = spark.createDataFrame([(k, s.tobytes()) for k, s in enumerate(sets)], "class long, set binary")
+    for crowd, most in ((1000, 10**6), (9, 10**6), (1000, 900)):
+        found = [(r.a, r.b) for r in likeness.linked(placed, held, 80, 100, crowd, most).collect()]
+        assert joined(found) == plain and len({frozenset(p) for p in found}) == len(found)
+        assert all(100 * both[max(p), min(p)] >= 80 * (size[p[0]] + size[p[1]] - both[max(p), min(p)]) for p in found)
+        if crowd == 1000 and most == 10**6:
+            assert len(found) < 51
+    assert 1 < len(set(plain)) < 51
+
+
 def test_minima_and_maxima_agree_as_often_as_sets_are_alike():
     factors, summands = minmax.permutations(600)
     a = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 900).astype(np.uint64))
