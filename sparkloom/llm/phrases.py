@@ -24,7 +24,7 @@ LONGEST = 5
 LEAST = 100  # occurrences of a phrase
 TOP = 2000  # phrases of a language
 ENDS = b".,;:!?\n\x0b\x0c\r"  # what ends a piece of text
-PIECE_WORDS = 1 << 19  # words that a task hashes and sums at once
+PIECE_WORDS = 1 << 17  # words that a task hashes and sums at once: each is some 130 bytes meanwhile
 LOAD = 32  # runs for each value that fingerprints are cut to when they are counted roughly: half of that to all of it
 BITMAP_BITS = 27  # of the broadcast bitmap of common fingerprints, at most: 16 MB; a fuller one lets more runs through, none less
 _TO_LINE = bytes.maketrans(ENDS, b"\n" * len(ENDS))
@@ -141,8 +141,8 @@ def common_runs(arrays: DataFrame, n: int, total: int, shorter: np.ndarray | Non
         """Sorted fingerprints of the runs that take part, their check values and keys."""
         column = piece.column(2)
         words = column.flatten().to_numpy().view(np.uint64)
-        lengths = np.diff(column.offsets.to_numpy())
-        lang, key = (np.repeat(piece.column(k).to_numpy().view(np.uint64), lengths) for k in range(2))
+        ends = column.offsets.to_numpy() - column.offsets[0].as_py()
+        lang, key = np.repeat(piece.column(0).to_numpy().view(np.uint64), np.diff(ends)), piece.column(1).to_numpy().view(np.uint64)
         good = inside(words, n) if len(words) >= n else np.zeros(0, bool)
         if shorter is not None and len(good):
             common = has(shared.value, printer.runs(words, lang, n - 1))
@@ -153,7 +153,7 @@ def common_runs(arrays: DataFrame, n: int, total: int, shorter: np.ndarray | Non
             some = has(dense.value, cut(fp))
             at, fp = at[some], fp[some]
         order = np.argsort(fp)
-        return fp[order], lambda: check_values(printer.runs(words, lang, n, True)[at[order]]), lambda: key[at[order]]
+        return fp[order], lambda: check_values(printer.runs(words, lang, n, True)[at[order]]), lambda: key[np.searchsorted(ends, at[order], "right") - 1]
 
     def cut(fp: np.ndarray) -> np.ndarray:
         return fp & np.uint64((1 << bits) - 1)
@@ -179,7 +179,10 @@ def common_runs(arrays: DataFrame, n: int, total: int, shorter: np.ndarray | Non
     crowded = settle(rows.mapInArrow(coarse, "fp long, n long").groupBy("fp").agg(F.sum("n").alias("a")).filter(F.col("a") >= least).select("fp"))
     dense = arrays.sparkSession.sparkContext.broadcast(bitmap_of(crowded))
     summed = rows.mapInArrow(whole, "fp long, n long, key long, check int").groupBy("fp").agg(F.sum("n").alias("a"), F.min("key").alias("key"), F.min("check").alias("low"), F.max("check").alias("high"))
-    return settle(summed.filter(F.col("a") >= least))
+    level = settle(summed.filter(F.col("a") >= least))
+    for bitmap in (shared, dense):  # no later level needs it
+        bitmap.destroy()
+    return level
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:

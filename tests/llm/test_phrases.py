@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -92,3 +93,13 @@ def test_odd_rows(odd, none, odd_rows):
     rows = [(r[2], r[1]) for r in odd_rows]
     assert sorted(tuple(r) for r in phrases.collocations(odd, 40, top=50).collect()) == plain(rows, 40, 50)
     assert phrases.collocations(none).collect() == []
+
+
+def test_a_piece_of_a_batch_takes_little_memory():
+    """Whatever a task is given, it sums PIECE_WORDS words at once; fingerprints of so many, a level's main arrays, are few MB."""
+    words = np.random.default_rng(0).integers(1, 1 << 63, phrases.PIECE_WORDS).astype(np.uint64)
+    tracemalloc.start()
+    found = phrases.Printer().runs(words, np.ones(len(words), np.uint64), 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == len(words) - 2 and peak < 16e6
