@@ -3,7 +3,7 @@
 A text gives the set of its hashed character n-grams (`SIZES`, over lower-cased UTF-8 bytes with a
 blank at either end). From labelled rows Spark counts in how many texts of either class each
 n-gram occurs; r = log of the ratio of the smoothed shares, drawn to 0 as far as its class counts may be chance. A text's features are r where the
-n-gram is present, and logistic regression is trained on them. N-grams whose ratio is drawn to under LEAST have no weight: nine in ten, most of them seen in one or two texts. Scoring is one sum per text.
+n-gram is present, and logistic regression is trained on them, where n-grams of the same training texts are one column: its optimum is theirs, its vectors on the driver are shorter. N-grams whose ratio is drawn to under LEAST have no weight: nine in ten, most of them seen in one or two texts. Scoring is one sum per text.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,7 @@ PENALTY = 5e-4  # of the squared weights
 ROUNDS = 100  # steps of the regression, at most
 SMOOTHING = 1.0
 THRESHOLD = 0.3
+SIGN = (1 << 31) - 1  # of a text's hash; sums of two such parts over its texts tell n-grams of different texts apart
 _PRIME, _MIX = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 
 
@@ -135,21 +137,24 @@ def fit(known: DataFrame, toxic_weight: float = TOXIC_WEIGHT, penalty: float = P
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, 1 << BITS), np.int32)
+        seen, signs = np.zeros((2, 1 << BITS), np.int32), np.zeros((2, 1 << BITS), np.int64)
         for batch in batches:
             for part in slices(batch):
                 for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    seen[toxic, ngrams(text)] += 1
+                    at, h = ngrams(text), xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"))
+                    seen[toxic, at] += 1
+                    signs[0, at] += h & SIGN
+                    signs[1, at] += h >> 32 & SIGN
         at = np.flatnonzero(seen.any(0))
         for low in range(0, len(at), 1 << 16):
             part = at[low : low + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(seen[0, part].astype(np.int64)), pa.array(seen[1, part].astype(np.int64))], ["bucket", "clean", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part, *seen[:, part].astype(np.int64), *signs[:, part])], ["bucket", "clean", "toxic", "sign", "sign2"])
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ratio = scaled_ratios(*(batch.column(k).to_numpy().astype(np.float64) for k in (1, 2)), n0, n1)
             at = np.flatnonzero(ratio)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(ratio[at])], ["bucket", "ratio"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(ratio[at]), *(batch.column(k).take(pa.array(at)) for k in (3, 4))], ["bucket", "ratio", "sign", "sign2"])
 
     known = settle(known.select("text", (F.col("toxic") > 0).cast("int").alias("toxic")))
     sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -159,11 +164,22 @@ def fit(known: DataFrame, toxic_weight: float = TOXIC_WEIGHT, penalty: float = P
         share = n1 / max(1, n0 + n1)
         return Model(Features(places, np.zeros(0)), np.zeros(0), float(np.clip(np.log(max(share, 1e-9) / max(1 - share, 1e-9)), -20, 20)))
     # pre-aggregated in each task, and only n-grams whose ratio isn't 0 come to the driver: 2**BITS at most, whatever the corpus
-    counts = known.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    kept = counts.mapInArrow(weigh, "bucket long, ratio double").toPandas().sort_values("bucket")
-    places[kept["bucket"].to_numpy(np.int64)] = np.arange(1, len(kept) + 1)
-    made = Features(places, kept["ratio"].to_numpy(np.float64))
-    shared = known.sparkSession.sparkContext.broadcast(made)
+    counted = known.mapInArrow(count, "bucket long, clean long, toxic long, sign long, sign2 long").groupBy("bucket")
+    counts = counted.agg(*(F.sum(c).alias(c) for c in ("clean", "toxic", "sign", "sign2")))
+    kept = counts.mapInArrow(weigh, "bucket long, ratio double, sign long, sign2 long").toArrow().sort_by("bucket")
+    bucket, ratios = kept.column("bucket").to_numpy(), kept.column("ratio").to_numpy()
+    places[bucket] = np.arange(1, len(bucket) + 1)
+    made = Features(places, ratios)
+    if not len(bucket):
+        return Model(made, np.zeros(0), float(np.log(toxic_weight * n1 / n0)))
+    # n-grams of the same texts are one column: k equal ones have equal coefficients at the optimum, and so has one of sqrt(k) times their value, with sqrt(k) times the coefficient
+    signs = np.column_stack([kept.column(c).to_numpy() for c in ("sign", "sign2")] + [ratios.view(np.int64)])
+    _, first, column, k = np.unique(signs, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    root = np.sqrt(k)
+    columns = np.zeros(1 << BITS, np.int32)
+    columns[bucket] = column.ravel() + 1
+    shared = known.sparkSession.sparkContext.broadcast(Features(columns, ratios[first] * root))
+    del kept, signs, columns
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,11 +188,10 @@ def fit(known: DataFrame, toxic_weight: float = TOXIC_WEIGHT, penalty: float = P
                 label = part.column(1).to_numpy().astype(np.float64)
                 yield pa.RecordBatch.from_arrays([vectors(found, len(shared.value.ratios)), pa.array(label), pa.array(np.where(label > 0, toxic_weight, 1.0))], ["features", "label", "weight"])
 
-    if not len(kept):
-        return Model(made, np.zeros(0), float(np.log(toxic_weight * n1 / n0)))
     ready = known.mapInArrow(features, StructType([StructField("features", VectorUDT()), StructField("label", DoubleType()), StructField("weight", DoubleType())]))
     fitted = LogisticRegression(weightCol="weight", maxIter=ROUNDS, tol=1e-8, regParam=penalty, standardization=False).fit(ready)
-    return Model(made, fitted.coefficients.toArray(), float(fitted.intercept))
+    shared.destroy()
+    return Model(made, (fitted.coefficients.toArray() / root)[column.ravel()], float(fitted.intercept))
 
 
 def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
