@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..names import fresh
 from .common import settle, slices, text_key
-from .likeness import SKETCH, WordHashes, agreeing, class_of, min_max, permutations, shingles, sketch, verified
+from .likeness import SKETCH, WordHashes, agreeing, class_of, linked, min_max, permutations, sets_of, shingles, sketch, verified
 
 RADIUS = 3
 SHINGLE = 3
@@ -159,13 +159,14 @@ class Tree:
             stack += [(inside, at[d <= r + RADIUS]), (outside, at[d > r - RADIUS])]
 
 
-def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The labels after groups a[k] and b[k] have become one, for all k."""
-    differ = a != b
-    if not differ.any():
-        return label
-    pairs = np.unique(np.minimum(a, b)[differ] * len(label) + np.maximum(a, b)[differ])
+def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The labels after groups a[k] and b[k] have become one, for all k, and those k that it takes: fewer than there were groups."""
+    differ = np.flatnonzero(a != b)
+    if not len(differ):
+        return label, differ
+    pairs, at = np.unique(np.minimum(a, b)[differ] * len(label) + np.maximum(a, b)[differ], return_index=True)
     parent: dict[int, int] = {}
+    taken = []
 
     def root(x: int) -> int:
         while parent.get(x, x) != x:
@@ -173,14 +174,15 @@ def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             x = parent[x]
         return x
 
-    for pair in pairs.tolist():
+    for pair, k in zip(pairs.tolist(), differ[at].tolist()):
         x, y = map(root, divmod(pair, len(label)))
         if x != y:
             parent[max(x, y)] = min(x, y)
+            taken.append(k)
     to = np.arange(len(label))
     for x in list(parent):
         to[x] = root(x)
-    return to[label]
+    return to[label], np.array(taken, np.int64)
 
 
 def neighbours(own: np.ndarray, points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -205,7 +207,7 @@ def stars(own: np.ndarray, visitors: np.ndarray, within: bool = True, *_) -> tup
     label = np.arange(len(points))
     for some, part, near in neighbours(own, points[first:]):
         i, j = np.nonzero(near)
-        label = merged(label, label[some[i] + first], label[part[j]])
+        label, _ = merged(label, label[some[i] + first], label[part[j]])
     signed = points.view(np.int64)
     lead = np.full(len(points), np.iinfo(np.int64).max)
     np.minimum.at(lead, label, signed)
@@ -247,19 +249,26 @@ def partners(own: np.ndarray, visitors: np.ndarray, within: bool, mine: pd.DataF
 
 
 def strangers(own: np.ndarray, visitors: np.ndarray, within: bool, mine: pd.DataFrame, theirs: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b) classes (`name`) of all pairs of points within RADIUS bits that are of different groups (`root`) and whose sizes and sketches allow the likeness."""
+    """(a, b) classes (`name`) of pairs of points within RADIUS bits that are of different groups (`root`) and whose sizes and sketches allow the likeness.
+
+    As many as it takes to join the groups that all such pairs join, so fewer than the points.
+    """
     points, name, size, root = np.concatenate([own, visitors]), *(np.concatenate([mine[c].to_numpy(np.int64), theirs[c].to_numpy(np.int64)]) for c in ("name", "size", "root"))
     sketches = np.frombuffer(b"".join([*mine["sketch"], *theirs["sketch"]]), np.uint8).reshape(len(points), -1)
+    label = np.unique(root, return_inverse=True)[1]
     first, found = 0 if within else len(own), [(np.empty(0, np.int64), np.empty(0, np.int64))]
     for some, part, near in neighbours(own, points[first:]):
         some = some + first
-        near &= root[some][:, None] != root[part][None, :]
-        i, j = np.nonzero(near)
-        i, j = some[i], part[j]
-        fits = OF * np.minimum(size[i], size[j]) >= LIKE * np.maximum(size[i], size[j])
-        i, j = i[fits], j[fits]
-        good = agreeing(sketches, i, j)
-        found.append((name[i[good]], name[j[good]]))
+        for at in range(0, len(some), 512):  # looks at the groups as they are when it comes to a block
+            block = some[at : at + 512]
+            i, j = np.nonzero(near[at : at + 512] & (label[block][:, None] != label[part][None, :]))
+            i, j = block[i], part[j]
+            fits = OF * np.minimum(size[i], size[j]) >= LIKE * np.maximum(size[i], size[j])
+            i, j = i[fits], j[fits]
+            good = agreeing(sketches, i, j)
+            i, j = i[good], j[good]
+            label, taken = merged(label, label[i], label[j])
+            found.append((name[i[taken]], name[j[taken]]))
     return tuple(map(np.concatenate, zip(*found)))
 
 
@@ -450,16 +459,20 @@ def proposed(printed: DataFrame, shard_rows: int = SHARD_ROWS, dense: int = DENS
 
 
 def left_in_crowds(printed: DataFrame, crowds: DataFrame, classes: DataFrame, roots: DataFrame, shard_rows: int = SHARD_ROWS, dense: int = DENSE) -> DataFrame:
-    """Pairs (a, b) of classes in crowds that are near in a table, not yet of one group, and that sizes and sketches don't rule out: all of them.
+    """bucket, class, size and root (the group so far) of the classes in crowds that may be alike to one of another group, as `linked` takes them.
 
-    The trees are searched again over the crowds' classes alone. Pairs are looked at inside the shards; rows are made of those only whose sketches of 5-word shingles agree, so neither a family
-    of near copies, which is one group by now, nor a crowd of texts that merely have the same words grows to pairs.
+    The trees are searched again over the crowds' classes alone. Pairs that are near in a table, of different groups, and not ruled out by sizes and sketches of 5-word shingles are
+    looked at inside the shards; a shard gives fewer of them than it has groups. A bucket is what these pairs connect, so both ends of each such pair are in one.
     """
     inside = printed.join(crowds, ["tab", "fp"], "left_semi")
     named = inside.join(roots, inside["class"] == roots.node, "left").select("tab", "fp", "class", "size", F.coalesce("root", "class").alias("root"))
-    points = named.join(classes.select("class", "sketch"), "class").select("tab", "fp", F.col("class").alias("name"), "size", "root", "sketch")
-    found = search_shards(settle(points), strangers, shard_rows, dense)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    points = settle(named.join(classes.select("class", "sketch"), "class").select("tab", "fp", F.col("class").alias("name"), "size", "root", "sketch"))
+    agreed = search_shards(points, strangers, shard_rows, dense).select("a", "b")
+    members = settle(points.select(F.col("name").alias("class"), "size", "root").distinct())
+    buckets = components(agreed.unionAll(members.select("root", "class")))
+    placed = members.join(buckets.select(F.col("node").alias("class"), F.col("root").alias("bucket")), "class", "left").withColumn("bucket", F.coalesce("bucket", "class"))
+    several = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
+    return placed.join(several, "bucket").select("bucket", "class", "size", "root")
 
 
 def alike_groups(docs: DataFrame, tables: tuple[int, ...] = TABLES, shard_rows: int = SHARD_ROWS, dense: int = DENSE) -> DataFrame:
@@ -467,7 +480,7 @@ def alike_groups(docs: DataFrame, tables: tuple[int, ...] = TABLES, shard_rows:
 
     Likeness is the Jaccard likeness of the sets of 5-word shingles (fewer words: the whole sequence; texts without words are alike). Texts of one set
     are one class, so copies cost nothing. Every link is verified on whole sets, so no text is joined to one that isn't alike. A few partners of each text are verified first; where it has
-    more, all those of other groups are in a second round. A link can be missed when the fingerprints of its texts lie over RADIUS bits apart in every table, or if fewer than
+    more, the whole sets of all those that may be alike and are of other groups meet in a second round. A link can be missed when the fingerprints of its texts lie over RADIUS bits apart in every table, or if fewer than
     CUT of two sketches' bytes agree (seven deviations off at the bound). The README states how many are found.
     """
     rows = settle(word_prints(docs, tables))
@@ -475,8 +488,9 @@ def alike_groups(docs: DataFrame, tables: tuple[int, ...] = TABLES, shard_rows:
     printed, slim = nodes.select("class", "size", F.posexplode("prints").alias("tab", "fp")), rows.select("doc_id", "text_key", "class")
     pairs, crowds = proposed(printed, shard_rows, dense)
     near = verified(pairs, docs, slim, LIKE_SHINGLE, LIKE, OF)
-    rest = left_in_crowds(printed, crowds, nodes, components(near), shard_rows, dense)
-    roots = components(near.unionAll(verified(rest, docs, slim, LIKE_SHINGLE, LIKE, OF)))
+    crowded = settle(left_in_crowds(printed, crowds, nodes, components(near), shard_rows, dense))
+    sets = sets_of(docs, slim, crowded.select("class"), LIKE_SHINGLE)
+    roots = components(near.unionAll(linked(crowded, sets, LIKE, OF)))
     named = nodes.join(roots, nodes["class"] == roots.node, "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = settle(named.join(ids, "root").select("class", "component_id"))
